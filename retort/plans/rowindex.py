@@ -194,23 +194,28 @@ def ceil_div(a: int, b: int) -> int:
 __all__ = [name for name in dir() if not name.startswith("_") and name not in ("math",)]
 
 
-def running_sum(df: DataFrame, order: list, value: str, by: list | None = None, out: str = "cum",
+def running_sum(df: DataFrame, order: list, value, by: list | None = None, out=None,
                 inclusive: bool = True, buckets: int | None = None) -> DataFrame:
-    """Running sum of ``value`` in ``order`` (within ``by``) with the bucketed plan of global_index.
+    """Running sum(s) of ``value`` (a name or list of names) in ``order`` within ``by``.
 
-    Range buckets -> per-bucket sums -> bucket offsets (small table) ->
-    window sum inside each bucket + offset.  No task sees more than one
-    bucket of rows, however large a group is.
+    Bucketed like global_index: range buckets -> per-bucket sums -> bucket
+    offsets (small table) -> window sum inside each bucket + offset.  No
+    task sees more than one bucket of rows, however large a group is.
+    ``out`` defaults to ``cum_<value>``.
     """
     by = list(by or [])
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else (out or [f"cum_{v}" for v in values])
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     nb = buckets or _default_buckets(df)
     b = df.repartitionByRange(nb, *[F.col(c) for c in by], *order_cols).withColumn("__b", F.spark_partition_id())
-    sums = b.groupBy(*by, "__b").agg(F.sum(value).alias("__s"))
+    sums = b.groupBy(*by, "__b").agg(*[F.sum(v).alias(f"__s{i}") for i, v in enumerate(values)])
     wb = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.select(*by, "__b", F.coalesce(F.sum("__s").over(wb), F.lit(0)).alias("__off"))
+    offs = sums.select(*by, "__b", *[F.coalesce(F.sum(f"__s{i}").over(wb), F.lit(0)).alias(f"__o{i}")
+                                     for i in range(len(values))])
     j = b.join(offs, on=by + ["__b"], how="inner")
     frame = (Window.partitionBy(*by, "__b").orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    inner = F.coalesce(F.sum(value).over(frame), F.lit(0))
-    return j.withColumn(out, inner + F.col("__off")).drop("__b", "__off")
+    for i, (v, o) in enumerate(zip(values, outs)):
+        j = j.withColumn(o, F.coalesce(F.sum(v).over(frame), F.lit(0)) + F.col(f"__o{i}"))
+    return j.drop("__b", *[f"__o{i}" for i in range(len(values))])
