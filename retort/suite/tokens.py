@@ -1 +1,315 @@
-"""(filled in below)"""
+"""Checks for pretokenisation, vocabularies, encoding, packing, span corruption, MLM masks, BLEU."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from retort.operators import bleu as bl
+from retort.operators import tokens as tk
+from retort.operators.filters import drop_blank_lines
+from retort.sources import testdata as td
+from retort.suite import register
+
+W = td.with_sql
+VOCAB_SIZE = 1000
+PACK_LEN = 568
+
+_NORM = (f"replace(regexp_replace(regexp_replace(regexp_replace(text, '{tk.NMT_DROP}', '', 'g'), "
+         f"'{tk.NMT_SPACE}', ' ', 'g'), ' {{2,}}', ' ', 'g'), ' ', '▁')")
+
+SQL_PIECES = f"""
+fx_pieces AS (
+  SELECT doc_id, regexp_extract_all(CASE WHEN starts_with(m, '▁') THEN m ELSE '▁' || m END, '{tk.PIECE_PATTERN}') AS pieces
+  FROM (SELECT doc_id, {_NORM} AS m FROM documents))"""
+
+SQL_VOCAB = SQL_PIECES + f""",
+fx_counts AS (SELECT token, count(*) AS n FROM (SELECT unnest(pieces) AS token FROM fx_pieces) GROUP BY token),
+fx_vocab AS (
+  SELECT * FROM (VALUES ('<pad>', 0), ('</s>', 1), ('<unk>', 2)) s(token, id)
+  UNION ALL
+  SELECT token, id FROM (
+    SELECT token, row_number() OVER (ORDER BY n DESC, token) + 2 AS id FROM fx_counts
+    WHERE token NOT IN ('<pad>', '</s>', '<unk>')) WHERE id < {VOCAB_SIZE}),
+fx_vmap AS (SELECT map(list(token), list(id)) AS m, map(list(id), list(token)) AS inv FROM fx_vocab),
+fx_enc AS (
+  SELECT doc_id, list_append(list_transform(pieces, lambda p: CAST(coalesce(m[p], 2) AS INTEGER)), 1) AS input_ids
+  FROM fx_pieces, fx_vmap)"""
+
+
+def pieces_df(spark, sf):
+    docs = td.table(spark, sf, "documents").select("doc_id", "text")
+    return tk.pretokenise(docs, "text").select("doc_id", "pieces")
+
+
+def vocab_df(spark, sf):
+    return tk.build_vocab(tk.token_counts(pieces_df(spark, sf)), size=VOCAB_SIZE)
+
+
+def encoded(spark, sf):
+    return tk.encode(pieces_df(spark, sf), "pieces", vocab_df(spark, sf), key=["doc_id"]).select("doc_id", "input_ids")
+
+
+@register("pretokenise", W(SQL_PIECES) + " SELECT doc_id, pieces FROM fx_pieces")
+def _pretokenise(spark, sf):
+    return pieces_df(spark, sf)
+
+
+@register("token_counts", W(SQL_VOCAB) + " SELECT token, n FROM fx_counts")
+def _token_counts(spark, sf):
+    return tk.token_counts(pieces_df(spark, sf))
+
+
+@register("vocab_table", W(SQL_VOCAB) + " SELECT token, CAST(id AS BIGINT) AS id FROM fx_vocab")
+def _vocab(spark, sf):
+    return vocab_df(spark, sf)
+
+
+@register("encode", W(SQL_VOCAB) + " SELECT doc_id, input_ids FROM fx_enc")
+def _encode(spark, sf):
+    return encoded(spark, sf)
+
+
+@register("decode", W(SQL_VOCAB) + """
+ , d AS (SELECT doc_id, replace(array_to_string(list_transform(list_filter(input_ids, lambda i: i NOT IN (0, 1, 2)),
+           lambda i: inv[i]), ''), '▁', ' ') AS t FROM fx_enc, fx_vmap)
+ SELECT doc_id, CASE WHEN starts_with(t, ' ') THEN substr(t, 2) ELSE t END AS text FROM d""")
+def _decode(spark, sf):
+    return tk.decode(encoded(spark, sf), "input_ids", vocab_df(spark, sf), key=["doc_id"]).select("doc_id", "text")
+
+
+@register("oov_rows", W(SQL_VOCAB) + """
+ , o AS (SELECT doc_id, list_sort(list_distinct(list_filter(pieces, lambda p: m[p] IS NULL))) AS oov FROM fx_pieces, fx_vmap)
+ SELECT doc_id, oov FROM o WHERE len(oov) > 0""")
+def _oov(spark, sf):
+    return tk.oov_rows(pieces_df(spark, sf), "pieces", vocab_df(spark, sf), key=["doc_id"]).select("doc_id", "oov")
+
+
+@register("add_tokens", W(SQL_VOCAB) + f"""
+ , nb AS (SELECT DISTINCT unnest(regexp_extract_all(CASE WHEN starts_with(m, '▁') THEN m ELSE '▁' || m END, '{tk.PIECE_PATTERN}')) AS token
+          FROM (SELECT {_NORM} AS m FROM benchmark))
+ , fresh AS (SELECT token FROM nb WHERE token NOT IN (SELECT token FROM fx_vocab))
+ SELECT token, CAST(id AS BIGINT) AS id FROM fx_vocab
+ UNION ALL SELECT token, (SELECT max(id) FROM fx_vocab) + row_number() OVER (ORDER BY token) FROM fresh""")
+def _add_tokens(spark, sf):
+    bench = td.table(spark, sf, "benchmark").select("text")
+    new = tk.pretokenise(bench, "text").select(F.explode("pieces").alias("token"))
+    return tk.add_tokens(vocab_df(spark, sf), new)
+
+
+@register("pad_truncate", W(SQL_VOCAB) + """
+ SELECT doc_id,
+   CASE WHEN len(input_ids) > 128 THEN list_append(list_slice(input_ids, 1, 127), 1)
+        ELSE list_concat(input_ids, repeat([0], 128 - len(input_ids))) END AS input_ids,
+   list_concat(repeat([1], least(len(input_ids), 128)), repeat([0], 128 - least(len(input_ids), 128))) AS attention_mask
+ FROM fx_enc""")
+def _pad_truncate(spark, sf):
+    return tk.pad_truncate(encoded(spark, sf), "input_ids", 128).select("doc_id", "input_ids", "attention_mask")
+
+
+@register("collate_labels", W(SQL_VOCAB) + """
+ SELECT doc_id, list_transform(CASE WHEN len(input_ids) > 128 THEN list_append(list_slice(input_ids, 1, 127), 1)
+        ELSE list_concat(input_ids, repeat([0], 128 - len(input_ids))) END, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels
+ FROM fx_enc""")
+def _collate(spark, sf):
+    x = tk.pad_truncate(encoded(spark, sf), "input_ids", 128)
+    return x.select("doc_id", tk.collate_labels("input_ids").alias("labels"))
+
+
+SQL_LINES = """
+fx_lines AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line
+  FROM documents)"""
+
+
+def lines_df(spark, sf):
+    docs = td.table(spark, sf, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+@register("drop_blank_lines", W(SQL_LINES) + " SELECT doc_id, line_no, line FROM fx_lines WHERE length(regexp_replace(line, '\\s', '', 'g')) > 0")
+def _drop_blank(spark, sf):
+    return drop_blank_lines(lines_df(spark, sf), "line")
+
+
+@register("line_by_line_encode", W(SQL_VOCAB, SQL_LINES) + f"""
+ , lp AS (SELECT doc_id, line_no, regexp_extract_all(CASE WHEN starts_with(m, '▁') THEN m ELSE '▁' || m END, '{tk.PIECE_PATTERN}') AS pieces
+          FROM (SELECT doc_id, line_no, {_NORM.replace('(text,', '(line,')} AS m FROM fx_lines
+                WHERE length(regexp_replace(line, '\\s', '', 'g')) > 0))
+ , le AS (SELECT doc_id, line_no, list_append(list_transform(pieces, lambda p: CAST(coalesce(m[p], 2) AS INTEGER)), 1) AS ids FROM lp, fx_vmap)
+ SELECT doc_id, line_no, CASE WHEN len(ids) > 64 THEN list_append(list_slice(ids, 1, 63), 1)
+        ELSE list_concat(ids, repeat([0], 64 - len(ids))) END AS input_ids FROM le""")
+def _line_by_line(spark, sf):
+    lines = drop_blank_lines(lines_df(spark, sf), "line")
+    p = tk.pretokenise(lines, "line")
+    e = tk.encode(p, "pieces", vocab_df(spark, sf), key=["doc_id", "line_no"], out="ids")
+    return tk.pad_truncate(e, "ids", 64).select("doc_id", "line_no", "input_ids")
+
+
+SQL_PACK = f"""
+fx_pk AS (
+  SELECT doc_id, input_ids, grp, len(input_ids) AS l,
+         coalesce(sum(len(input_ids)) OVER (PARTITION BY grp ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+         sum(len(input_ids)) OVER (PARTITION BY grp) AS tot
+  FROM (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS grp, row_number() OVER (ORDER BY doc_id) AS rn FROM fx_enc)),
+fx_pk_tok AS (
+  SELECT grp, off + generate_subscripts(input_ids, 1) - 1 AS g, unnest(input_ids) AS id,
+         CASE WHEN tot >= {PACK_LEN} THEN tot // {PACK_LEN} * {PACK_LEN} ELSE tot END AS keep FROM fx_pk),
+fx_packed AS (
+  SELECT grp AS "group", g // {PACK_LEN} AS chunk, list(id ORDER BY g) AS input_ids FROM fx_pk_tok WHERE g < keep GROUP BY 1, 2)"""
+
+
+def packed(spark, sf):
+    return tk.pack_chunks(encoded(spark, sf), "input_ids", ["doc_id"], PACK_LEN, group_rows=1000)
+
+
+@register("pack_chunks", W(SQL_VOCAB, SQL_PACK) + ' SELECT "group", chunk, input_ids FROM fx_packed')
+def _pack(spark, sf):
+    return packed(spark, sf)
+
+
+def _sql_seg(items, m, kind):
+    return (f"list_concat([0], CASE WHEN {items} > 1 THEN list_sort(list_transform(list_slice(list_sort(list_transform("
+            f"range(1, {items}), lambda gp: {{'h': md5(k || '|{kind}|' || CAST(gp AS VARCHAR)), 'g': gp}})), 1, {m} - 1), "
+            f"lambda s: s.g)) ELSE [] END, [{items}])")
+
+
+SQL_MASK = f"""
+fx_mp AS (
+  SELECT "group", chunk, input_ids, n, k, noise, spans, n - noise AS keep FROM (
+    SELECT *, CAST(greatest(round_even(noise / CAST(3.0 AS DOUBLE), 0), 1) AS INTEGER) AS spans FROM (
+      SELECT *, CAST(least(greatest(round_even(n * CAST(0.15 AS DOUBLE), 0), 1), n - 1) AS INTEGER) AS noise FROM (
+        SELECT "group", chunk, input_ids, len(input_ids) AS n, CAST("group" AS VARCHAR) || '|' || CAST(chunk AS VARCHAR) AS k
+        FROM fx_packed)))),
+fx_mb AS (SELECT "group", chunk, input_ids, spans, {_sql_seg('noise', 'spans', 'noise')} AS nb,
+                 {_sql_seg('keep', 'spans', 'nonnoise')} AS kb FROM fx_mp),
+fx_mask AS (
+  SELECT "group", chunk, input_ids, flatten(list_transform(range(1, spans + 1), lambda i:
+      list_concat(repeat([false], kb[i + 1] - kb[i]), repeat([true], nb[i + 1] - nb[i])))) AS mask FROM fx_mb)"""
+
+
+def masked(spark, sf):
+    p = packed(spark, sf)
+    key = F.concat_ws("|", F.col("group").cast("string"), F.col("chunk").cast("string"))
+    return p.withColumn("mask", tk.span_mask(F.size("input_ids"), key))
+
+
+@register("span_mask", W(SQL_VOCAB, SQL_PACK, SQL_MASK) + ' SELECT "group", chunk, mask FROM fx_mask')
+def _span_mask(spark, sf):
+    return masked(spark, sf).select("group", "chunk", "mask")
+
+
+def _sql_sentinel(mask):
+    starts = f"list_transform({mask}, lambda x, i: x AND (i = 1 OR NOT {mask}[i - 1]))"
+    return (f"list_transform({mask}, lambda x, i: CASE WHEN x AND (i = 1 OR NOT {mask}[i - 1]) "
+            f"THEN {VOCAB_SIZE} - len(list_filter(list_slice({starts}, 1, i), lambda y: y)) "
+            f"WHEN x THEN -1 ELSE 0 END)")
+
+
+SQL_SENT = f""",
+fx_sent AS (SELECT "group", chunk, input_ids, mask, {_sql_sentinel('mask')} AS s_in,
+             {_sql_sentinel('list_transform(mask, lambda z: NOT z)')} AS s_lab FROM fx_mask),
+fx_fused AS (
+  SELECT "group", chunk,
+    list_append(list_filter(list_transform(list_zip(input_ids, s_in), lambda e: CASE WHEN e[2] <> 0 THEN e[2] ELSE e[1] END), lambda v: v >= 0), 1) AS input_ids,
+    list_append(list_filter(list_transform(list_zip(input_ids, s_lab), lambda e: CASE WHEN e[2] <> 0 THEN e[2] ELSE e[1] END), lambda v: v >= 0), 1) AS labels
+  FROM fx_sent)"""
+
+
+def sentinels(spark, sf):
+    m = masked(spark, sf)
+    return (m.withColumn("s_in", tk.sentinel_ids("mask", VOCAB_SIZE))
+            .withColumn("s_lab", tk.sentinel_ids(tk.invert_mask("mask"), VOCAB_SIZE)))
+
+
+@register("sentinel_ids", W(SQL_VOCAB, SQL_PACK, SQL_MASK) + SQL_SENT + ' SELECT "group", chunk, s_in, s_lab FROM fx_sent')
+def _sentinel(spark, sf):
+    return sentinels(spark, sf).select("group", "chunk", "s_in", "s_lab")
+
+
+@register("fuse_spans", W(SQL_VOCAB, SQL_PACK, SQL_MASK) + SQL_SENT + ' SELECT "group", chunk, input_ids, labels FROM fx_fused')
+def _fuse(spark, sf):
+    s = sentinels(spark, sf)
+    return s.select("group", "chunk", tk.fuse_spans("input_ids", "s_in").alias("input_ids"),
+                    tk.fuse_spans("input_ids", "s_lab").alias("labels"))
+
+
+@register("shift_right", W(SQL_VOCAB, SQL_PACK, SQL_MASK) + SQL_SENT + """
+ SELECT "group", chunk, list_transform(list_concat([0], list_slice(labels, 1, len(labels) - 1)),
+        lambda x: CASE WHEN x = -100 THEN 0 ELSE x END) AS decoder_input_ids FROM fx_fused""")
+def _shift(spark, sf):
+    f = _fuse(spark, sf)
+    return f.select("group", "chunk", tk.shift_right("labels").alias("decoder_input_ids"))
+
+
+def _u(stream):
+    return (f"CAST(('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR) || '|{stream}'), 1, 8)) AS BIGINT)"
+            f" / 4294967296.0")
+
+
+@register("mlm_mask", W(SQL_VOCAB) + f"""
+ , t AS (SELECT doc_id, CASE WHEN len(input_ids) > 128 THEN list_append(list_slice(input_ids, 1, 127), 1) ELSE input_ids END AS ids FROM fx_enc)
+ , p AS (SELECT doc_id, ids, list_transform(ids, lambda x, i: x NOT IN (0, 1, 2) AND {_u('pick')} < 0.15) AS picked FROM t)
+ SELECT doc_id,
+   list_transform(ids, lambda x, i: CASE WHEN NOT picked[i] THEN x WHEN {_u('how')} < 0.8 THEN 1000
+        WHEN {_u('how')} < 0.9 THEN CAST(floor({_u('rand')} * 1000) AS INTEGER) ELSE x END) AS input_ids,
+   list_transform(ids, lambda x, i: CASE WHEN picked[i] THEN x ELSE -100 END) AS labels
+ FROM p""")
+def _mlm(spark, sf):
+    e = encoded(spark, sf)
+    e = e.withColumn("input_ids", F.when(F.size("input_ids") > 128, F.concat(F.slice("input_ids", 1, 127), F.array(F.lit(1))))
+                     .otherwise(F.col("input_ids")))
+    ids, labels = tk.mlm_mask(F.col("input_ids"), F.col("doc_id"), vocab_size=VOCAB_SIZE, mask_id=1000)
+    return e.select("doc_id", ids.alias("input_ids"), labels.alias("labels"))
+
+
+# ------------------------------------------------------------------ BLEU
+
+SQL_TOK13A = """
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+   ' ' || replace(replace(replace(replace(replace(replace(replace(X, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '),
+        '&quot;', '"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' ',
+   '([\\x7b-\\x7e\\x5b-\\x60\\x20-\\x26\\x28-\\x2b\\x3a-\\x40\\x2f])', ' \\1 ', 'g'),
+   '([^0-9])([\\.,])', '\\1 \\2 ', 'g'), '([\\.,])([^0-9])', ' \\1 \\2', 'g'), '([0-9])(-)', '\\1 \\2 ', 'g')"""
+
+
+def _sql_tokens(x):
+    inner = SQL_TOK13A.replace("X", f"trim({x})")
+    return f"list_filter(string_split(trim(regexp_replace({inner}, '\\s+', ' ', 'g')), ' '), lambda t: t <> '')"
+
+
+SQL_BLEU = f"""
+WITH pairs AS (
+  SELECT a.conv_id, a.turn, {_sql_tokens('a.text')} AS h, {_sql_tokens('b.text')} AS r
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+ng AS (SELECT * FROM (VALUES (1), (2), (3), (4)) v(n)),
+gh AS (SELECT conv_id, turn, n, gram, count(*) AS ch FROM (
+         SELECT conv_id, turn, n, unnest(list_transform(range(0, greatest(len(h) - n + 1, 0)),
+                lambda i: array_to_string(list_slice(h, i + 1, i + n), ' '))) AS gram FROM pairs, ng) GROUP BY ALL),
+gr AS (SELECT conv_id, turn, n, gram, count(*) AS cr FROM (
+         SELECT conv_id, turn, n, unnest(list_transform(range(0, greatest(len(r) - n + 1, 0)),
+                lambda i: array_to_string(list_slice(r, i + 1, i + n), ' '))) AS gram FROM pairs, ng) GROUP BY ALL),
+m AS (SELECT n, sum(least(ch, cr)) AS c FROM gh JOIN gr USING (conv_id, turn, n, gram) GROUP BY n),
+lens AS (SELECT sum(len(h)) AS sys_len, sum(len(r)) AS ref_len,
+   sum(greatest(len(h) - 0, 0)) AS total_1, sum(greatest(len(h) - 1, 0)) AS total_2,
+   sum(greatest(len(h) - 2, 0)) AS total_3, sum(greatest(len(h) - 3, 0)) AS total_4 FROM pairs),
+st AS (SELECT lens.*, coalesce((SELECT c FROM m WHERE n = 1), 0) AS correct_1, coalesce((SELECT c FROM m WHERE n = 2), 0) AS correct_2,
+   coalesce((SELECT c FROM m WHERE n = 3), 0) AS correct_3, coalesce((SELECT c FROM m WHERE n = 4), 0) AS correct_4 FROM lens)
+SELECT CAST(sys_len AS BIGINT) AS sys_len, CAST(ref_len AS BIGINT) AS ref_len,
+  CAST(total_1 AS BIGINT) AS total_1, CAST(total_2 AS BIGINT) AS total_2, CAST(total_3 AS BIGINT) AS total_3, CAST(total_4 AS BIGINT) AS total_4,
+  CAST(correct_1 AS BIGINT) AS correct_1, CAST(correct_2 AS BIGINT) AS correct_2, CAST(correct_3 AS BIGINT) AS correct_3, CAST(correct_4 AS BIGINT) AS correct_4,
+  CASE WHEN sys_len = 0 THEN 0.0 ELSE
+   (CASE WHEN sys_len < ref_len THEN exp(1 - ref_len / sys_len) ELSE 1.0 END) *
+   exp((ln(CASE WHEN correct_1 = 0 THEN 100.0 / (2 * total_1) ELSE 100.0 * correct_1 / total_1 END)
+      + ln(CASE WHEN correct_2 = 0 THEN 100.0 / ((CASE WHEN correct_1 = 0 THEN 4 ELSE 2 END) * total_2) ELSE 100.0 * correct_2 / total_2 END)
+      + ln(100.0 * correct_3 / total_3) + ln(100.0 * correct_4 / total_4)) / 4) END AS bleu
+FROM st"""
+
+
+@register("corpus_bleu", SQL_BLEU)
+def _bleu(spark, sf):
+    c = td.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ref"))
+    pairs = c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("hyp"), "ref")
+    out = bl.corpus_bleu(pairs, ["conv_id", "turn"], "hyp", "ref")
+    return out.select("sys_len", "ref_len", *[f"total_{n}" for n in range(1, 5)],
+                      *[f"correct_{n}" for n in range(1, 5)], "bleu")
