@@ -10,8 +10,6 @@ corpus, distributed, no per-segment Python.  Smoothing: 'exp'.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,4 +83,3 @@ def corpus_bleu(pairs: DataFrame, key: list, hyp: str, ref: str) -> DataFrame:
     return bleu_score(bleu_stats(pairs, key, hyp, ref))
 
 
-__all__ = ["tokenize_13a", "bleu_stats", "bleu_score", "corpus_bleu", "math"]
