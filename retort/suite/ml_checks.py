@@ -1 +1,89 @@
-"""(filled in below)"""
+"""Checks for features, forest fits, random search and batched inference."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from retort.functions import reaction as rx
+from retort.operators import labels as lb
+from retort.operators import metrics as mt
+from retort.operators import ml
+from retort.plans import corpora
+from retort.plans.rowindex import oversample_minority, split_fraction
+from retort.sources import testdata as td
+from retort.suite import register
+from retort.suite.reactions import clean
+
+
+def yield_features(spark, sf, dim=200):
+    y = corpora.yield_corpus(clean(spark, sf))
+    y = y.select(rx.untag_prompt("input").alias("flat"), (F.col("YIELD") * 100).alias("label"), "input")
+    return ml.hashed_fingerprint(y, "flat", dim=dim)
+
+
+@register("hashed_fingerprint")
+def _fingerprint(spark, sf):
+    f = yield_features(spark, sf, dim=200)
+    from pyspark.ml.functions import vector_to_array
+    return f.select("input", "label", vector_to_array("features").alias("bits"))
+
+
+def _train_test(spark, sf):
+    f = yield_features(spark, sf)
+    s = split_fraction(f, ["input", "label"], seed=42, test_size=0.1)
+    return s.where("split = 'train'"), s.where("split = 'test'")
+
+
+@register("fit_forest_regressor")
+def _fit_rf(spark, sf):
+    train, test = _train_test(spark, sf)
+    model = ml.fit_forest_regressor(train, "label", num_trees=50, max_depth=8)
+    return ml.score_regression(model, test, "label")
+
+
+@register("fit_forest_classifier")
+def _fit_rfc(spark, sf):
+    lab = lb.binary_labels(clean(spark, sf))
+    lab = oversample_minority(lab, "target", 1, k=10, key_cols=["smiles"], seed=42)
+    f = ml.hashed_fingerprint(lab, "smiles", dim=256)
+    model = ml.fit_forest_classifier(f, "target", num_trees=50, max_depth=6)
+    pred = model.transform(f).withColumn("pred", F.col("prediction").cast("int"))
+    return mt.confusion_matrix(pred, "target", "pred")
+
+
+@register("param_search")
+def _param_search(spark, sf):
+    train, test = _train_test(spark, sf)
+    trials = ml.trial_table(spark, 3, seed=42, trees=(10, 40), depth=(2, 10))
+    res = ml.param_search(train, test, "label", trials)
+    return mt.best_trial(res, ["r2", "trial"], maximise=True)
+
+
+@register("swap_fit")
+def _swap_fit(spark, sf):
+    train, test = _train_test(spark, sf)
+    return ml.swap_fit(train, test, "label", num_trees=20, max_depth=6)
+
+
+def make_softmax_model():
+    """Stand-in model: the vector is already a row of logits."""
+    def predict(x: np.ndarray):
+        x = x.astype(np.float64)
+        z = x - x.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        p = e / e.sum(axis=1, keepdims=True)
+        return {"label": p.argmax(axis=1).astype(np.int32), "prob": np.round(p.max(axis=1), 6).astype(np.float64)}
+    return predict
+
+
+@register("batch_predict", """
+ SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS label,
+        round(1.0 / list_sum(list_transform(embedding, lambda a: exp(CAST(a AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE)))), 6) AS prob
+ FROM embeddings""")
+def _batch_predict(spark, sf):
+    e = td.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<float>"))
+    rt = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("prob", T.DoubleType())])
+    p = ml.batch_predict(e, "embedding", make_softmax_model, rt, batch_size=64, input_shape=[64])
+    return p.select("vec_id", "prediction.label", "prediction.prob")
