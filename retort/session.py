@@ -40,15 +40,19 @@ def get_spark(master: str | None = None, app: str = "retort",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder from the session; set a scratch one only if unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder.
+
+    Spark initialises the context's checkpoint folder from
+    ``spark.checkpoint.dir``; that is used as is.  Only when none is
+    configured (local tests) a fresh scratch folder is set.
+    """
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="retort-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

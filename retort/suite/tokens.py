@@ -313,3 +313,20 @@ def _bleu(spark, sf):
     out = bl.corpus_bleu(pairs, ["conv_id", "turn"], "hyp", "ref")
     return out.select("sys_len", "ref_len", *[f"total_{n}" for n in range(1, 5)],
                       *[f"correct_{n}" for n in range(1, 5)], "bleu")
+
+
+# ------------------------------------------------------------------ vocabulary training (property checks)
+
+@register("train_bpe")
+def _train_bpe(spark, sf):
+    from retort.operators import vocab_train as vt
+    docs = td.table(spark, sf, "documents").select("text")
+    merges, _ = vt.train_bpe(vt.byte_level_words(docs, "text"), num_merges=8, checkpoint_every=4)
+    return merges
+
+
+@register("train_unigram")
+def _train_unigram(spark, sf):
+    from retort.operators import vocab_train as vt
+    words = tk.token_counts(pieces_df(spark, sf)).withColumnRenamed("token", "word")
+    return vt.train_unigram(words, vocab_size=300, seed_size=1000, rounds=2)

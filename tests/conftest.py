@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -9,10 +8,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from retort.session import get_spark
+    from retort.session import checkpoint_dir, get_spark
     s = get_spark("local[*]", app="retort-tests", conf={"spark.sql.shuffle.partitions": "8",
                                                        "spark.driver.memory": "8g"})
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="retort-test-ckpt-"))
+    checkpoint_dir(s)
     yield s
     s.stop()
