@@ -44,21 +44,27 @@ def _grams(tokens: Column, n: int) -> Column:
 
 
 def bleu_stats(pairs: DataFrame, key: list, hyp: str, ref: str) -> DataFrame:
-    """One row: sys_len, ref_len, correct_1..4, total_1..4."""
+    """One row: sys_len, ref_len, total_1..4, correct_1..4.
+
+    One explode of all n-grams of both sides, one aggregation per
+    (segment, n, gram) with hypothesis and reference counts side by side,
+    then one global aggregation: totals are the hypothesis n-gram counts,
+    lengths the unigram counts, matches the clipped minima.
+    """
     t = pairs.select(*key, tokenize_13a(F.trim(F.col(hyp))).alias("__h"), tokenize_13a(F.trim(F.col(ref))).alias("__r"))
-    t = t.select(*key, "__h", "__r", F.size("__h").alias("__hl"), F.size("__r").alias("__rl"))
-    lens = t.agg(F.sum("__hl").alias("sys_len"), F.sum("__rl").alias("ref_len"),
-                 *[F.sum(F.greatest(F.col("__hl") - n + 1, F.lit(0))).alias(f"total_{n}") for n in range(1, MAX_ORDER + 1)])
-    arr_h = F.array(*[F.struct(F.lit(n).alias("n"), _grams(F.col("__h"), n).alias("g")) for n in range(1, MAX_ORDER + 1)])
-    arr_r = F.array(*[F.struct(F.lit(n).alias("n"), _grams(F.col("__r"), n).alias("g")) for n in range(1, MAX_ORDER + 1)])
-    gh = (t.select(*key, F.inline(arr_h)).select(*key, "n", F.explode("g").alias("gram"))
-          .groupBy(*key, "n", "gram").agg(F.count(F.lit(1)).alias("ch")))
-    gr = (t.select(*key, F.inline(arr_r)).select(*key, "n", F.explode("g").alias("gram"))
-          .groupBy(*key, "n", "gram").agg(F.count(F.lit(1)).alias("cr")))
-    m = gh.join(gr, key + ["n", "gram"]).groupBy().pivot("n", list(range(1, MAX_ORDER + 1))).agg(
-        F.sum(F.least("ch", "cr")))
-    correct = m.select(*[F.coalesce(F.col(str(n)), F.lit(0)).alias(f"correct_{n}") for n in range(1, MAX_ORDER + 1)])
-    return lens.withColumn("__k", F.lit(1)).join(correct.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), _grams(F.col(c), n).alias("g"))
+                      for side, c in (("h", "__h"), ("r", "__r")) for n in range(1, MAX_ORDER + 1)])
+    g = (t.select(*key, F.inline(sides)).select(*key, "side", "n", F.explode_outer("g").alias("gram"))
+         .where(F.col("gram").isNotNull()))
+    c = g.groupBy(*key, "n", "gram").agg(F.sum((F.col("side") == "h").cast("long")).alias("ch"),
+                                         F.sum((F.col("side") == "r").cast("long")).alias("cr"))
+    n = F.col("n")
+    aggs = [F.coalesce(F.sum(F.when(n == 1, F.col("ch"))), F.lit(0)).alias("sys_len"),
+            F.coalesce(F.sum(F.when(n == 1, F.col("cr"))), F.lit(0)).alias("ref_len")]
+    aggs += [F.coalesce(F.sum(F.when(n == k, F.col("ch"))), F.lit(0)).alias(f"total_{k}") for k in range(1, MAX_ORDER + 1)]
+    aggs += [F.coalesce(F.sum(F.when(n == k, F.least("ch", "cr"))), F.lit(0)).alias(f"correct_{k}")
+             for k in range(1, MAX_ORDER + 1)]
+    return c.agg(*aggs)
 
 
 def bleu_score(stats: DataFrame) -> DataFrame:

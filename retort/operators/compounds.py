@@ -25,7 +25,7 @@ def distinct_compounds(clean: DataFrame, cols=None) -> DataFrame:
     """Distinct '.'-fragments over role and product columns -> (smiles)."""
     cols = cols or ROLES + ["PRODUCT"]
     v = clean.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("v")).where(F.col("v").isNotNull())
-    return v.select(F.explode(F.split("v", r"\.")).alias("smiles")).distinct()
+    return v.select(F.explode_outer(F.split("v", r"\.")).alias("smiles")).where(F.col("smiles").isNotNull()).distinct()
 
 
 def heavy_atom_weight(df: DataFrame, col: str = "smiles", out: str = "heavy_weight") -> DataFrame:
@@ -36,7 +36,7 @@ def heavy_atom_weight(df: DataFrame, col: str = "smiles", out: str = "heavy_weig
     """
     spark = df.sparkSession
     weights = spark.createDataFrame(ATOMIC_WEIGHTS, "symbol string, weight double")
-    atoms = df.select(col, F.explode(sm.atom_symbols(col)).alias("a"))
+    atoms = df.select(col, F.explode_outer(sm.atom_symbols(col)).alias("a")).where(F.col("a").isNotNull())
     atoms = atoms.select(col, F.concat(F.upper(F.substring("a", 1, 1)), F.substring("a", 2, 10)).alias("symbol"))
     j = atoms.join(F.broadcast(weights), "symbol")
     return j.groupBy(col).agg(F.round(F.sum("weight"), 4).alias(out))

@@ -42,7 +42,8 @@ def byte_symbols(word: Column) -> Column:
 
 def byte_level_words(df: DataFrame, text_col: str) -> DataFrame:
     """(word, n): pre-tokenised words of the corpus with their counts."""
-    w = df.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(BYTE_LEVEL_SPLIT), 0)).alias("word"))
+    w = (df.select(F.explode_outer(F.regexp_extract_all(F.col(text_col), F.lit(BYTE_LEVEL_SPLIT), 0)).alias("word"))
+         .where(F.col("word").isNotNull()))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -87,10 +88,10 @@ def train_bpe(words: DataFrame, num_merges: int, checkpoint_every: int = 10, min
 def _seed_pieces(words: DataFrame, max_len: int, seed_size: int) -> DataFrame:
     """Candidate pieces: substrings (<= max_len chars) weighted by word count; all single characters kept."""
     w = words.select("word", "n", F.length("word").alias("L"))
-    subs = w.select("n", F.explode(F.flatten(F.transform(
+    subs = w.select("n", F.explode_outer(F.flatten(F.transform(
         F.sequence(F.lit(1), F.col("L")),
         lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_len), F.col("L") - i + 1)),
-                              lambda k: F.substring(F.col("word"), i, k))))).alias("piece"))
+                              lambda k: F.substring(F.col("word"), i, k))))).alias("piece")).where(F.col("piece").isNotNull())
     counts = subs.groupBy("piece").agg(F.sum("n").alias("freq"))
     singles = counts.where(F.length("piece") == 1)
     longer = counts.where(F.length("piece") > 1).orderBy(F.desc(F.col("freq") * F.length("piece")), "piece").limit(seed_size)
