@@ -51,7 +51,8 @@ def bleu_stats(pairs: DataFrame, key: list, hyp: str, ref: str) -> DataFrame:
     then one global aggregation: totals are the hypothesis n-gram counts,
     lengths the unigram counts, matches the clipped minima.
     """
-    t = pairs.select(*key, tokenize_13a(F.trim(F.col(hyp))).alias("__h"), tokenize_13a(F.trim(F.col(ref))).alias("__r"))
+    from retort.session import widen
+    t = widen(pairs).select(*key, tokenize_13a(F.trim(F.col(hyp))).alias("__h"), tokenize_13a(F.trim(F.col(ref))).alias("__r"))
     sides = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), _grams(F.col(c), n).alias("g"))
                       for side, c in (("h", "__h"), ("r", "__r")) for n in range(1, MAX_ORDER + 1)])
     g = (t.select(*key, F.inline(sides)).select(*key, "side", "n", F.explode_outer("g").alias("gram"))

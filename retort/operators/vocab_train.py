@@ -42,7 +42,8 @@ def byte_symbols(word: Column) -> Column:
 
 def byte_level_words(df: DataFrame, text_col: str) -> DataFrame:
     """(word, n): pre-tokenised words of the corpus with their counts."""
-    w = (df.select(F.explode_outer(F.regexp_extract_all(F.col(text_col), F.lit(BYTE_LEVEL_SPLIT), 0)).alias("word"))
+    from retort.session import widen
+    w = (widen(df).select(F.explode_outer(F.regexp_extract_all(F.col(text_col), F.lit(BYTE_LEVEL_SPLIT), 0)).alias("word"))
          .where(F.col("word").isNotNull()))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 

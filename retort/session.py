@@ -59,3 +59,14 @@ def stage_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for an intermediate table."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "stages", name)
+
+
+def widen(df, factor: int = 2):
+    """Spread CPU-heavy row work over all cores when the scan gives fewer
+    partitions than the cluster has task slots (small inputs with few row
+    groups).  On a large input this is a no-op: it never adds a shuffle
+    when there are already enough partitions."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots * factor)
+    return df
