@@ -28,6 +28,20 @@ from retort.functions.hashing import hash_key
 IDX, TOTAL = "idx", "n"
 
 
+def _range_buckets(df: DataFrame, nb: int, sort_cols: list) -> DataFrame:
+    """Rows with ``__b`` = their range-partition id, materialised once.
+
+    The bucket ids come from sampled range bounds; the plan reads the
+    bucketed rows twice (counts and rows), so they are written once with a
+    reliable ``checkpoint()`` into the session's checkpoint folder.  Both
+    reads then see the same assignment, also after an executor loss.
+    """
+    from retort.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    b = df.repartitionByRange(nb, *sort_cols).withColumn("__b", F.spark_partition_id())
+    return b.checkpoint(eager=True)
+
+
 def _default_buckets(df: DataFrame) -> int:
     try:
         return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4, 16)
@@ -49,7 +63,7 @@ def global_index(df: DataFrame, order: list, by: list | None = None, bucket: Col
     if bucket is None:
         nb = buckets or _default_buckets(df)
         sort_cols = [F.col(c) for c in by] + order_cols
-        b = df.repartitionByRange(nb, *sort_cols).withColumn("__b", F.spark_partition_id())
+        b = _range_buckets(df, nb, sort_cols)
     else:
         b = df.withColumn("__b", bucket)
     counts = b.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
@@ -67,8 +81,16 @@ def global_index(df: DataFrame, order: list, by: list | None = None, bucket: Col
 
 
 def hash_index(df: DataFrame, seed: int, key_cols: list, by: list | None = None,
-               prefix_hex: int = 3, index_col: str = IDX, total_col: str | None = TOTAL) -> DataFrame:
-    """Position in the seeded md5 order of ``key_cols`` (unique key), bucketed by md5 prefix."""
+               prefix_hex: int | None = None, index_col: str = IDX, total_col: str | None = TOTAL) -> DataFrame:
+    """Position in the seeded md5 order of ``key_cols`` (unique key), bucketed by md5 prefix.
+
+    md5 is uniform, so the prefix is a balanced, order-preserving bucket
+    without a sampling pass.  The prefix length follows the cluster's
+    shuffle parallelism (about 4 buckets per shuffle partition, at least
+    16^3), so bucket size stays bounded as data and cluster grow.
+    """
+    if prefix_hex is None:
+        prefix_hex = max(3, math.ceil(math.log(_default_buckets(df), 16)))
     df = df.withColumn("__hk", hash_key(seed, *key_cols))
     bucket = F.conv(F.substring("__hk", 1, prefix_hex), 16, 10).cast("int")
     out = global_index(df, ["__hk"] + list(key_cols), by=by, bucket=bucket,
@@ -208,7 +230,7 @@ def running_sum(df: DataFrame, order: list, value, by: list | None = None, out=N
     outs = [out] if isinstance(out, str) else (out or [f"cum_{v}" for v in values])
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     nb = buckets or _default_buckets(df)
-    b = df.repartitionByRange(nb, *[F.col(c) for c in by], *order_cols).withColumn("__b", F.spark_partition_id())
+    b = _range_buckets(df, nb, [F.col(c) for c in by] + order_cols)
     sums = b.groupBy(*by, "__b").agg(*[F.sum(v).alias(f"__s{i}") for i, v in enumerate(values)])
     wb = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offs = sums.select(*by, "__b", *[F.coalesce(F.sum(f"__s{i}").over(wb), F.lit(0)).alias(f"__o{i}")

@@ -123,11 +123,12 @@ def epochs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     The per-user window is the natural key of this log; users hold a
     bounded number of events in the test data.
     """
-    from pyspark.sql import Window
+    from retort.plans.rowindex import global_index
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(F.col("user_id").alias("run"), F.row_number().over(w).alias("epoch"),
-                     F.col("value").alias("loss"), (F.col("event_id") % 5 + 1).alias("n"))
+    # bucketed per-user positions: a user holding a third of all events spreads over many tasks
+    x = global_index(ev, ["ts", "event_id"], by=["user_id"], total_col=None)
+    return x.select(F.col("user_id").alias("run"), (F.col("idx") + 1).cast("int").alias("epoch"),
+                    F.col("value").alias("loss"), (F.col("event_id") % 5 + 1).alias("n"))
 
 
 # ---------------------------------------------------------------- SQL twins
