@@ -66,3 +66,8 @@ def test_scan_by_extension_rejects_unknown(spark):
     import pytest
     with pytest.raises(ValueError):
         io.scan_by_extension(spark, "/nonexistent/file.xml")
+
+
+def test_inline_row(spark):
+    df = io.inline_row(spark, "REACTANT:CCOREAGENT: ")
+    assert df.columns == ["input"] and df.collect()[0].input == "REACTANT:CCOREAGENT: "
