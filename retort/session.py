@@ -65,7 +65,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_retort_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="retort-ship-"), "retort.zip")
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="retort-ship-")), "retort.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(root):
             for n in sorted(names):
