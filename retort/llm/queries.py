@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import chatlogs, packing, qualify, reshard, secrets, toxicity
+from retort.llm import chatlogs, packing, qualify, reshard, secrets, setjoin, toxicity
 from retort.llm.common import table
 
 QUERIES: dict = {}
@@ -34,6 +34,11 @@ def op3_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved"))
 
 
+@query
+def op4_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
