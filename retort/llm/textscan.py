@@ -18,6 +18,11 @@ _P = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 _INV = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that end a folded word: all ASCII characters but letters and digits.
+NOT_ALNUM = np.zeros(256, bool)
+NOT_ALNUM[[c for c in range(128) if not chr(c).isalnum()]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _powers: list = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -103,6 +108,17 @@ def words(buf: np.ndarray, off: np.ndarray, delimiters: np.ndarray = _SPACE):
     return starts, ends, rows, span_hashes(buf, starts, ends)
 
 
+def folded_words(buf: np.ndarray, off: np.ndarray):
+    """(hash, row) of the words of letters and digits, ASCII and Latin-1 letters in lower case."""
+    low = _LOWER[buf]
+    if len(low):
+        second = low[1:]
+        capital = (low[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+        second[capital] += 0x20
+    _, _, rows, h = words(low, off, NOT_ALNUM)
+    return h, rows
+
+
 def ngrams(h: np.ndarray, rows: np.ndarray, n: int):
     """Hashes and first word positions of the n-word windows inside each row."""
     if len(h) < n:

@@ -1,7 +1,7 @@
 """Toxicity: non-negative positive-unlabelled learning.
 
-A linear model over the distinct words of a text (ASCII letters in lower
-case, other ASCII characters delimit; only words whose share differs clearly
+A linear model over the distinct words of a text (ASCII and Latin-1
+letters in lower case, other ASCII characters delimit; only words whose share differs clearly
 between the positive and the other fitted texts) is trained from confirmed toxic texts
 and unlabelled texts with the class-prior-corrected risk
 
@@ -36,11 +36,6 @@ MAX_WORDS = 20_000
 MIN_Z = 5.0
 STEPS, RATE, DECAY = 300, 0.05, 2e-4
 
-_DELIMITER = np.zeros(256, bool)
-_DELIMITER[[c for c in range(128) if not chr(c).isalnum()]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 
 def learnable(doc_id: Column) -> Column:
     """Rows whose labels may be learnt; the others are held out."""
@@ -49,7 +44,7 @@ def learnable(doc_id: Column) -> Column:
 
 def word_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the distinct words of each text."""
-    _, _, rows, h = ts.words(_LOWER[buf], off, _DELIMITER)
+    h, rows = ts.folded_words(buf, off)
     if not len(h):
         return h, rows
     order = np.lexsort((h, rows))
