@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import chatlogs, decontaminate, packing, qualify, reshard, secrets, setjoin, toxicity
+from retort.llm import chatlogs, decontaminate, htmltext, packing, qualify, reshard, secrets, setjoin, toxicity
 from retort.llm.common import table
 
 QUERIES: dict = {}
@@ -39,6 +39,11 @@ def op4_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.linked(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
