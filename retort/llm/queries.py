@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import chatlogs, decontaminate, htmltext, packing, qualify, reshard, secrets, setjoin, toxicity
+from retort.llm import chatlogs, decontaminate, htmltext, packing, qualify, reshard, secrets, setjoin, substrings, toxicity
 from retort.llm.common import table
 
 QUERIES: dict = {}
@@ -24,6 +24,36 @@ def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualify.score(docs, weights)
 
 
+@query
+def op2_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op2_maximal_repeats"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s
+      FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+r AS (SELECT g.doc_id, g.i FROM g JOIN m ON g.s = m.s WHERE m.least < g.doc_id),
+n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 50 THEN 0 ELSE 1 END AS fresh
+      FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+parts AS (SELECT cuts.doc_id, before AS pos, substr(x, 2 * before + 1, 2 * (a - before)) AS part FROM cuts JOIN d USING (doc_id)
+          UNION ALL
+          SELECT d.doc_id, coalesce(e, 0), substr(x, 2 * coalesce(e, 0) + 1)
+          FROM d LEFT JOIN (SELECT doc_id, max(b) AS e FROM spans GROUP BY doc_id) USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(part, '' ORDER BY pos) AS x FROM parts GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, length(d.x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(kept.x)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+
 @query
 def op3_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old layout keeps each source in one of 12 shards, so one of them is very full."""
@@ -39,6 +69,24 @@ def op4_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.linked(table(spark, sf_dir, "documents"))
 
 
+SQL["op4_chosen_path_join"] = """
+WITH RECURSIVE t AS (
+    SELECT text, min(doc_id) AS rep, count(*) AS n_copies,
+           regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w
+    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY text),
+s AS (SELECT DISTINCT rep, array_to_string(w[i + 1:i + 5], ' ') AS g
+      FROM (SELECT rep, w, unnest(range(0, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM t)),
+z AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z x ON x.rep = a JOIN z y ON y.rep = b WHERE c >= 0.8 * (x.n + y.n - c)),
+c AS (SELECT rep AS a, rep AS b FROM t UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+k AS (SELECT a AS rep, min(b) AS class_id FROM c GROUP BY a),
+l AS (SELECT a AS rep, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, k.class_id, t.n_copies, coalesce(l.n_links, 0) AS n_links
+FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN k USING (rep) LEFT JOIN l USING (rep)
+"""
+
+
 @query
 def op5_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
@@ -76,3 +124,15 @@ def op9_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatlogs.collapse(table(spark, sf_dir, "conversations"))
+
+
+SQL["op10_chat_snapshots"] = """
+WITH t AS (SELECT conv_id, list(coalesce(role, 'user') || chr(0) || coalesce(text, '') ORDER BY turn) AS v,
+                  string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10),
+                             '' ORDER BY turn) AS rendered
+           FROM conversations GROUP BY conv_id),
+p AS (SELECT DISTINCT v[1:n] AS v FROM (SELECT v, unnest(range(1, len(v))) AS n FROM t)),
+u AS (SELECT v, min(conv_id) AS conv_id, count(*) AS n_copies FROM t GROUP BY v)
+SELECT u.conv_id, CAST(len(u.v) AS BIGINT) AS n_turns, u.n_copies, t.rendered
+FROM u JOIN t USING (conv_id) WHERE u.v NOT IN (SELECT v FROM p)
+"""
