@@ -212,9 +212,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows are matched by (doc_id, text), so copies of a leaked text are spread over all tasks.
     """
-    key = text_key(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn("__key", key)
-    bad = (rows.select("doc_id", "__key").join(leaks(docs, benchmark).select("key").distinct(), F.col("__key") == F.col("key"))
-           .select(F.col("doc_id").alias("__id"), F.col("__key").alias("__bad")).distinct())
-    same = (F.col("__key") == F.col("__bad")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return rows.join(bad, same, "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                       text_key(F.coalesce("text", F.lit(""))).alias("key"))
+    bad = rows.select("doc_id", "key").join(leaks(docs, benchmark).select("key").distinct(), "key").distinct().alias("b")
+    same = (F.col("t.key") == F.col("b.key")) & F.col("t.doc_id").eqNullSafe(F.col("b.doc_id"))
+    return rows.alias("t").join(bad, same, "left_anti").select("row.*")

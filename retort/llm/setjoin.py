@@ -373,7 +373,9 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: of each group the text of the smallest doc_id, once."""
-    keep = (groups(docs).where("key = keeper").select(F.col("key").alias("__k"), F.col("rep").alias("__rep")))
-    rows = docs.withColumn("__key", text_key(F.coalesce(F.col("text"), F.lit(""))))
-    same = (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__rep"))
-    return rows.join(keep, same, "left_semi").dropDuplicates(["__key", "doc_id"]).select(*docs.columns)
+    keep = groups(docs).where("key = keeper").select("key", "rep")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                       text_key(F.coalesce("text", F.lit(""))).alias("key")).alias("t")
+    k = keep.alias("k")
+    same = (F.col("t.key") == F.col("k.key")) & F.col("t.doc_id").eqNullSafe(F.col("k.rep"))
+    return rows.join(k, same, "left_semi").dropDuplicates(["key", "doc_id"]).select("row.*")
