@@ -28,7 +28,7 @@ from retort.llm.common import texts
 
 BUCKETS = 1 << 14
 MAX_TRUSTED = 100_000
-SMOOTHING = 0.5
+SMOOTHING = 20.0  # counts added to a bucket on both sides: little evidence means a ratio near one
 THRESHOLD = -0.06  # nats per n-gram
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 UNIT = 1_000_000  # weights are whole millionths, so sums do not depend on their order
@@ -82,8 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarra
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
     if not target.sum():
         return np.zeros(buckets, np.int64)
-    share = lambda c: (c + SMOOTHING) / (c.sum() + SMOOTHING * buckets)
-    return np.rint(UNIT * np.log(share(target) / share(raw))).astype(np.int64)
+    expected = raw * (target.sum() / raw.sum())
+    return np.rint(UNIT * np.log((target + SMOOTHING) / (expected + SMOOTHING))).astype(np.int64)
 
 
 def _base(piece: np.ndarray, off: np.ndarray):
