@@ -45,8 +45,8 @@ from retort.llm import textscan as ts
 from retort.llm.common import text_key, texts
 
 LENGTH, GRAM = 50, 16
-BLOCK_BYTES = 8 << 20
-BUCKET_ANCHORS = 1 << 20  # anchor hashes a bucket is sized for
+BLOCK_BYTES = 4 << 20
+BUCKET_ANCHORS = 1 << 18  # anchor hashes a bucket is sized for
 ANCHORS_PER_BYTE = 0.058
 HOT = 10_000
 _PIECE = (1 << 17) - 128
@@ -62,7 +62,7 @@ def anchors(buf: np.ndarray, off: np.ndarray):
     edge = np.zeros(len(buf) + 1, np.int32)  # windows that would leave their text are closed
     np.add.at(edge, np.maximum(off[:-1], off[1:] - LENGTH + 1), 1)
     np.add.at(edge, off[1:], -1)
-    closed = np.cumsum(edge)[:-1] > 0
+    closed = np.cumsum(edge, dtype=np.int32)[:-1] > 0
     out = []
     for s in range(0, len(buf) - LENGTH + 1, _PIECE):
         part = buf[s:s + _PIECE + LENGTH - 1]
@@ -210,7 +210,7 @@ class Block:
         edge = np.zeros(len(self.buf) + 1, np.int32)
         np.add.at(edge, self.start[whole], 1)
         np.add.at(edge, self.end[whole], -1)
-        out = np.cumsum(edge)[:-1] > 0
+        out = np.cumsum(edge, dtype=np.int32)[:-1] > 0
         part = np.flatnonzero(~whole & (code[self.entry] == 2))
         for a in range(0, len(part), 1 << 14):
             own = part[a:a + (1 << 14)]
