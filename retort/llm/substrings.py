@@ -52,6 +52,7 @@ HOT = 10_000
 _PIECE = (1 << 17) - 128
 _PLACE = (1 << 17) - 1
 _LAST_ID = np.iinfo(np.int64).max
+_MEMBERS = 1 << 20
 _MASK = 88  # bits: more than the bytes of any span (LENGTH - 1 + windows of one anchor)
 
 
@@ -396,15 +397,20 @@ def _judge(t: pa.Table) -> pa.Table:
             by_suffix = np.append(least[r.owner], _LAST_ID)
             holder = np.minimum.reduceat(by_suffix, np.stack([r.lo, r.hi + 1], 1).ravel())[::2]
             edge = np.zeros((len(many), _MASK + 1), np.int32)
-            for a in range(0, len(r.length), 1 << 16):
-                lo, n = r.lo[a:a + (1 << 16)], (r.hi - r.lo + 1)[a:a + (1 << 16)]
+            size = r.hi - r.lo + 1
+            whole = np.append(0, np.cumsum(size))
+            a = 0
+            while a < len(size):  # as many groups at a time as have about a million members
+                b = max(a + 1, int(np.searchsorted(whole, whole[a] + _MEMBERS, "right")) - 1)
+                lo, n = r.lo[a:b], size[a:b]
                 member = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
                 node = a + np.repeat(np.arange(len(n)), n)
                 held = holder[node] < by_suffix[member]
                 member, node = member[held], node[held]
                 np.add.at(edge, (r.owner[member], r.at[member]), 1)
                 np.add.at(edge, (r.owner[member], r.at[member] + r.length[node]), -1)
-            masks[many] = np.packbits(np.cumsum(edge, axis=1)[:, :_MASK] > 0, axis=1)
+                a = b
+            masks[many] = np.packbits(np.cumsum(edge, axis=1, dtype=np.int32)[:, :_MASK] > 0, axis=1)
     partly = masks.any(axis=1)[kind] & (code == 0)
     code[partly] = 2
     cut = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row))
