@@ -4,7 +4,8 @@ Nothing here parses molecules.  The defaults are *syntax-level* stand-ins
 so every job runs and is oracle-checkable without a chemistry library:
 
 * ``is_valid_smiles``  — token grammar covers the text, parentheses
-  balance, ring-closure digits pair up.  Not a valence/aromaticity check.
+  balance, ring closures (digits and %nn) pair up.  Not a valence or
+  aromaticity check; empty branches and doubled bonds pass.
 * ``canonical_fragments`` — fragment normal form: atom maps stripped,
   fragments sorted, rejoined; null when any fragment fails the syntax
   check.  Not a canonical SMILES; exact chemistry plugs in through
@@ -47,15 +48,13 @@ def _paren_depth_ok(f: Column) -> Column:
 
 
 def _rings_paired(f: Column) -> Column:
-    """Every ring-closure digit (outside bracket atoms, '%nn' ignored) occurs an even
-    number of times: XOR of one bit per digit is 0.  The stripped text is used
-    once, so the regex work runs once per fragment."""
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(f, BRACKET_ATOM, ""), "%[0-9][0-9]", ""),
-                              "[^0-9]", "")
-    parity = F.aggregate(F.split(digits, ""), F.lit(0),
-                         lambda acc, ch: F.when(ch == "", acc).otherwise(
-                             acc.bitwiseXOR(F.pow(F.lit(2), ch.cast("int")).cast("int"))))
-    return parity == 0
+    """Every ring-closure number (one digit, or '%nn'; outside bracket atoms) occurs an even number of times.
+
+    The sorted closures are folded with the one that waits for its partner.
+    """
+    closures = F.array_sort(F.regexp_extract_all(F.regexp_replace(f, BRACKET_ATOM, ""), F.lit("%[0-9][0-9]|[0-9]"), 0))
+    waiting = F.aggregate(closures, F.lit(""), lambda acc, x: F.when(acc == "", x).when(acc == x, F.lit("")).otherwise(F.lit("!")))
+    return waiting == ""
 
 
 def fragment_is_valid(f: Column) -> Column:

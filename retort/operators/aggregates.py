@@ -47,12 +47,34 @@ def length_histogram(df: DataFrame, col: str, bins: int = 1000) -> DataFrame:
     return g.select("bin", F.round(lower, 6).alias("lower"), "n")
 
 
-def corpus_counts(stages: dict) -> DataFrame:
-    """Row count after each named stage, in one job per stage set: {name: df}."""
-    from functools import reduce
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
-             for name, df in stages.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def stage_conditions(conditions: dict) -> dict:
+    """name -> Column counting the rows that pass this and all earlier conditions (None: all rows)."""
+    out, passed = {}, F.lit(True)
+    for name, c in conditions.items():
+        passed = passed if c is None else passed & F.coalesce(c, F.lit(False))
+        out[name] = F.count_if(passed)
+    return out
+
+
+def corpus_counts(*parts: tuple) -> DataFrame:
+    """(stage, n) after each named stage; each part is (df, {stage: condition}), counted in one pass over df.
+
+    Only a stage that is not a row condition (a dedup) needs a new part.
+    """
+    out = None
+    for df, conditions in parts:
+        counts = stage_conditions(conditions)
+        rows = F.array(*[F.struct(F.lit(name).alias("stage"), c.alias("n")) for name, c in counts.items()])
+        one = df.agg(rows.alias("r")).select(F.inline("r"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def observe_counts(df: DataFrame, name: str, conditions: dict):
+    """(df, observation): the same counts as metrics of whatever job reads ``df``, without a pass of their own."""
+    from pyspark.sql import Observation
+    watch = Observation(name)
+    return df.observe(watch, *[c.alias(k) for k, c in stage_conditions(conditions).items()]), watch
 
 
 def step_metric_mean(df: DataFrame, step: str, metrics: list) -> DataFrame:

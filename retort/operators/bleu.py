@@ -51,8 +51,7 @@ def bleu_stats(pairs: DataFrame, key: list, hyp: str, ref: str) -> DataFrame:
     then one global aggregation: totals are the hypothesis n-gram counts,
     lengths the unigram counts, matches the clipped minima.
     """
-    from retort.session import widen
-    t = widen(pairs).select(*key, tokenize_13a(F.trim(F.col(hyp))).alias("__h"), tokenize_13a(F.trim(F.col(ref))).alias("__r"))
+    t = pairs.select(*key, tokenize_13a(F.trim(F.col(hyp))).alias("__h"), tokenize_13a(F.trim(F.col(ref))).alias("__r"))
     sides = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), _grams(F.col(c), n).alias("g"))
                       for side, c in (("h", "__h"), ("r", "__r")) for n in range(1, MAX_ORDER + 1)])
     g = (t.select(*key, F.inline(sides)).select(*key, "side", "n", F.explode_outer("g").alias("gram"))
@@ -69,7 +68,7 @@ def bleu_stats(pairs: DataFrame, key: list, hyp: str, ref: str) -> DataFrame:
 
 
 def bleu_score(stats: DataFrame) -> DataFrame:
-    """Score 0..100 from the statistics row ('exp' smoothing, brevity penalty)."""
+    """Score 0..100 from the statistics row ('exp' smoothing, brevity penalty); 0 when no n-gram of any order matches."""
     sys_len, ref_len = F.col("sys_len").cast("double"), F.col("ref_len").cast("double")
     bp = F.when(sys_len < ref_len, F.when(sys_len > 0, F.exp(1 - ref_len / sys_len)).otherwise(F.lit(0.0))) \
         .otherwise(F.lit(1.0))
@@ -82,7 +81,8 @@ def bleu_score(stats: DataFrame) -> DataFrame:
         smooth = F.when(alive & (cor == 0), smooth * 2).otherwise(smooth)
         p = F.when(~alive, F.lit(0.0)).when(cor == 0, 100.0 / (smooth * tot)).otherwise(100.0 * cor / tot)
         logs.append(F.when(p == 0, F.lit(-9999999999.0)).otherwise(F.log(p)))
-    score = F.when(sys_len == 0, F.lit(0.0)).otherwise(bp * F.exp((logs[0] + logs[1] + logs[2] + logs[3]) / 4))
+    matched = sum((F.col(f"correct_{n}") for n in range(2, MAX_ORDER + 1)), F.col("correct_1"))
+    score = F.when((sys_len == 0) | (matched == 0), F.lit(0.0)).otherwise(bp * F.exp((logs[0] + logs[1] + logs[2] + logs[3]) / 4))
     return stats.withColumn("bleu", score)
 
 

@@ -23,8 +23,8 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, on_missing: str = "e
 
     ``lookup_order``: when the lookup has repeated keys, the last row in
     this order wins (dict semantics); otherwise keys must be unique.
-    ``on_missing``: 'error' raises if some non-null key has no entry
-    (the reference's KeyError), 'keep' leaves nulls, 'drop' removes rows.
+    ``on_missing``: 'error' makes the job fail if some non-null key has no
+    entry, 'keep' leaves nulls, 'drop' removes rows.
 
     No broadcast hint: the dictionary can grow with the data.  AQE
     converts the join to a broadcast at run time when the lookup side is
@@ -37,9 +37,10 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, on_missing: str = "e
     marked = lookup.withColumn("__hit", F.lit(True))
     out = df.join(marked, key, "left")
     if on_missing == "error":
-        missing = out.where(F.col(key).isNotNull() & F.col("__hit").isNull()).limit(1).collect()
-        if missing:
-            raise KeyError(f"lookup has no entry for {missing[0][key]!r}")
+        absent = F.col(key).isNotNull() & F.col("__hit").isNull()
+        fail = F.raise_error(F.concat(F.lit("lookup has no entry for "), F.col(key).cast("string")))
+        # in the kept column, not only in the dropped mark, so that the check cannot be optimised away
+        out = out.withColumns({v: F.when(absent, fail.cast(out.schema[v].dataType)).otherwise(F.col(v)) for v in vals})
     elif on_missing == "drop":
         out = out.where(F.col("__hit").isNotNull())
     return out.drop("__hit")

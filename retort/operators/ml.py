@@ -12,7 +12,6 @@ table instead of an adaptive sampler.
 
 from __future__ import annotations
 
-import warnings
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import HashingTF
@@ -53,8 +52,7 @@ def hashed_fingerprint(df: DataFrame, col: str, dim: int = 256, out: str = "feat
 
 def _depth(d: int) -> int:
     if d > MAX_DEPTH:
-        warnings.warn(f"max_depth {d} clamped to {MAX_DEPTH} (Spark ML limit)")
-        return MAX_DEPTH
+        raise ValueError(f"max_depth {d} is over Spark ML's limit of {MAX_DEPTH}")
     return d
 
 
@@ -102,11 +100,12 @@ def param_search(train: DataFrame, valid: DataFrame, label: str, trials: DataFra
     maps = [{rf.numTrees: int(r["num_trees"]), rf.maxDepth: _depth(int(r["max_depth"]))} for r in rows]
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2")
     out = []
-    train = train.cache()
+    train, valid = train.cache(), valid.cache()
     for idx, model in rf.fitMultiple(train, maps):
         r = rows[idx]
         out.append((int(r["trial"]), int(r["num_trees"]), int(r["max_depth"]), float(ev.evaluate(model.transform(valid)))))
     train.unpersist()
+    valid.unpersist()
     return train.sparkSession.createDataFrame(out, "trial long, num_trees int, max_depth int, r2 double")
 
 

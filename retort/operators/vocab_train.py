@@ -1,9 +1,9 @@
 """Vocabulary training on Spark: byte-level BPE and Unigram (EM).
 
-Both work on the distinct-word table (word, count) so the corpus is read
-once; every round is one distributed aggregation and only O(1) rows (BPE:
-the winning pair) or the bounded piece table (Unigram: at most
-``seed_size`` pieces) reach the driver.  Long loops cut lineage with
+Both work on the distinct-word table (word, count), which is written once,
+so the corpus is read once; every round is one distributed aggregation, and
+only the winning pair (BPE) or the piece table (Unigram: every substring that
+occurs often enough) reaches the driver.  Long loops cut lineage with
 reliable ``checkpoint()`` into the session's checkpoint folder.
 """
 
@@ -42,8 +42,7 @@ def byte_symbols(word: Column) -> Column:
 
 def byte_level_words(df: DataFrame, text_col: str) -> DataFrame:
     """(word, n): pre-tokenised words of the corpus with their counts."""
-    from retort.session import widen
-    w = (widen(df).select(F.explode_outer(F.regexp_extract_all(F.col(text_col), F.lit(BYTE_LEVEL_SPLIT), 0)).alias("word"))
+    w = (df.select(F.explode_outer(F.regexp_extract_all(F.col(text_col), F.lit(BYTE_LEVEL_SPLIT), 0)).alias("word"))
          .where(F.col("word").isNotNull()))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -52,18 +51,19 @@ def _java_quote(s: str) -> str:
     return "".join(c if c.isalnum() else "\\" + c for c in s)
 
 
-def train_bpe(words: DataFrame, num_merges: int, checkpoint_every: int = 10, min_count: int = 2):
+def train_bpe(words: DataFrame, num_merges: int, checkpoint_every: int = 10, min_count: int = 1):
     """Byte-level BPE.  Returns (merges DataFrame(rank, left, right, count), alphabet DataFrame(token)).
 
     Each round: adjacent-pair counts weighted by word count (one
     aggregation), the best pair by (count desc, left, right) — one row to
     the driver — then one ``regexp_replace`` rewrites every word.  Ties are
-    broken by the symbols' text.
+    broken by the symbols' text.  The word table is written once before the
+    first round.  Rounds end early only when no pair occurs ``min_count`` times.
     """
     spark = words.sparkSession
     checkpoint_dir(spark)
     cur = words.select(F.concat(F.lit(SEP), F.array_join(byte_symbols(F.col("word")), SEP), F.lit(SEP)).alias("w"),
-                       "n").groupBy("w").agg(F.sum("n").alias("n"))
+                       "n").groupBy("w").agg(F.sum("n").alias("n")).checkpoint()
     alphabet = cur.select(F.explode(F.split("w", SEP)).alias("token")).where("token != ''").distinct()
     merges = []
     for r in range(num_merges):
@@ -86,23 +86,33 @@ def train_bpe(words: DataFrame, num_merges: int, checkpoint_every: int = 10, min
 
 # ------------------------------------------------------------------ unigram
 
-def _seed_pieces(words: DataFrame, max_len: int, seed_size: int) -> DataFrame:
-    """Candidate pieces: substrings (<= max_len chars) weighted by word count; all single characters kept."""
+def seed_pieces(words: DataFrame, max_len: int, min_freq: int) -> DataFrame:
+    """Candidate pieces: all substrings of at most ``max_len`` characters that occur ``min_freq`` times, and all characters."""
     w = words.select("word", "n", F.length("word").alias("L"))
     subs = w.select("n", F.explode_outer(F.flatten(F.transform(
         F.sequence(F.lit(1), F.col("L")),
         lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_len), F.col("L") - i + 1)),
                               lambda k: F.substring(F.col("word"), i, k))))).alias("piece")).where(F.col("piece").isNotNull())
     counts = subs.groupBy("piece").agg(F.sum("n").alias("freq"))
-    singles = counts.where(F.length("piece") == 1)
-    longer = counts.where(F.length("piece") > 1).orderBy(F.desc(F.col("freq") * F.length("piece")), "piece").limit(seed_size)
-    return singles.unionByName(longer)
+    return counts.where((F.length("piece") == 1) | (F.col("freq") >= min_freq))
 
 
-def _em_partition(scores: dict, max_len: int):
+def _without(piece: str, scores: dict, max_len: int) -> float:
+    """Score of the best segmentation of ``piece`` into other pieces."""
+    n = len(piece)
+    best = [0.0] + [float("-inf")] * n
+    for end in range(1, n + 1):
+        for start in range(max(0, end - max_len), end):
+            if end - start < n and piece[start:end] in scores:
+                best[end] = max(best[end], best[start] + scores[piece[start:end]])
+    return best[n]
+
+
+def _em_partition(shared, max_len: int):
     def run(batches):
         import numpy as np
         import pandas as pd
+        scores = shared.value
         for pdf in batches:
             acc: dict = {}
             for word, n in zip(pdf["word"], pdf["n"]):
@@ -134,37 +144,46 @@ def _em_partition(scores: dict, max_len: int):
     return run
 
 
-def train_unigram(words: DataFrame, vocab_size: int, specials=("<pad>", "</s>", "<unk>"), max_len: int = 8,
-                  seed_size: int = 2000, rounds: int = 4, shrink: float = 0.75) -> DataFrame:
-    """Unigram LM vocabulary by EM (simplified pruning: keep the pieces with
-    the largest expected counts; single characters always kept).
+def train_unigram(words: DataFrame, vocab_size: int, specials=("<pad>", "</s>", "<unk>"), max_len: int = 16,
+                  min_freq: int = 2, sub_rounds: int = 2, shrink: float = 0.75) -> DataFrame:
+    """Unigram LM vocabulary: EM rounds, each followed by pruning on the loss of likelihood.
 
-    E-step: ``mapInPandas`` over the distinct words (forward-backward per
-    word, weighted by its count) with the current piece scores shipped in
-    the closure (bounded by ``seed_size``); expected counts are summed by a
-    ``groupBy``.  M-step and pruning run on that small table.
-    Returns (token, id, score) with the specials first.
+    The word table is written once.  E-step: ``mapInPandas`` over the distinct
+    words (forward-backward per word, weighted by its count) with the current
+    scores broadcast; expected counts are summed by a ``groupBy``.  A piece's
+    loss is its expected count times what its score is above the best
+    segmentation into other pieces; after ``sub_rounds`` EM rounds the share
+    ``shrink`` of largest loss stays, down to the vocabulary size.  Single
+    characters always stay.  Returns (token, id, score), specials first.
     """
     spark = words.sparkSession
-    seed = _seed_pieces(words, max_len, seed_size).collect()  # bounded: singles + seed_size
+    checkpoint_dir(spark)
+    words = words.select("word", "n").checkpoint()
+    seed = seed_pieces(words, max_len, min_freq).collect()
     total = sum(r["freq"] for r in seed)
     scores = {r["piece"]: math.log(r["freq"] / total) for r in seed}
     target = vocab_size - len(specials)
-    for _ in range(rounds):
-        exp = (words.mapInPandas(_em_partition(dict(scores), max_len), "piece string, expected double")
-               .groupBy("piece").agg(F.sum("expected").alias("expected")).collect())
-        z = sum(r["expected"] for r in exp) or 1.0
-        ranked = sorted(exp, key=lambda r: (-r["expected"], r["piece"]))
-        keep_n = max(target, int(len(ranked) * shrink))
-        singles = [r for r in ranked if len(r["piece"]) == 1]
-        multi = [r for r in ranked if len(r["piece"]) > 1][: max(keep_n - len(singles), 0)]
-        scores = {r["piece"]: math.log(r["expected"] / z) for r in singles + multi}
-        if len(scores) <= target:
+    while True:
+        expected: dict = {}
+        for _ in range(sub_rounds):
+            shared = spark.sparkContext.broadcast(scores)
+            rows = (words.mapInPandas(_em_partition(shared, max_len), "piece string, expected double")
+                    .groupBy("piece").agg(F.sum("expected").alias("expected")).collect())
+            shared.unpersist()
+            expected = {r["piece"]: r["expected"] for r in rows}
+            z = sum(expected.values()) or 1.0
+            scores = {p: math.log(x / z) for p, x in expected.items() if x > 0}
+        singles = [p for p in scores if len(p) == 1]
+        multi = [p for p in scores if len(p) > 1]
+        if len(scores) <= target or not multi:
+            break
+        loss = {p: expected[p] * (scores[p] - _without(p, scores, max_len)) for p in multi}
+        room = max(target, int(len(scores) * shrink)) - len(singles)
+        stay = sorted(multi, key=lambda p: (-loss[p], p))[:max(room, 0)]
+        scores = {p: scores[p] for p in singles + stay}
+        if len(scores) <= max(target, len(singles)):
             break
-    ranked = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
-    singles = [kv for kv in ranked if len(kv[0]) == 1]
-    multi = [kv for kv in ranked if len(kv[0]) > 1][: max(target - len(singles), 0)]
-    final = sorted(singles + multi, key=lambda kv: (-kv[1], kv[0]))
+    final = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
     rows = [(s, i, 0.0) for i, s in enumerate(specials)] + [(p, len(specials) + i, float(sc)) for i, (p, sc) in enumerate(final)]
     return spark.createDataFrame(rows, T.StructType([T.StructField("token", T.StringType()),
                                                      T.StructField("id", T.LongType()),

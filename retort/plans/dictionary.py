@@ -59,8 +59,43 @@ def dictionary_apply(df: DataFrame, in_col: str, out_col: str, fn, keep=None) ->
         return df.withColumn(out_col, out)
 
     key = "__dict_key"
-    distinct = df.select(F.col(in_col).alias(key)).where(F.col(key).isNotNull()).distinct()
-    rtype = fn.return_type
+    wanted = F.col(key).isNotNull() if keep is None else F.col(key).isNotNull() & keep(F.col(key))
+    distinct = df.select(F.col(in_col).alias(key)).where(wanted).distinct()
+    joined = df.join(_dictionary(distinct, fn), df[in_col] == F.col(key), "left")
+    out = F.col("__dict_val")
+    if keep is not None:
+        out = F.when(keep(F.col(in_col)), out).otherwise(F.col(in_col))
+    return joined.withColumn(out_col, out).drop(key, "__dict_val")
+
+
+def dictionary_apply_all(df: DataFrame, cols: list, fn, keep=None) -> DataFrame:
+    """``fn`` on several columns, computed once for each value that is distinct over all of them.
+
+    One pass collects the distinct values of all columns; each column then
+    looks its values up in the same dictionary.
+    """
+    if isinstance(fn, str):
+        fn = _REGISTRY[fn]
+    if not isinstance(fn, CompoundFunction):
+        for c in cols:
+            df = dictionary_apply(df, c, c, fn, keep)
+        return df
+    key = "__dict_key"
+    wanted = F.col(key).isNotNull() if keep is None else F.col(key).isNotNull() & keep(F.col(key))
+    values = df.select(F.explode(F.array(*cols)).alias(key)).where(wanted).distinct()
+    words = _dictionary(values, fn)
+    for c in cols:
+        df = df.join(words, df[c] == F.col(key), "left")
+        out = F.col("__dict_val")
+        if keep is not None:
+            out = F.when(keep(F.col(c)), out).otherwise(F.col(c))
+        df = df.withColumn(c, out).drop(key, "__dict_val")
+    return df
+
+
+def _dictionary(distinct: DataFrame, fn: CompoundFunction) -> DataFrame:
+    """(__dict_key, __dict_val): the batch function over distinct values."""
+    key, rtype = "__dict_key", fn.return_type
     user_fn = fn.fn
 
     def run(batches):
@@ -68,9 +103,4 @@ def dictionary_apply(df: DataFrame, in_col: str, out_col: str, fn, keep=None) ->
             pdf["__dict_val"] = user_fn(pdf[key])
             yield pdf
 
-    mapped = distinct.mapInPandas(run, f"{key} string, __dict_val {rtype}")
-    joined = df.join(mapped, df[in_col] == mapped[key], "left")
-    out = F.col("__dict_val")
-    if keep is not None:
-        out = F.when(keep(F.col(in_col)), out).otherwise(F.col(in_col))
-    return joined.withColumn(out_col, out).drop(key, "__dict_val")
+    return distinct.mapInPandas(run, f"{key} string, __dict_val {rtype}")

@@ -6,10 +6,11 @@ to ``true_role`` (pred true) or ``false_role`` (pred false) after the
 text already there.  The reference's code routes True to REACTANT while
 its label polarity says REAGENT (T11), so the caller names the role.
 
-Plan: explode_outer NoData with positions -> equi-join predictions
-(AQE: broadcast when small, skew split when one compound dominates) ->
-group by reaction id.  A reaction's list is bounded by its own NoData
-text, so the per-group collect never grows with the table.
+Plan: explode (reaction id, position, compound) only -> equi-join
+predictions (AQE: broadcast when small, skew split when one compound
+dominates) -> one short list per reaction id and direction -> join back to
+the reactions.  The reactions' own texts go through one join, not through
+the explode.  A reaction's list is bounded by its own NoData text.
 """
 
 from __future__ import annotations
@@ -22,22 +23,30 @@ from retort.operators.joins import lookup_join
 
 def restore_roles(df: DataFrame, predictions: DataFrame, true_role: str, false_role: str | None = None,
                   nodata: str = "NoData", key: str = "smiles", pred: str = "pred", id_col: str = "row_id",
-                  on_missing: str = "keep") -> DataFrame:
+                  on_missing: str = "error") -> DataFrame:
+    """``on_missing``: a compound without a prediction fails the job ('error') or stays in ``nodata`` ('keep').
+
+    With 'keep', ``nodata`` holds just the compounds that were not routed (null if none).
+    """
+    if on_missing not in ("error", "keep"):
+        raise ValueError(f"on_missing must be 'error' or 'keep', not {on_missing!r}")
     if false_role is None:
         false_role = "REAGENT" if true_role == "REACTANT" else "REACTANT"
-    keep_cols = [c for c in df.columns if c != id_col]
-    x = df.select(id_col, *keep_cols,
-                  F.posexplode_outer(F.split(F.col(nodata), r"\.")).alias("__pos", key))
+    x = (df.where(F.col(nodata).isNotNull())
+         .select(id_col, F.posexplode(F.split(F.col(nodata), r"\.")).alias("__pos", key)))
     x = lookup_join(x, predictions.select(key, pred), key, on_missing=on_missing)
     item = F.struct(F.col("__pos"), F.col(key))
-    g = x.groupBy(id_col).agg(
-        *[F.first(c).alias(c) for c in keep_cols],
-        F.array_sort(F.collect_list(F.when(F.col(pred), item))).alias("__t"),
-        F.array_sort(F.collect_list(F.when(~F.col(pred), item))).alias("__f"))
+    lists = {"__t": F.col(pred), "__f": ~F.col(pred), "__n": F.col(pred).isNull()}
+    g = x.groupBy(id_col).agg(*[F.array_sort(F.collect_list(F.when(c, item))).alias(n) for n, c in lists.items()])
+    out = df.join(g, id_col, "left")
+
+    def text(items):
+        return F.nullif(F.array_join(F.transform(F.col(items), lambda s: s[key]), "."), F.lit(""))
 
     def joined(base, items):
-        txt = F.array_join(F.transform(F.col(items), lambda s: s[key]), ".")
-        return F.nullif(F.concat_ws(".", F.col(base), F.nullif(txt, F.lit(""))), F.lit(""))
+        return F.nullif(F.concat_ws(".", F.col(base), text(items)), F.lit(""))
 
-    return g.select(id_col, *[c for c in keep_cols if c not in (true_role, false_role)],
-                    joined(true_role, "__t").alias(true_role), joined(false_role, "__f").alias(false_role))
+    made = {true_role: joined(true_role, "__t"), false_role: joined(false_role, "__f")}
+    if on_missing == "keep":
+        made[nodata] = text("__n")
+    return out.withColumns(made).drop(*lists)

@@ -86,14 +86,3 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table through Spark's file system, wherever the shared folder is."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def widen(df, factor: int = 2):
-    """Spread CPU-heavy row work over all cores when the scan gives fewer
-    partitions than the cluster has task slots (small inputs with few row
-    groups).  On a large input this is a no-op: it never adds a shuffle
-    when there are already enough partitions."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots * factor)
-    return df

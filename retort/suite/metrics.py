@@ -293,11 +293,11 @@ def _length_histogram(spark, sf):
 def _corpus_counts(spark, sf):
     from retort.operators import filters as fl
     c = clean(spark, sf)
-    base = fl.fill_blank_roles(fl.require_not_null(c, ["PRODUCT"]), ["REACTANT"])
-    present = fl.require_role_present(base, "REACTANT")
-    first = corpora.first_per_key(
-        fl.fill_blank_roles(present, ["CATALYST", "REAGENT", "SOLVENT", "PRODUCT"]).select(
-            "row_id", "REACTANT", "PRODUCT", "CATALYST", "REAGENT", "SOLVENT"),
-        ["REACTANT", "CATALYST", "REAGENT", "SOLVENT"])
-    return ag.corpus_counts({"clean": c, "product_present": base, "reactant_present": present,
-                             "first_per_key": first, "max_chars": corpora.forward_corpus(c)})
+    cols = ["CATALYST", "REACTANT", "REAGENT", "SOLVENT"]
+    full = fl.fill_blank_roles(c.where("PRODUCT IS NOT NULL AND REACTANT IS NOT NULL AND REACTANT <> ' '"), [*cols, "PRODUCT"])
+    first = corpora.first_per_key(full.select("row_id", "PRODUCT", *cols), ["REACTANT", "CATALYST", "REAGENT", "SOLVENT"])
+    prompt = corpora.forward_prompt(first)
+    return ag.corpus_counts(
+        (c, {"clean": None, "product_present": F.col("PRODUCT").isNotNull(),
+             "reactant_present": F.col("REACTANT").isNotNull() & (F.col("REACTANT") != " ")}),
+        (prompt, {"first_per_key": None, "max_chars": F.length("input") <= 512}))

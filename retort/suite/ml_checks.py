@@ -46,10 +46,10 @@ def _fit_rf(spark, sf):
 @register("fit_forest_classifier")
 def _fit_rfc(spark, sf):
     lab = lb.binary_labels(clean(spark, sf))
-    lab = oversample_minority(lab, "target", 1, k=10, key_cols=["smiles"], seed=42)
-    f = ml.hashed_fingerprint(lab, "smiles", dim=256)
-    model = ml.fit_forest_classifier(f, "target", num_trees=50, max_depth=6)
-    pred = model.transform(f).withColumn("pred", F.col("prediction").cast("int"))
+    parts = split_fraction(lab, ["smiles", "target"], seed=42, test_size=0.25)
+    train = oversample_minority(parts.where("split = 'train'").drop("split"), "target", 1, k=10, key_cols=["smiles"], seed=42)
+    model = ml.fit_forest_classifier(ml.hashed_fingerprint(train, "smiles", dim=256), "target", num_trees=50, max_depth=6)
+    pred = model.transform(ml.hashed_fingerprint(parts.where("split = 'test'"), "smiles", dim=256)).withColumn("pred", F.col("prediction").cast("int"))
     return mt.confusion_matrix(pred, "target", "pred")
 
 

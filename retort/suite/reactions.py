@@ -282,10 +282,25 @@ fx_compounds AS (
       SELECT unnest([{ROLE_LIST}, PRODUCT]) AS v FROM fx_clean) WHERE v IS NOT NULL))"""
 
 
-@register("is_valid_smiles", W(*BASE, SQL_COMPOUNDS) + f" SELECT smiles, {q.is_valid('smiles')} AS valid FROM fx_compounds")
+# Rare elements, a compound of unknown atoms, two-digit ring closures and charges beside the pool's compounds.
+MORE_COMPOUNDS = ["[Ru]Cl", "[As]C", "[H][H]", "[Xx]C", "C%10CC", "C%10CC%10", "C%11CC%12", "[O-][N+](=O)c1ccccc1", "F/C=C/F",
+                  "N[C@@H](C)C(=O)O", "[nH]1cccc1", "C12CC1C2"]
+SQL_MORE = ("fx_more AS (SELECT smiles FROM fx_compounds UNION SELECT unnest(["
+            + ", ".join(f"'{c}'" for c in MORE_COMPOUNDS) + "]))")
+
+
+def more_compounds(spark, sf):
+    more = spark.createDataFrame([(c,) for c in MORE_COMPOUNDS], "smiles string")
+    return cp.distinct_compounds(clean(spark, sf)).unionByName(more).distinct()
+
+
+def _is_valid_sql():
+    return W(*BASE, SQL_COMPOUNDS, SQL_MORE) + f" SELECT smiles, {q.is_valid('smiles')} AS valid FROM fx_more"
+
+
+@register("is_valid_smiles", _is_valid_sql())
 def _is_valid(spark, sf):
-    comp = cp.distinct_compounds(clean(spark, sf))
-    return comp.select("smiles", sm.is_valid_smiles("smiles").alias("valid"))
+    return more_compounds(spark, sf).select("smiles", sm.is_valid_smiles("smiles").alias("valid"))
 
 
 @register("fragment_shuffle", W(*BASE) + f"""
@@ -304,15 +319,15 @@ def _weights_sql():
     return f"fx_weights AS (SELECT symbol, CAST(weight AS DOUBLE) AS weight FROM (VALUES {vals}) t(symbol, weight))"
 
 
-@register("heavy_atom_weight", W(*BASE, SQL_COMPOUNDS, _weights_sql()) + r"""
- SELECT smiles, round(sum(w.weight), 4) AS heavy_weight FROM (
-   SELECT smiles, upper(substr(a, 1, 1)) || substr(a, 2) AS symbol FROM (
-     SELECT smiles, unnest(list_concat(regexp_extract_all(smiles, '\[[0-9]*([A-Z][a-z]?|[a-z][a-z]?)', 1),
-        regexp_extract_all(regexp_replace(smiles, '\[[^\[\]]*\]', '', 'g'), '(Br|Cl|[BCNOPSFI]|[bcnops])', 1))) AS a
-     FROM fx_compounds)) x JOIN fx_weights w USING (symbol) GROUP BY smiles""")
+@register("heavy_atom_weight", W(*BASE, SQL_COMPOUNDS, SQL_MORE, _weights_sql()) + r"""
+ , a AS (SELECT smiles, list_concat(regexp_extract_all(smiles, '\[[0-9]*([A-Z][a-z]?|[a-z][a-z]?)', 1),
+          regexp_extract_all(regexp_replace(smiles, '\[[^\[\]]*\]', '', 'g'), '(Br|Cl|[BCNOPSFI]|[bcnops])', 1)) AS atoms FROM fx_more)
+ , s AS (SELECT smiles, unnest(list_transform(atoms, lambda x: upper(substr(x, 1, 1)) || substr(x, 2))) AS symbol FROM a)
+ , w AS (SELECT smiles, round(sum(CASE WHEN symbol = 'H' THEN 0.0 ELSE weight END), 4) AS total,
+                count(*) FILTER (WHERE weight IS NULL) AS unknown FROM s LEFT JOIN fx_weights USING (symbol) GROUP BY smiles)
+ SELECT a.smiles, CASE WHEN len(a.atoms) = 0 THEN 0.0 WHEN unknown = 0 THEN total END AS heavy_weight FROM a LEFT JOIN w USING (smiles)""")
 def _heavy_atom_weight(spark, sf):
-    comp = cp.distinct_compounds(clean(spark, sf))
-    return cp.heavy_atom_weight(comp, "smiles")
+    return cp.heavy_atom_weight(more_compounds(spark, sf), "smiles")
 
 
 # ------------------------------------------------------------------ labels
@@ -363,24 +378,26 @@ fx_restore_in AS (
 fx_nd AS (
   SELECT row_id, unnest(string_split(NoData, '.')) AS smiles, generate_subscripts(string_split(NoData, '.'), 1) AS pos
   FROM fx_restore_in WHERE NoData IS NOT NULL),
-fx_nd_pred AS (SELECT n.row_id, n.pos, n.smiles, p.pred FROM fx_nd n LEFT JOIN fx_role_predictions p USING (smiles)),
+fx_known AS (SELECT * FROM fx_role_predictions WHERE smiles <> 'CC#N'),
+fx_nd_pred AS (SELECT n.row_id, n.pos, n.smiles, p.pred FROM fx_nd n LEFT JOIN fx_known p USING (smiles)),
 fx_routed AS (
   SELECT row_id,
          string_agg(CASE WHEN pred THEN smiles END, '.' ORDER BY pos) AS to_true,
-         string_agg(CASE WHEN NOT pred THEN smiles END, '.' ORDER BY pos) AS to_false
+         string_agg(CASE WHEN NOT pred THEN smiles END, '.' ORDER BY pos) AS to_false,
+         string_agg(CASE WHEN pred IS NULL THEN smiles END, '.' ORDER BY pos) AS unrouted
   FROM fx_nd_pred GROUP BY row_id),
 fx_restored AS (
   SELECT i.row_id,
          nullif(concat_ws('.', i.REAGENT, r.to_false), '') AS REAGENT,
          nullif(concat_ws('.', i.REACTANT, r.to_true), '') AS REACTANT,
-         i.PRODUCT, i.YIELD, i.TEMP, i.NoData
+         i.PRODUCT, i.YIELD, i.TEMP, r.unrouted AS NoData
   FROM fx_restore_in i LEFT JOIN fx_routed r USING (row_id))"""
 
 
 @register("lookup_join", W(*BASE, td.SQL_ROLE_PREDICTIONS, SQL_RESTORE) + " SELECT row_id, pos - 1 AS pos, smiles, pred FROM fx_nd_pred")
 def _lookup_join(spark, sf):
     c = clean(spark, sf)
-    preds = td.role_predictions(c)
+    preds = td.role_predictions(c).where("smiles <> 'CC#N'")  # a gap
     sub = fl.require_null(fl.require_not_null(c, ["PRODUCT"]), ["REACTANT"])
     nd = sub.select("row_id", F.posexplode(F.split("NoData", r"\.")).alias("pos", "smiles"))
     from retort.operators.joins import lookup_join
@@ -390,9 +407,9 @@ def _lookup_join(spark, sf):
 @register("restore_roles", W(*BASE, td.SQL_ROLE_PREDICTIONS, SQL_RESTORE) + " SELECT * FROM fx_restored")
 def _restore_roles(spark, sf):
     c = clean(spark, sf)
-    preds = td.role_predictions(c)
+    preds = td.role_predictions(c).where("smiles <> 'CC#N'")  # a gap
     sub = fl.require_null(fl.require_not_null(c, ["PRODUCT"]), ["REACTANT"])
-    return rs.restore_roles(sub, preds, true_role="REACTANT").select(
+    return rs.restore_roles(sub, preds, true_role="REACTANT", on_missing="keep").select(
         "row_id", "REAGENT", "REACTANT", "PRODUCT", "YIELD", "TEMP", "NoData")
 
 
@@ -411,8 +428,61 @@ def _restore_roles(spark, sf):
  FROM fx_um WHERE length('REACTANT:' || REACTANT || 'REAGENT:' || REAGENT) <= 512""")
 def _union_by_name(spark, sf):
     c = clean(spark, sf)
-    preds = td.role_predictions(c)
+    preds = td.role_predictions(c).where("smiles <> 'CC#N'")  # a gap
     sub = fl.require_null(fl.require_not_null(c, ["PRODUCT"]), ["REACTANT"])
-    restored = rs.restore_roles(sub, preds, true_role="REACTANT").select(
+    restored = rs.restore_roles(sub, preds, true_role="REACTANT", on_missing="keep").select(
         (F.col("row_id") + F.lit(1000000000000)).alias("row_id"), "REAGENT", "REACTANT", "PRODUCT", "YIELD", "TEMP", "NoData")
     return corpora.forward_corpus(c, restored=restored)
+
+
+# ------------------------------------------------------------------ projections, dictionary plan, further corpora
+
+@register("select_columns", W(*BASE) + " SELECT row_id, REACTANT, PRODUCT FROM fx_clean")
+def _select_columns(spark, sf):
+    return fl.select_columns(clean(spark, sf), ["row_id", "REACTANT", "PRODUCT"])
+
+
+@register("drop_columns", W(*BASE) + " SELECT row_id, CATALYST, REACTANT, REAGENT, SOLVENT, INTERNAL_STANDARD, NoData, PRODUCT FROM fx_clean")
+def _drop_columns(spark, sf):
+    return fl.drop_columns(clean(spark, sf), ["YIELD", "TEMP"])
+
+
+@register("dictionary_apply", W(*BASE) + """
+ SELECT row_id, CASE WHEN REACTANT = ' ' THEN REACTANT ELSE reverse(REACTANT) END AS REACTANT, reverse(PRODUCT) AS PRODUCT FROM fx_clean""")
+def _dictionary_apply(spark, sf):
+    from retort.plans.dictionary import compound_function, dictionary_apply_all
+    turned = compound_function("reverse", lambda s: s.str[::-1])
+    c = clean(spark, sf).select("row_id", "REACTANT", "PRODUCT")
+    return dictionary_apply_all(c, ["REACTANT", "PRODUCT"], turned, keep=lambda x: x != F.lit(" "))
+
+
+@register("canonical_clean", W(*BASE) + f"""
+ SELECT row_id, {', '.join(f'{q.canonical(c)} AS {c}' for c in ['CATALYST', 'REACTANT', 'REAGENT', 'SOLVENT', 'INTERNAL_STANDARD',
+                                                             'NoData', 'PRODUCT'])} FROM fx_clean""")
+def _canonical_clean(spark, sf):
+    return corpora.clean_reactions(raw(spark, sf), canonicalise="default").drop("YIELD", "TEMP")
+
+
+@register("four_role_corpus", W(*BASE) + """
+ , b AS (SELECT row_id, coalesce(REACTANT, ' ') AS REACTANT, coalesce(CATALYST, ' ') AS CATALYST, coalesce(REAGENT, ' ') AS REAGENT,
+                coalesce(SOLVENT, ' ') AS SOLVENT, PRODUCT FROM fx_clean WHERE PRODUCT IS NOT NULL)
+ , g AS (SELECT REACTANT, CATALYST, REAGENT, SOLVENT, min(row_id) AS row_id, arg_min(PRODUCT, row_id) AS PRODUCT FROM b
+         WHERE REACTANT <> ' ' GROUP BY ALL)
+ , p AS (SELECT *, 'REACTANT:' || REACTANT || 'CATALYST:' || CATALYST || 'REAGENT:' || REAGENT || 'SOLVENT:' || SOLVENT AS input FROM g)
+ SELECT row_id, REACTANT, CATALYST, REAGENT, SOLVENT, PRODUCT, input FROM p WHERE length(input) <= 512""")
+def _four_role(spark, sf):
+    return corpora.four_role_corpus(clean(spark, sf))
+
+
+@register("finetune_yield", W(*BASE) + """
+ SELECT row_id, 'REACTANT:' || coalesce(REACTANT, ' ') || 'REAGENT:' || coalesce(REAGENT, ' ') || 'PRODUCT:' || coalesce(PRODUCT, ' ') AS input,
+        least(greatest(YIELD, 0.0), 100.0) / 100 AS YIELD FROM fx_clean WHERE YIELD IS NOT NULL""")
+def _finetune_yield(spark, sf):
+    return corpora.finetune_yield_corpus(clean(spark, sf))
+
+
+@register("finetune_forward", W(*BASE) + f"""
+ SELECT row_id, 'REACTANT:' || REACTANT || 'REAGENT:' || coalesce(REAGENT, ' ') AS input, PRODUCT FROM fx_clean
+ WHERE PRODUCT IS NOT NULL AND REACTANT IS NOT NULL ORDER BY {q.hkey(42, 'row_id')}, row_id LIMIT 200""")
+def _finetune_forward(spark, sf):
+    return corpora.finetune_forward_corpus(clean(spark, sf), n=200, seed=42)

@@ -14,8 +14,10 @@ def strip_maps(x: str) -> str:
 def valid_fragment(f: str) -> str:
     parens = (f"list_reduce(string_split({f}, ''), lambda acc, ch: CASE WHEN acc < 0 THEN acc "
               f"WHEN ch = '(' THEN acc + 1 WHEN ch = ')' THEN acc - 1 ELSE acc END, 0) = 0")
-    s = (f"regexp_replace(regexp_replace({f}, '\\[[^\\[\\]]*\\]', '', 'g'), '%[0-9][0-9]', '', 'g')")
-    rings = " AND ".join(f"(length({s}) - length(replace({s}, '{d}', ''))) % 2 = 0" for d in "0123456789")
+    s = f"regexp_replace({f}, '\\[[^\\[\\]]*\\]', '', 'g')"
+    found = f"regexp_extract_all({s}, '%[0-9][0-9]|[0-9]')"
+    rings = f"list_bool_and(list_transform(list_distinct({found}), lambda z: len(list_filter({found}, lambda y: y = z)) % 2 = 0))"
+    rings = f"coalesce({rings}, true)"
     return (f"(length({f}) > 0 AND regexp_replace({f}, '{TOKEN_PATTERN}', '', 'g') = '' "
             f"AND regexp_matches({f}, '[A-Za-z*]') AND {parens} AND {rings})")
 

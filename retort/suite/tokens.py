@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retort.operators import bleu as bl
+from retort.operators import tokenizer as tz
 from retort.operators import tokens as tk
 from retort.operators.filters import drop_blank_lines
 from retort.sources import testdata as td
@@ -13,6 +14,8 @@ from retort.suite import register
 W = td.with_sql
 VOCAB_SIZE = 1000
 PACK_LEN = 568
+N_SENTINELS = 100  # appended to the vocabulary, so that no sentinel is a token
+FULL_SIZE = VOCAB_SIZE + N_SENTINELS
 
 _NORM = (f"replace(regexp_replace(regexp_replace(regexp_replace(text, '{tk.NMT_DROP}', '', 'g'), "
          f"'{tk.NMT_SPACE}', ' ', 'g'), ' {{2,}}', ' ', 'g'), ' ', '▁')")
@@ -46,7 +49,7 @@ def vocab_df(spark, sf):
 
 
 def encoded(spark, sf):
-    return tk.encode(pieces_df(spark, sf), "pieces", vocab_df(spark, sf), key=["doc_id"]).select("doc_id", "input_ids")
+    return tk.encode(pieces_df(spark, sf), "pieces", vocab_df(spark, sf)).select("doc_id", "input_ids")
 
 
 @register("pretokenise", W(SQL_PIECES) + " SELECT doc_id, pieces FROM fx_pieces")
@@ -74,14 +77,61 @@ def _encode(spark, sf):
            lambda i: inv[i]), ''), '▁', ' ') AS t FROM fx_enc, fx_vmap)
  SELECT doc_id, CASE WHEN starts_with(t, ' ') THEN substr(t, 2) ELSE t END AS text FROM d""")
 def _decode(spark, sf):
-    return tk.decode(encoded(spark, sf), "input_ids", vocab_df(spark, sf), key=["doc_id"]).select("doc_id", "text")
+    return tk.decode(encoded(spark, sf), "input_ids", vocab_df(spark, sf)).select("doc_id", "text")
+
+
+@register("encode_char", """
+ WITH c AS (SELECT unnest(string_split(text, '')) AS token FROM documents),
+ v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 2 AS id FROM (SELECT token, count(*) AS n FROM c GROUP BY token)),
+ m AS (SELECT map(list(token), list(id)) AS m FROM v)
+ SELECT doc_id, list_concat([0], list_concat(list_transform(list_slice(string_split(text, ''), 1, 510), lambda x: CAST(m[x] AS INTEGER)), [1]))
+        AS input_ids FROM documents, m""")
+def _encode_char(spark, sf):
+    """Character vocabulary, a [start] ... [end] template, and the reference's limit of 512 ids."""
+    docs = td.table(spark, sf, "documents").select("doc_id", F.array("text").alias("pieces"))
+    chars = docs.select(F.explode(F.split(F.col("pieces")[0], "")).alias("token"))
+    vocab = tk.build_vocab(chars.groupBy("token").agg(F.count(F.lit(1)).alias("n")), size=100_000)
+    tok = tz.Tokenizer.load("char", vocab, prefix=(0,), suffix=(1,))
+    return tk.encode(docs, "pieces", tok, max_length=512).select("doc_id", "input_ids")
+
+
+@register("encode_bpe", "SELECT doc_id, text FROM documents")
+def _encode_bpe(spark, sf):
+    """Byte-level merges trained on the corpus, whole texts to ids and back."""
+    from retort.operators import vocab_train as vt
+    docs = td.table(spark, sf, "documents").select("doc_id", "text")
+    merges, _ = vt.train_bpe(vt.byte_level_words(docs, "text"), num_merges=40)
+    pairs = [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
+    symbols = [tz.CHAR_OF[b] for b in range(256)] + [a + b for a, b in pairs]
+    tok = tz.Tokenizer("bpe", {t: i + 3 for i, t in enumerate(dict.fromkeys(symbols))}, merges=pairs, byte_level=True)
+    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(vt.BYTE_LEVEL_SPLIT), 0).alias("pieces"))
+    return tk.decode(tk.encode(pieces, "pieces", tok), "input_ids", tok).select("doc_id", "text")
+
+
+@register("encode_unigram", W(SQL_PIECES) + """
+ SELECT doc_id, ltrim(replace(array_to_string(pieces, ''), '▁', ' ')) AS text, len(array_to_string(pieces, '')) AS n_chars FROM fx_pieces""")
+def _encode_unigram(spark, sf):
+    """Best paths over scored pieces of one to four characters: the tokens of a text join to the text."""
+    pieces = pieces_df(spark, sf)
+    words = tk.token_counts(pieces)
+    from retort.operators import vocab_train as vt
+    counts = vt.seed_pieces(words.withColumnRenamed("token", "word"), max_len=4, min_freq=200)
+    total = counts.agg(F.sum("freq").alias("t")).first()["t"]
+    rows = counts.orderBy(F.desc("freq"), "piece").limit(100_000).collect()
+    import math
+    scores = {r["piece"]: math.log(r["freq"] / total) for r in rows}
+    tok = tz.Tokenizer("unigram", {t: i + 3 for i, t in enumerate(scores)}, scores=scores)
+    text = F.ltrim(F.col("text"))
+    out = tk.decode(tk.encode(pieces, "pieces", tok), "input_ids", tok).select(
+        "doc_id", text.alias("text"), F.length(F.array_join("pieces", "")).cast("long").alias("n_chars"))
+    return out
 
 
 @register("oov_rows", W(SQL_VOCAB) + """
  , o AS (SELECT doc_id, list_sort(list_distinct(list_filter(pieces, lambda p: m[p] IS NULL))) AS oov FROM fx_pieces, fx_vmap)
  SELECT doc_id, oov FROM o WHERE len(oov) > 0""")
 def _oov(spark, sf):
-    return tk.oov_rows(pieces_df(spark, sf), "pieces", vocab_df(spark, sf), key=["doc_id"]).select("doc_id", "oov")
+    return tk.oov_rows(pieces_df(spark, sf), "pieces", vocab_df(spark, sf)).select("doc_id", "oov")
 
 
 @register("add_tokens", W(SQL_VOCAB) + f"""
@@ -107,11 +157,12 @@ def _pad_truncate(spark, sf):
 
 
 @register("collate_labels", W(SQL_VOCAB) + """
- SELECT doc_id, list_transform(CASE WHEN len(input_ids) > 128 THEN list_append(list_slice(input_ids, 1, 127), 1)
-        ELSE list_concat(input_ids, repeat([0], 128 - len(input_ids))) END, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels
- FROM fx_enc""")
+ , w AS (SELECT doc_id, input_ids, greatest(128, (len(input_ids) + 127) // 128 * 128) AS width FROM fx_enc)
+ SELECT doc_id, list_transform(list_concat(input_ids, repeat([0], width - len(input_ids))),
+        lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels
+ FROM w""")
 def _collate(spark, sf):
-    x = tk.pad_truncate(encoded(spark, sf), "input_ids", 128)
+    x = tk.pad_to_multiple(encoded(spark, sf), "input_ids", 128)
     return x.select("doc_id", tk.collate_labels("input_ids").alias("labels"))
 
 
@@ -141,7 +192,7 @@ def _drop_blank(spark, sf):
 def _line_by_line(spark, sf):
     lines = drop_blank_lines(lines_df(spark, sf), "line")
     p = tk.pretokenise(lines, "line")
-    e = tk.encode(p, "pieces", vocab_df(spark, sf), key=["doc_id", "line_no"], out="ids")
+    e = tk.encode(p, "pieces", vocab_df(spark, sf), out="ids")
     return tk.pad_truncate(e, "ids", 64).select("doc_id", "line_no", "input_ids")
 
 
@@ -201,7 +252,7 @@ def _span_mask(spark, sf):
 def _sql_sentinel(mask):
     starts = f"list_transform({mask}, lambda x, i: x AND (i = 1 OR NOT {mask}[i - 1]))"
     return (f"list_transform({mask}, lambda x, i: CASE WHEN x AND (i = 1 OR NOT {mask}[i - 1]) "
-            f"THEN {VOCAB_SIZE} - len(list_filter(list_slice({starts}, 1, i), lambda y: y)) "
+            f"THEN {FULL_SIZE} - len(list_filter(list_slice({starts}, 1, i), lambda y: y)) "
             f"WHEN x THEN -1 ELSE 0 END)")
 
 
@@ -217,8 +268,8 @@ fx_fused AS (
 
 def sentinels(spark, sf):
     m = masked(spark, sf)
-    return (m.withColumn("s_in", tk.sentinel_ids("mask", VOCAB_SIZE))
-            .withColumn("s_lab", tk.sentinel_ids(tk.invert_mask("mask"), VOCAB_SIZE)))
+    return (m.withColumn("s_in", tk.sentinel_ids("mask", FULL_SIZE))
+            .withColumn("s_lab", tk.sentinel_ids(tk.invert_mask("mask"), FULL_SIZE)))
 
 
 @register("sentinel_ids", W(SQL_VOCAB, SQL_PACK, SQL_MASK) + SQL_SENT + ' SELECT "group", chunk, s_in, s_lab FROM fx_sent')
@@ -241,23 +292,21 @@ def _shift(spark, sf):
     return f.select("group", "chunk", tk.shift_right("labels").alias("decoder_input_ids"))
 
 
-def _u(stream):
-    return (f"CAST(('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR) || '|{stream}'), 1, 8)) AS BIGINT)"
+def _u(start):
+    return (f"CAST(('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR)), {start}, 8)) AS BIGINT)"
             f" / 4294967296.0")
 
 
 @register("mlm_mask", W(SQL_VOCAB) + f"""
- , t AS (SELECT doc_id, CASE WHEN len(input_ids) > 128 THEN list_append(list_slice(input_ids, 1, 127), 1) ELSE input_ids END AS ids FROM fx_enc)
- , p AS (SELECT doc_id, ids, list_transform(ids, lambda x, i: x NOT IN (0, 1, 2) AND {_u('pick')} < 0.15) AS picked FROM t)
+ , t AS (SELECT doc_id, input_ids AS ids FROM fx_enc)
+ , p AS (SELECT doc_id, ids, list_transform(ids, lambda x, i: x NOT IN (0, 1, 2) AND {_u(1)} < 0.15) AS picked FROM t)
  SELECT doc_id,
-   list_transform(ids, lambda x, i: CASE WHEN NOT picked[i] THEN x WHEN {_u('how')} < 0.8 THEN 1000
-        WHEN {_u('how')} < 0.9 THEN CAST(floor({_u('rand')} * 1000) AS INTEGER) ELSE x END) AS input_ids,
+   list_transform(ids, lambda x, i: CASE WHEN NOT picked[i] THEN x WHEN {_u(9)} < 0.8 THEN 1000
+        WHEN {_u(9)} < 0.9 THEN CAST(floor({_u(17)} * 1000) AS INTEGER) ELSE x END) AS input_ids,
    list_transform(ids, lambda x, i: CASE WHEN picked[i] THEN x ELSE -100 END) AS labels
  FROM p""")
 def _mlm(spark, sf):
     e = encoded(spark, sf)
-    e = e.withColumn("input_ids", F.when(F.size("input_ids") > 128, F.concat(F.slice("input_ids", 1, 127), F.array(F.lit(1))))
-                     .otherwise(F.col("input_ids")))
     ids, labels = tk.mlm_mask(F.col("input_ids"), F.col("doc_id"), vocab_size=VOCAB_SIZE, mask_id=1000)
     return e.select("doc_id", ids.alias("input_ids"), labels.alias("labels"))
 
@@ -297,12 +346,15 @@ st AS (SELECT lens.*, coalesce((SELECT c FROM m WHERE n = 1), 0) AS correct_1, c
 SELECT CAST(sys_len AS BIGINT) AS sys_len, CAST(ref_len AS BIGINT) AS ref_len,
   CAST(total_1 AS BIGINT) AS total_1, CAST(total_2 AS BIGINT) AS total_2, CAST(total_3 AS BIGINT) AS total_3, CAST(total_4 AS BIGINT) AS total_4,
   CAST(correct_1 AS BIGINT) AS correct_1, CAST(correct_2 AS BIGINT) AS correct_2, CAST(correct_3 AS BIGINT) AS correct_3, CAST(correct_4 AS BIGINT) AS correct_4,
-  CASE WHEN sys_len = 0 THEN 0.0 ELSE
+  CASE WHEN sys_len = 0 OR correct_1 + correct_2 + correct_3 + correct_4 = 0 THEN 0.0 ELSE
    (CASE WHEN sys_len < ref_len THEN exp(1 - ref_len / sys_len) ELSE 1.0 END) *
-   exp((ln(CASE WHEN correct_1 = 0 THEN 100.0 / (2 * total_1) ELSE 100.0 * correct_1 / total_1 END)
-      + ln(CASE WHEN correct_2 = 0 THEN 100.0 / ((CASE WHEN correct_1 = 0 THEN 4 ELSE 2 END) * total_2) ELSE 100.0 * correct_2 / total_2 END)
-      + ln(100.0 * correct_3 / total_3) + ln(100.0 * correct_4 / total_4)) / 4) END AS bleu
-FROM st"""
+   exp((ln(100.0 * greatest(correct_1, 1) / total_1 / CASE WHEN correct_1 = 0 THEN 2 ELSE 1 END)
+      + ln(100.0 * greatest(correct_2, 1) / total_2 / CASE WHEN correct_2 = 0 THEN pow(2, z2) ELSE 1 END)
+      + ln(100.0 * greatest(correct_3, 1) / total_3 / CASE WHEN correct_3 = 0 THEN pow(2, z3) ELSE 1 END)
+      + ln(100.0 * greatest(correct_4, 1) / total_4 / CASE WHEN correct_4 = 0 THEN pow(2, z4) ELSE 1 END)) / 4) END AS bleu
+FROM (SELECT *, z1 + CAST(correct_2 = 0 AS INT) AS z2, z1 + CAST(correct_2 = 0 AS INT) + CAST(correct_3 = 0 AS INT) AS z3,
+        z1 + CAST(correct_2 = 0 AS INT) + CAST(correct_3 = 0 AS INT) + CAST(correct_4 = 0 AS INT) AS z4
+      FROM (SELECT *, CAST(correct_1 = 0 AS INT) AS z1 FROM st))"""
 
 
 @register("corpus_bleu", SQL_BLEU)
@@ -321,7 +373,7 @@ def _bleu(spark, sf):
 def _train_bpe(spark, sf):
     from retort.operators import vocab_train as vt
     docs = td.table(spark, sf, "documents").select("text")
-    merges, _ = vt.train_bpe(vt.byte_level_words(docs, "text"), num_merges=8, checkpoint_every=4)
+    merges, _ = vt.train_bpe(vt.byte_level_words(docs, "text"), num_merges=40)
     return merges
 
 
@@ -329,4 +381,4 @@ def _train_bpe(spark, sf):
 def _train_unigram(spark, sf):
     from retort.operators import vocab_train as vt
     words = tk.token_counts(pieces_df(spark, sf)).withColumnRenamed("token", "word")
-    return vt.train_unigram(words, vocab_size=300, seed_size=1000, rounds=2)
+    return vt.train_unigram(words, vocab_size=VOCAB_SIZE, min_freq=20, sub_rounds=1, shrink=0.4)

@@ -25,8 +25,9 @@ def test_dictionary_apply_by_name_and_column_function(spark):
 def test_lookup_join_missing_key_policies(spark):
     df = spark.createDataFrame([("a",), ("z",)], "smiles string")
     lk = spark.createDataFrame([("a", True, 1), ("a", False, 2)], "smiles string, pred boolean, o int")
-    with pytest.raises(KeyError):
-        lookup_join(df, lk.drop("o").dropDuplicates(["smiles"]), "smiles", on_missing="error")
+    strict = lookup_join(df, lk.drop("o").dropDuplicates(["smiles"]), "smiles", on_missing="error")
+    with pytest.raises(Exception, match="no entry for z"):
+        strict.collect()
     kept = {r.smiles: r.pred for r in lookup_join(df, lk, "smiles", on_missing="keep", lookup_order="o").collect()}
     assert kept == {"a": False, "z": None}  # later row wins, missing key kept as null
     assert [r.smiles for r in lookup_join(df, lk, "smiles", on_missing="drop", lookup_order="o").collect()] == ["a"]

@@ -36,8 +36,8 @@ def test_encode_decode_roundtrip(spark):
     docs = spark.createDataFrame([(1, "CC O c1ccccc1"), (2, "O=C(O)C")], "doc_id long, text string")
     p = tk.pretokenise(docs, "text")
     vocab = tk.build_vocab(tk.token_counts(p))
-    enc = tk.encode(p, "pieces", vocab, key=["doc_id"])
-    dec = {r.doc_id: r.text for r in tk.decode(enc, "input_ids", vocab, key=["doc_id"]).collect()}
+    enc = tk.encode(p, "pieces", vocab)
+    dec = {r.doc_id: r.text for r in tk.decode(enc, "input_ids", vocab).collect()}
     assert dec == {1: "CC O c1ccccc1", 2: "O=C(O)C"}
 
 

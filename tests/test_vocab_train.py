@@ -55,7 +55,7 @@ def test_bpe_matches_brute_force(spark):
 
 def test_unigram_vocab_shape(spark):
     df = spark.createDataFrame([("CCO", 5), ("CCN", 3), ("OCCO", 2)], "word string, n long")
-    v = vt.train_unigram(df, vocab_size=10, rounds=2).orderBy("id").collect()
+    v = vt.train_unigram(df, vocab_size=10, min_freq=1).orderBy("id").collect()
     assert [r.token for r in v[:3]] == ["<pad>", "</s>", "<unk>"]
     assert {"C", "O", "N"} <= {r.token for r in v}
     assert len(v) <= 10 and [r.id for r in v] == list(range(len(v)))
