@@ -46,13 +46,13 @@ from retort.llm.common import text_key, texts
 
 LENGTH, GRAM = 50, 16
 BLOCK_BYTES = 4 << 20
-BUCKET_ANCHORS = 1 << 18  # anchor hashes a bucket is sized for
+BUCKET_ANCHORS = 1 << 16  # anchor hashes a bucket is sized for
 ANCHORS_PER_BYTE = 0.058
 HOT = 10_000
 _PIECE = (1 << 17) - 128
 _PLACE = (1 << 17) - 1
 _LAST_ID = np.iinfo(np.int64).max
-_MEMBERS = 1 << 20
+_MEMBERS = 1 << 18
 _MASK = 88  # bits: more than the bytes of any span (LENGTH - 1 + windows of one anchor)
 
 
@@ -303,6 +303,7 @@ class Repeats:
         self.owner, self.at, suffix, size = self.owner[order], self.at[order], suffix[order], size[order]
         words = [w[order] for w in words]
         common = self._common(words, size)
+        del words
         self.length, self.lo, self.hi = self._intervals(common)
         left = np.where(self.at > 0, buf[suffix - 1].astype(np.int64), -1 - np.arange(len(suffix))) if len(suffix) else suffix
         turns = np.append(0, np.cumsum(left[1:] != left[:-1]))
@@ -400,7 +401,7 @@ def _judge(t: pa.Table) -> pa.Table:
             size = r.hi - r.lo + 1
             whole = np.append(0, np.cumsum(size))
             a = 0
-            while a < len(size):  # as many groups at a time as have about a million members
+            while a < len(size):  # as many groups at a time as have about _MEMBERS members
                 b = max(a + 1, int(np.searchsorted(whole, whole[a] + _MEMBERS, "right")) - 1)
                 lo, n = r.lo[a:b], size[a:b]
                 member = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
