@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retort.session import checkpoint_dir
+
 SEGMENT = 1024
 DEFAULT_ROLE = "user"
 _HEAD, _TAIL = "<|im_start|>", "<|im_end|>\n"
@@ -66,12 +68,13 @@ def prefixes(chats: DataFrame) -> DataFrame:
 
 def maximal(chats: DataFrame) -> DataFrame:
     """conv_id, n_turns and n_copies of the conversations that begin no longer one; one of equal ones."""
-    p = prefixes(chats)
-    size = p.groupBy("conv_id").agg(F.max("length").alias("n_turns"))
-    whole = F.max(F.struct("length", "prefix"))
-    full = (p.groupBy("conv_id").agg(whole.alias("w")).select("conv_id", "w.length", "w.prefix")
-            .groupBy("length", "prefix").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies")))
-    inner = (p.join(size.withColumnRenamed("conv_id", "__c"), F.col("conv_id").eqNullSafe(F.col("__c")))
+    checkpoint_dir(chats.sparkSession)
+    p = prefixes(chats).checkpoint()  # narrow rows, read three times below
+    ends = p.groupBy("conv_id").agg(F.max(F.struct("length", "prefix")).alias("w"))
+    full = (ends.select("conv_id", "w.length", "w.prefix").groupBy("length", "prefix")
+            .agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies")))
+    size = ends.select(F.col("conv_id").alias("__c"), F.col("w.length").alias("n_turns"))
+    inner = (p.join(size, F.col("conv_id").eqNullSafe(F.col("__c")))
              .where(F.col("length") < F.col("n_turns")).select("length", "prefix").distinct())
     return (full.join(inner, ["length", "prefix"], "left_anti")
             .select("conv_id", F.col("length").alias("n_turns"), "n_copies"))
