@@ -168,16 +168,17 @@ def stratified_folds(df: DataFrame, label: str, order: list, k: int = 10, fold_c
     classes = x.groupBy(label).agg(F.min(first_key).alias("__first"), F.first("__nc").alias("__nc"))
     wc = Window.orderBy("__first")  # one row per class: bounded by the label cardinality
     classes = classes.select(
-        label, F.coalesce(F.sum("__nc").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    y = x.join(F.broadcast(classes), label)
-    s, n, j = F.col("__s"), F.col("__nc"), F.col("__j")
-    # rows of fold i among positions [s, s+n): ceil((s+n-i)/k) - ceil((s-i)/k)
-    alloc = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                        lambda i: F.floor((s + n - i + (k - 1)) / k) - F.floor((s - i + (k - 1)) / k))
-    cum = F.transform(alloc, lambda a, i: F.aggregate(F.slice(alloc, 1, i + 1), F.lit(0).cast("bigint"),
-                                                      lambda acc, v: acc + v))
-    fold = F.size(F.filter(cum, lambda c: c <= j))
-    return y.withColumn(fold_col, fold.cast("int")).drop("__j", "__nc", "__s")
+        label, "__nc", F.coalesce(F.sum("__nc").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    s, n = F.col("__s"), F.col("__nc")
+    # fold i gets ceil((s+n-i)/k) - ceil((s-i)/k) rows of the class; running sums are its blocks' ends
+    ends, end = [], F.lit(0).cast("long")
+    for i in range(k):
+        end = end + F.floor((s + n - i + (k - 1)) / k) - F.floor((s - i + (k - 1)) / k)
+        ends.append(end)
+    bounds = classes.select(label, F.array(*ends).alias("__ends"))
+    y = x.join(bounds, label)  # no hint: the class table is broadcast only when it is small at run time
+    fold = F.size(F.filter(F.transform("__ends", lambda e: F.col("__j") - e), lambda d: d >= 0))
+    return y.withColumn(fold_col, fold.cast("int")).drop("__j", "__nc", "__ends")
 
 
 def oversample_minority(df: DataFrame, label: str, minority, k: int, key_cols: list,
@@ -203,19 +204,13 @@ def oversample_minority(df: DataFrame, label: str, minority, k: int, key_cols: l
 
 
 def head_slice(df: DataFrame, order: list, n: int | None = None, frac: float | None = None) -> DataFrame:
-    """First n rows (or int(frac * N)) in row order; a top-n, not a full sort."""
+    """First n rows in row order (a top-n, not a full sort), or the first floor(frac * N) by their exact position."""
     if n is None:
-        n = int(df.count() * frac)
+        x = global_index(df, order)
+        return x.where(F.col(IDX) < F.floor(F.col(TOTAL) * F.lit(frac))).drop(IDX, TOTAL)
     return df.orderBy(*order).limit(n)
 
 
-def ceil_div(a: int, b: int) -> int:
-    return -(-a // b) if b else 0
-
-
-__all__ = [name for name in dir() if not name.startswith("_") and name not in ("math",)]
-
-
 def running_sum(df: DataFrame, order: list, value, by: list | None = None, out=None,
                 inclusive: bool = True, buckets: int | None = None) -> DataFrame:
     """Running sum(s) of ``value`` (a name or list of names) in ``order`` within ``by``.

@@ -25,14 +25,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return stage_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             na_values: list | None = None) -> DataFrame:
-    """Headed CSV with a declared schema.  ``na_values``: extra strings read as null
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str, na_values: list | None = None) -> DataFrame:
+    """Headed CSV with a declared schema (inference would read all data once more).  ``na_values``: extra strings read as null
     (pandas treats e.g. 'NA' as missing; Spark keeps it unless asked)."""
-    r = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False) \
-        .option("ignoreTrailingWhiteSpace", False).option("multiLine", False)
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    df = r.csv(path)
+    df = (spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", False)
+          .option("ignoreTrailingWhiteSpace", False).option("multiLine", False).option("escape", '"').csv(path))
     for v in na_values or []:
         df = df.select(*[F.when(F.col(c) == v, None).otherwise(F.col(c)).alias(c)
                          if t == "string" else F.col(c) for c, t in df.dtypes])
@@ -61,13 +58,14 @@ def scan_smi_parts(spark: SparkSession, glob: str, name: str = "smiles") -> Data
 
 
 def scan_by_extension(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """csv / json / txt chosen by the suffix; any other suffix is an error."""
+    """csv / json (with a declared schema) / txt chosen by the suffix; any other suffix is an error."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
+    if ext in ("csv", "json", "jsonl") and schema is None:
+        raise ValueError(f"a {ext} file needs a schema")
     if ext == "csv":
         return scan_csv(spark, path, schema)
     if ext in ("json", "jsonl"):
-        r = spark.read.schema(schema) if schema is not None else spark.read
-        return r.json(path)
+        return spark.read.schema(schema).json(path)
     if ext == "txt":
         return spark.read.text(path).withColumnRenamed("value", "text")
     raise ValueError(f"unsupported file extension {ext!r}: use csv, json or txt")
@@ -85,8 +83,8 @@ def inline_row(spark: SparkSession, value: str, name: str = "input") -> DataFram
 
 
 def sink_csv(df: DataFrame, path: str, split_col: str | None = None, mode: str = "overwrite") -> None:
-    """Headed CSV; blanks survive (no trimming); one folder per split value."""
-    w = (df.write.mode(mode).option("header", True)
+    """Headed CSV; blanks survive (no trimming), quotes are doubled; one folder per split value."""
+    w = (df.write.mode(mode).option("header", True).option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if split_col:
         w = w.partitionBy(split_col)

@@ -113,6 +113,11 @@ def _head_slice(spark, sf):
     return ri.head_slice(fwd, ["row_id"], n=500).select("row_id", "input")
 
 
+@register("head_slice_fraction", " SELECT doc_id, n_chars FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= floor(count(*) OVER () * 0.3)")
+def _head_slice_fraction(spark, sf):
+    return ri.head_slice(td.table(spark, sf, "documents").select("doc_id", "n_chars"), ["doc_id"], frac=0.3)
+
+
 @register("cap_samples", " SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100")
 def _cap_samples(spark, sf):
     docs = td.table(spark, sf, "documents").select("doc_id", "n_chars")
