@@ -13,7 +13,9 @@ table instead of an adaptive sampler.
 from __future__ import annotations
 
 
-from pyspark.ml.evaluation import RegressionEvaluator
+import math
+
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.regression import RandomForestRegressor
@@ -80,33 +82,57 @@ def score_regression(model, test: DataFrame, label: str, lo: float = 0.0, hi: fl
     return r.withColumn("__k", F.lit(1)).join(w.withColumn("__k", F.lit(1)), "__k").drop("__k")
 
 
-def trial_table(spark, n_trials: int, seed: int = 42, trees=(10, 200), depth=(2, 30)) -> DataFrame:
-    """Seeded random-search trials: integer ranges drawn from md5 of (seed, trial)."""
+def trial_table(spark, n_trials: int, seed: int = 42, trees=(10, 200), depth=(2, 30), leaf=(1, 8),
+                dims=(256,), rates=(1.0, 1.0)) -> DataFrame:
+    """Seeded random-search trials, drawn from md5 of (seed, trial, name).
+
+    Whole numbers from inclusive ranges (trees, depth, smallest leaf), a
+    fingerprint width from a list, and a share of rows per tree log-uniform
+    between two bounds.
+    """
     t = spark.range(n_trials).withColumnRenamed("id", "trial")
-    u1, u2 = hash_u32(seed, "trial", F.lit("trees")), hash_u32(seed, "trial", F.lit("depth"))
-    return t.select("trial", (F.lit(trees[0]) + u1 % (trees[1] - trees[0] + 1)).cast("int").alias("num_trees"),
-                    (F.lit(depth[0]) + u2 % (depth[1] - depth[0] + 1)).cast("int").alias("max_depth"))
+
+    def draw(name):
+        return hash_u32(seed, "trial", F.lit(name))
+
+    def whole(name, lo, hi):
+        return (F.lit(lo) + draw(name) % (hi - lo + 1)).cast("int")
+
+    width = F.element_at(F.array(*[F.lit(d) for d in dims]), (draw("dim") % len(dims) + 1).cast("int"))
+    low, high = math.log(rates[0]), math.log(rates[1])
+    rate = F.exp(F.lit(low) + draw("rate") / F.lit(4294967296.0) * F.lit(high - low))
+    return t.select("trial", whole("trees", *trees).alias("num_trees"), whole("depth", *depth).alias("max_depth"),
+                    whole("leaf", *leaf).alias("min_leaf"), width.alias("dim"), rate.alias("rate"))
 
 
 def param_search(train: DataFrame, valid: DataFrame, label: str, trials: DataFrame, seed: int = 42,
-                 features: str = "features") -> DataFrame:
-    """Fit one forest per trial (Spark ML ``fitMultiple``), score R2 on ``valid``.
+                 features: str = "features", task: str = "regression", featurise=None) -> DataFrame:
+    """Fit one forest per trial (Spark ML ``fitMultiple``) and score it on ``valid``: R2, or F1 for classes.
 
-    The trial table is small by construction (n_trials rows); each fit is a
-    distributed Spark ML job.  Returns (trial, num_trees, max_depth, r2).
+    ``featurise(df, dim)`` makes the features for a trial's fingerprint width
+    (without it both tables already hold them).  Features of one width are
+    made and cached once for all its trials.  The trial table is small by
+    construction; each fit is a distributed Spark ML job.
     """
+    forest = RandomForestRegressor if task == "regression" else RandomForestClassifier
+    metric = "r2" if task == "regression" else "f1"
+    evaluator = RegressionEvaluator if task == "regression" else MulticlassClassificationEvaluator
+    ev = evaluator(labelCol=label, predictionCol="prediction", metricName=metric)
     rows = trials.orderBy("trial").collect()
-    rf = RandomForestRegressor(featuresCol=features, labelCol=label, seed=seed)
-    maps = [{rf.numTrees: int(r["num_trees"]), rf.maxDepth: _depth(int(r["max_depth"]))} for r in rows]
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2")
+    rf = forest(featuresCol=features, labelCol=label, seed=seed)
     out = []
-    train, valid = train.cache(), valid.cache()
-    for idx, model in rf.fitMultiple(train, maps):
-        r = rows[idx]
-        out.append((int(r["trial"]), int(r["num_trees"]), int(r["max_depth"]), float(ev.evaluate(model.transform(valid)))))
-    train.unpersist()
-    valid.unpersist()
-    return train.sparkSession.createDataFrame(out, "trial long, num_trees int, max_depth int, r2 double")
+    for dim in sorted({r["dim"] for r in rows}):
+        own = [r for r in rows if r["dim"] == dim]
+        a, b = (featurise(train, dim), featurise(valid, dim)) if featurise else (train, valid)
+        a, b = a.cache(), b.cache()
+        maps = [{rf.numTrees: int(r["num_trees"]), rf.maxDepth: _depth(int(r["max_depth"])),
+                 rf.minInstancesPerNode: int(r["min_leaf"]), rf.subsamplingRate: float(r["rate"])} for r in own]
+        for i, model in rf.fitMultiple(a, maps):
+            out.append((*own[i], float(ev.evaluate(model.transform(b)))))
+        a.unpersist()
+        b.unpersist()
+    return train.sparkSession.createDataFrame(
+        out, f"trial long, num_trees int, max_depth int, min_leaf int, dim int, rate double, {metric} double")
 
 
 def swap_fit(a: DataFrame, b: DataFrame, label: str, **kw) -> DataFrame:

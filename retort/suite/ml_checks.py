@@ -55,12 +55,24 @@ def _fit_rfc(spark, sf):
 
 @register("param_search")
 def _param_search(spark, sf):
-    train, test = _train_test(spark, sf)
-    trials = ml.trial_table(spark, 3, seed=42, trees=(10, 40), depth=(2, 10))
-    res = ml.param_search(train, test, "label", trials)
+    y = corpora.yield_corpus(clean(spark, sf))
+    y = y.select(rx.untag_prompt("input").alias("flat"), (F.col("YIELD") * 100).alias("label"), "input")
+    s = split_fraction(y, ["input", "label"], seed=42, test_size=0.1)
+    trials = ml.trial_table(spark, 3, seed=42, trees=(10, 40), depth=(2, 10), dims=(128, 256), rates=(0.5, 1.0))
+    res = ml.param_search(s.where("split = 'train'"), s.where("split = 'test'"), "label", trials,
+                          featurise=lambda df, dim: ml.hashed_fingerprint(df, "flat", dim=dim))
     return mt.best_trial(res, ["r2", "trial"], maximise=True)
 
 
+@register("param_search_classes")
+def _param_search_classes(spark, sf):
+    s = split_fraction(lb.binary_labels(clean(spark, sf)), ["smiles", "target"], seed=42, test_size=0.25)
+    trials = ml.trial_table(spark, 2, seed=7, trees=(10, 30), depth=(2, 8), dims=(64, 128))
+    res = ml.param_search(s.where("split = 'train'"), s.where("split = 'test'"), "target", trials, task="classification",
+                          featurise=lambda df, dim: ml.hashed_fingerprint(df, "smiles", dim=dim))
+    return mt.best_trial(res, ["f1", "trial"], maximise=True)
+
+
 @register("swap_fit")
 def _swap_fit(spark, sf):
     train, test = _train_test(spark, sf)

@@ -486,3 +486,24 @@ def _finetune_yield(spark, sf):
  WHERE PRODUCT IS NOT NULL AND REACTANT IS NOT NULL ORDER BY {q.hkey(42, 'row_id')}, row_id LIMIT 200""")
 def _finetune_forward(spark, sf):
     return corpora.finetune_forward_corpus(clean(spark, sf), n=200, seed=42)
+
+
+@register("first_per_key_shuffled", W(*BASE, td.SQL_ROLE_PREDICTIONS, SQL_RESTORE) + f"""
+ , u AS (SELECT row_id, CATALYST, REACTANT, REAGENT, SOLVENT, PRODUCT FROM fx_clean WHERE PRODUCT IS NOT NULL
+         UNION ALL SELECT row_id + 1000000000000, NULL, REACTANT, REAGENT, NULL, PRODUCT FROM fx_restored)
+ , b AS (SELECT row_id, coalesce(CATALYST, ' ') AS CATALYST, coalesce(REACTANT, ' ') AS REACTANT, coalesce(REAGENT, ' ') AS REAGENT,
+                coalesce(SOLVENT, ' ') AS SOLVENT, coalesce(PRODUCT, ' ') AS PRODUCT FROM u)
+ SELECT REACTANT, CATALYST, REAGENT, SOLVENT, arg_min(PRODUCT, {q.hkey(42, 'row_id')}) AS PRODUCT,
+        arg_min(row_id, {q.hkey(42, 'row_id')}) AS row_id FROM b WHERE REACTANT <> ' ' GROUP BY ALL""")
+def _first_per_key_shuffled(spark, sf):
+    """Restored rows take part in a seeded order, so the original row does not always win."""
+    c = clean(spark, sf)
+    preds = td.role_predictions(c).where("smiles <> 'CC#N'")
+    sub = fl.require_null(fl.require_not_null(c, ["PRODUCT"]), ["REACTANT"])
+    restored = rs.restore_roles(sub, preds, true_role="REACTANT", on_missing="keep").withColumn(
+        "row_id", F.col("row_id") + F.lit(1000000000000))
+    both = c.where("PRODUCT IS NOT NULL").unionByName(restored.withColumns(
+        {n: F.lit(None).cast("string") for n in ("CATALYST", "SOLVENT")}), allowMissingColumns=True)
+    cols = ["CATALYST", "REACTANT", "REAGENT", "SOLVENT", "PRODUCT"]
+    df = fl.fill_blank_roles(both.select("row_id", *cols), cols).where("REACTANT <> ' '")
+    return corpora.first_per_key(df, ["REACTANT", "CATALYST", "REAGENT", "SOLVENT"], shuffle_seed=42)
