@@ -12,7 +12,6 @@ table instead of an adaptive sampler.
 
 from __future__ import annotations
 
-
 import math
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
