@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from retort.llm import textscan as ts
 from retort.llm.common import text_key, texts
+from retort.session import checkpoint_dir
 
 LENGTH, GRAM = 50, 16
 BLOCK_BYTES = 4 << 20
@@ -456,27 +457,33 @@ def _remove(layout: Layout):
     return run
 
 
-def _blocks(docs: DataFrame, layout: Layout) -> DataFrame:
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, key and size of every text, written once: sizes the layout and finds copies."""
+    checkpoint_dir(docs.sparkSession)
+    return texts(docs).select("doc_id", text_key(F.col("text")).alias("key"), F.octet_length("text").alias("n")).checkpoint()
+
+
+def _blocks(docs: DataFrame, narrow: DataFrame, layout: Layout) -> DataFrame:
     """Texts by block, and a row without text for every copy of a text of a smaller document."""
     t = texts(docs).withColumn("key", text_key(F.col("text")))
     block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(layout.blocks)).alias("block")
-    narrow = t.select("doc_id", "key")
-    least = narrow.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = (narrow.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+             .where("copies > 1").select("key", "least").checkpoint())  # written, so that Spark can split the join's hot keys
     copies = (narrow.join(least, "key").where((F.col("doc_id") > F.col("least")) | F.col("doc_id").isNull() & F.col("least").isNotNull())
               .select(block, "doc_id", F.lit(None).cast("binary").alias("text"), "key", F.lit(True).alias("copy")))
     return (t.select(block, "doc_id", F.col("text").cast("binary").alias("text"), "key", F.lit(False).alias("copy"))
             .unionByName(copies))
 
 
-def layout_for(docs: DataFrame, **sizes) -> Layout:
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return Layout(int(total), **sizes)
-
+def dedup(docs: DataFrame, **sizes) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, ``removed`` (maximal runs, in bytes) and ``kept`` (the other bytes).
 
-def dedup(docs: DataFrame, layout: Layout | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, ``removed`` (maximal runs, in bytes) and ``kept`` (the other bytes)."""
-    layout = layout or layout_for(docs)
-    blocks = _blocks(docs, layout)
+    ``sizes``: options of ``Layout``.
+    """
+    narrow = _narrow(docs)
+    total = narrow.agg(F.sum("n").alias("n")).first()["n"] or 0
+    layout = Layout(int(total), **sizes)
+    blocks = _blocks(docs, narrow, layout)
     again = blocks.groupBy("block").applyInArrow(_send_hashes(layout), _REPLY_SQL).groupBy("bucket").applyInArrow(
         _which_again(layout), _REPLY_SQL)
     spans = blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_send_spans(layout), _REPLY_SQL)
