@@ -134,6 +134,7 @@ def buckets(sets: DataFrame) -> DataFrame:
     leaves = []
     for level in range(1, DEPTH + 1):
         n = rows.groupBy("run", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        n = n.checkpoint()  # written, so that Spark can split the join's hot buckets
         full = rows.join(n, ["run", "path"]).checkpoint()
         last = level == DEPTH
         leaves.append(full if last else full.where(F.col("n") <= BUCKET))
