@@ -241,30 +241,32 @@ def weighted_running_mean(df: DataFrame, val: str, n: str, order: list, by: list
 
 
 def early_stopping(log: DataFrame, metric: str, by: list, epoch: str = "epoch", patience: int = 2,
-                   mode: str = "min") -> DataFrame:
+                   mode: str = "min", segment: int = 1024) -> DataFrame:
     """Replay an epoch log: best so far, epochs since best, stop at patience.
 
     Returns per run: best_epoch, best_value (within the epochs actually
-    run), stop_epoch (null when patience never ran out), epochs_run.
-    One row per epoch and run: the per-run window is bounded by the epoch
-    count of a training run.
+    run), stop_epoch (null when patience never ran out), epochs_run.  The
+    best so far is a running minimum of (value, epoch), taken inside
+    segments of epochs that start from the minimum of those before, so a
+    run of any length is spread over tasks; runs are then reduced map-side.
     """
-    w_prior = Window.partitionBy(*by).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    w_upto = Window.partitionBy(*by).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-    prior = (F.min if mode == "min" else F.max)(metric).over(w_prior)
-    better = (F.col(metric) < prior) if mode == "min" else (F.col(metric) > prior)
-    x = log.withColumn("is_best", prior.isNull() | better)
-    x = x.withColumn("__last_best", F.max(F.when(F.col("is_best"), F.col(epoch))).over(w_upto))
-    x = x.withColumn("since_best", F.col(epoch) - F.col("__last_best"))
-    x = x.withColumn("__stop", F.min(F.when(F.col("since_best") >= patience, F.col(epoch))).over(
-        Window.partitionBy(*by)))
-    ran = x.where(F.col("__stop").isNull() | (F.col(epoch) <= F.col("__stop")))
-    best = F.max_by(F.struct(F.col(epoch).alias("e"), F.col(metric).alias("v")),
-                    F.when(F.col("is_best"), F.col(epoch)))
-    g = ran.groupBy(*by).agg(best.alias("__b"), F.first("__stop").alias("stop_epoch"),
-                             F.count(F.lit(1)).alias("epochs_run"))
-    return g.select(*by, F.col("__b.e").alias("best_epoch"), F.col("__b.v").alias("best_value"),
-                    "stop_epoch", "epochs_run")
+    value = F.col(metric) if mode == "min" else -F.col(metric)
+    at = F.when(F.col(metric).isNotNull(), F.struct(value.alias("v"), F.col(epoch).alias("e")))
+    x = log.select(*by, F.col(epoch).alias("__e"), F.floor(F.col(epoch) / segment).alias("__seg"), at.alias("__at"))
+    prior = Window.partitionBy(*by).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    parts = x.groupBy(*by, "__seg").agg(F.min("__at").alias("m"), F.count(F.lit(1)).alias("c"))
+    before = parts.select(*by, "__seg", F.min("m").over(prior).alias("__m"), F.coalesce(F.sum("c").over(prior), F.lit(0)).alias("__c"))
+    own = Window.partitionBy(*by, "__seg").orderBy("__e").rowsBetween(Window.unboundedPreceding, 0)
+    y = x.join(before, [*by, "__seg"]).select(
+        *by, "__e", F.least(F.min("__at").over(own), F.col("__m")).alias("best"),
+        (F.count(F.lit(1)).over(own) + F.col("__c")).alias("n"))
+    row = F.struct("best", "n", "__e")
+    spent = F.col("__e") - F.col("best.e") >= patience
+    g = y.groupBy(*by).agg(F.min_by(row, F.when(spent, F.col("__e"))).alias("stop"), F.max_by(row, "__e").alias("last"))
+    end = F.coalesce("stop", "last")
+    best = end["best"]["v"] if mode == "min" else -end["best"]["v"]
+    return g.select(*by, end["best"]["e"].alias("best_epoch"), best.alias("best_value"),
+                    F.col("stop.__e").alias("stop_epoch"), end["n"].alias("epochs_run"))
 
 
 def best_trial(trials: DataFrame, value, by: list | None = None, maximise: bool = True) -> DataFrame:

@@ -97,3 +97,24 @@ def test_threshold_sweep_matches_brute_force(spark):
         tp = sum(1 for y, s in data if y == 1 and s > t)
         fp = sum(1 for y, s in data if y == 0 and s > t)
         assert (rows[i].tp, rows[i].fp) == (tp, fp)
+
+
+def test_early_stopping_over_segments_and_modes(spark):
+    import random
+    from retort.operators import metrics as mt
+    rng = random.Random(6)
+    runs = {r: [rng.randint(0, 50) for _ in range(rng.randint(1, 40))] for r in range(30)}
+    df = spark.createDataFrame([(r, e + 1, float(v)) for r, vs in runs.items() for e, v in enumerate(vs)], "run int, epoch int, loss double")
+    for mode, sign in (("min", 1), ("max", -1)):
+        expected = {}
+        for r, vs in runs.items():
+            best, at, stop = None, 0, None
+            for e, v in enumerate(vs, 1):
+                if best is None or sign * v < sign * best:
+                    best, at = v, e
+                if e - at >= 3:
+                    stop = e
+                    break
+            expected[r] = (at, float(best), stop, stop or len(vs))
+        got = mt.early_stopping(df, "loss", ["run"], "epoch", patience=3, mode=mode, segment=4)
+        assert {x.run: (x.best_epoch, x.best_value, x.stop_epoch, x.epochs_run) for x in got.collect()} == expected
