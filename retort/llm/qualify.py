@@ -7,8 +7,8 @@ score is the mean log ratio of its n-grams, so it does not depend on length;
 a document is kept when the score reaches a fixed threshold and the base
 rules (enough words, not mostly repeated word triples) hold.
 
-Driver memory and broadcasts are fixed: one weight per bucket, and at most
-``MAX_TRUSTED`` ids of trusted documents (8 bytes each).
+Trusted documents are found by a join on their ids, so all of them count.
+Driver memory and the model's broadcast are fixed: one weight per bucket.
 
 Defined results: a null text is empty; an empty text has no words, fails the
 base rules and gets a null score; repeated rows are judged row by row and
@@ -27,7 +27,6 @@ from retort.llm import textscan as ts
 from retort.llm.common import texts
 
 BUCKETS = 1 << 14
-MAX_TRUSTED = 100_000
 SMOOTHING = 20.0  # counts added to a bucket on both sides: little evidence means a ratio near one
 THRESHOLD = -0.06  # nats per n-gram
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -46,26 +45,26 @@ def ngram_buckets(h: np.ndarray, rows: np.ndarray, buckets: int = BUCKETS):
     return b.astype(np.int64), np.concatenate([rows, rows[at]])
 
 
-def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> np.ndarray:
-    """Ids labelled good, at most ``limit`` of them (those of smallest id hash)."""
-    ids = (labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-           .select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    return np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64))
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``texts(docs)`` and whether the document is labelled good.
+
+    The texts are exchanged once and meet their share of the ids, which alone
+    are held; so the plan is the same for any number of ids, and a hot document
+    id can be split.
+    """
+    good = (labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
+            .select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+            .withColumn("good", F.lit(True)).hint("shuffle_hash"))
+    return texts(docs).join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Log ratio of each bucket, in millionths.  One pass over all documents."""
-    sc = docs.sparkSession.sparkContext
-    trusted = sc.broadcast(trusted_ids(labels))
-
     def count(batches):
         total = np.zeros((2, buckets), np.int64)
         for batch in batches:
             buf, off = ts.text_bytes(batch.column(1))
-            ids = batch.column(0)
-            good = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), trusted.value)
-            good &= ids.is_valid().to_numpy(zero_copy_only=False)
+            good = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi in ts.slices(off):
                 piece, o = buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
                 _, _, rows, h = ts.words(piece, o)
@@ -76,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])],
                                          names=["bucket", "raw", "target"])
 
-    rows = (texts(docs).mapInArrow(count, "bucket long, raw long, target long")
+    rows = (with_trust(docs, labels).mapInArrow(count, "bucket long, raw long, target long")
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas())
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]

@@ -1,6 +1,7 @@
 """Every operator against a plain version of its definition, and on odd rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -49,6 +50,16 @@ def test_quality_score_follows_the_multinomials(spark):
         assert abs(r.llr - llr[r.doc_id]) < 0.02
 
 
+def test_quality_counts_every_trusted_document(spark):
+    from retort.llm import qualify
+    docs = spark.range(150_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 64).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert not qualify.fit(docs, labels.union(labels)).any()  # the target is the whole corpus, whatever its size
+    half = qualify.fit(docs, labels.where("doc_id % 64 < 32"))
+    raw, most = 150_000 / 64, 150_000 / 2
+    assert abs(half.max() / qualify.UNIT - math.log((raw + 20) / (raw * most / 150_000 + 20))) < 1e-2
+
+
 def test_quality_odd_tables(spark, odd, none, labels):
     from retort.llm import qualify
     assert qualify.score(none, qualify.fit(none, labels)).count() == 0
