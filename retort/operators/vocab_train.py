@@ -2,8 +2,8 @@
 
 Both work on the distinct-word table (word, count), which is written once,
 so the corpus is read once; every round is one distributed aggregation, and
-only the winning pair (BPE) or the piece table (Unigram: every substring that
-occurs often enough) reaches the driver.  Long loops cut lineage with
+only the winning pair (BPE) or sums (Unigram, whose piece table stays a table)
+reach the driver.  Long loops cut lineage with
 reliable ``checkpoint()`` into the session's checkpoint folder.
 """
 
@@ -13,8 +13,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from retort.plans.rowindex import global_index
 from retort.session import checkpoint_dir
 
 SEP = "\u0001"  # symbol separator inside a word (never produced by the byte mapping)
@@ -108,39 +108,77 @@ def _without(piece: str, scores: dict, max_len: int) -> float:
     return best[n]
 
 
-def _em_partition(shared, max_len: int):
+def _spread(df: DataFrame, key: str, chars: int = 20_000) -> DataFrame:
+    """Rows with ``block``: a hash of the key over as many blocks as keep about ``chars`` characters each."""
+    total = df.agg(F.sum(F.length(key)).alias("t")).first()["t"] or 0
+    return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(total // chars + 1)))
+
+
+def _held(blocks: DataFrame, key: str, max_len: int) -> DataFrame:
+    """(block, piece): every substring of at most ``max_len`` characters that a block's keys hold."""
     def run(batches):
-        import numpy as np
         import pandas as pd
-        scores = shared.value
         for pdf in batches:
-            acc: dict = {}
-            for word, n in zip(pdf["word"], pdf["n"]):
-                L = len(word)
-                # forward-backward over the segmentation lattice (log space)
-                fwd = np.full(L + 1, -np.inf)
-                fwd[0] = 0.0
-                for e in range(1, L + 1):
-                    vals = [fwd[s] + scores[word[s:e]] for s in range(max(0, e - max_len), e) if word[s:e] in scores]
-                    if vals:
-                        fwd[e] = np.logaddexp.reduce(vals)
-                bwd = np.full(L + 1, -np.inf)
-                bwd[L] = 0.0
-                for s in range(L - 1, -1, -1):
-                    vals = [scores[word[s:e]] + bwd[e] for e in range(s + 1, min(L, s + max_len) + 1) if word[s:e] in scores]
-                    if vals:
-                        bwd[s] = np.logaddexp.reduce(vals)
-                z = fwd[L]
-                if not np.isfinite(z):
+            for block, group in pdf.groupby("block"):
+                found: set = set()
+                for w in group[key]:
+                    n = len(w)
+                    found.update(w[i:j] for i in range(n) for j in range(i + 1, min(n, i + max_len) + 1))
+                yield pd.DataFrame({"block": block, "piece": list(found)})
+
+    return blocks.select("block", key).mapInPandas(run, "block long, piece string").distinct()
+
+
+def _log_sum(vals: list) -> float:
+    top = max(vals)
+    return top + math.log(sum(math.exp(v - top) for v in vals))
+
+
+def _expected(max_len: int):
+    """E-step of one block: (its words, the scores of the pieces they hold) -> expected counts."""
+    def run(words, pieces):
+        import pandas as pd
+        scores = dict(zip(pieces["piece"], pieces["score"]))
+        none = float("-inf")
+        acc = {p: 0.0 for p in scores if len(p) == 1}  # single characters stay, whatever their count
+        for word, n in zip(words["word"], words["n"]):
+            L = len(word)
+            # the lattice's edges, then forward-backward over them (log space)
+            edges = [[(e, word[s:e], scores[word[s:e]]) for e in range(s + 1, min(L, s + max_len) + 1) if word[s:e] in scores]
+                     for s in range(L)]
+            into: list = [[] for _ in range(L + 1)]
+            fwd = [0.0] + [none] * L
+            for s in range(L):
+                if s:
+                    fwd[s] = _log_sum(into[s]) if into[s] else none
+                if fwd[s] > none:
+                    for e, _, sc in edges[s]:
+                        into[e].append(fwd[s] + sc)
+            z = _log_sum(into[L]) if into[L] else none
+            if z == none:
+                continue
+            bwd = [none] * L + [0.0]
+            for s in range(L - 1, -1, -1):
+                vals = [sc + bwd[e] for e, _, sc in edges[s] if bwd[e] > none]
+                if vals:
+                    bwd[s] = _log_sum(vals)
+                if fwd[s] == none:
                     continue
-                for s in range(L):
-                    for e in range(s + 1, min(L, s + max_len) + 1):
-                        p = word[s:e]
-                        if p in scores:
-                            post = math.exp(fwd[s] + scores[p] + bwd[e] - z)
-                            if post > 0:
-                                acc[p] = acc.get(p, 0.0) + n * post
-            yield pd.DataFrame({"piece": list(acc.keys()), "expected": list(acc.values())})
+                for e, p, sc in edges[s]:
+                    post = math.exp(fwd[s] + sc + bwd[e] - z)
+                    if post > 0:
+                        acc[p] = acc.get(p, 0.0) + n * post
+        return pd.DataFrame({"piece": list(acc.keys()), "expected": list(acc.values())}, dtype=object).astype({"expected": float})
+    return run
+
+
+def _losses(max_len: int):
+    """Loss of one block's pieces: expected count times what the score is above the best segmentation into others."""
+    def run(own, pieces):
+        import pandas as pd
+        scores = dict(zip(pieces["piece"], pieces["score"]))
+        loss = [x * (scores[p] - _without(p, scores, max_len)) for p, x in zip(own["piece"], own["expected"])]
+        return pd.DataFrame({"piece": own["piece"], "loss": pd.Series(loss, dtype=float, index=own.index)})
     return run
 
 
@@ -148,43 +186,50 @@ def train_unigram(words: DataFrame, vocab_size: int, specials=("<pad>", "</s>",
                   min_freq: int = 2, sub_rounds: int = 2, shrink: float = 0.75) -> DataFrame:
     """Unigram LM vocabulary: EM rounds, each followed by pruning on the loss of likelihood.
 
-    The word table is written once.  E-step: ``mapInPandas`` over the distinct
-    words (forward-backward per word, weighted by its count) with the current
-    scores broadcast; expected counts are summed by a ``groupBy``.  A piece's
-    loss is its expected count times what its score is above the best
-    segmentation into other pieces; after ``sub_rounds`` EM rounds the share
-    ``shrink`` of largest loss stays, down to the vocabulary size.  Single
-    characters always stay.  Returns (token, id, score), specials first.
+    Words and pieces stay tables.  The distinct words are dealt into blocks of
+    about 20,000 characters; a block meets the scores of the pieces that its
+    words hold by a join on their substrings, which are listed once.  E-step
+    (forward-backward per word, weighted by its count) and losses run per
+    block; expected counts are summed by a ``groupBy``.  A piece's loss is its
+    expected count times what its score is above the best segmentation into
+    other pieces; after ``sub_rounds`` EM rounds the share ``shrink`` of
+    largest loss stays (exact positions), down to the vocabulary size.  Single
+    characters always stay.  The driver gets counts and sums only.  Returns
+    (token, id, score), specials first.
     """
     spark = words.sparkSession
     checkpoint_dir(spark)
     words = words.select("word", "n").checkpoint()
-    seed = seed_pieces(words, max_len, min_freq).collect()
-    total = sum(r["freq"] for r in seed)
-    scores = {r["piece"]: math.log(r["freq"] / total) for r in seed}
+    blocks = _spread(words, "word").checkpoint()
+    seed = seed_pieces(words, max_len, min_freq).checkpoint()
+    total = seed.agg(F.sum("freq").alias("t")).first()["t"] or 1
+    scores = seed.select("piece", F.log(F.col("freq") / F.lit(total)).alias("score"))
+    held = _held(blocks, "word", max_len)
     target = vocab_size - len(specials)
     while True:
-        expected: dict = {}
+        held = held.join(scores.select("piece"), "piece", "left_semi").select("block", "piece").checkpoint()
         for _ in range(sub_rounds):
-            shared = spark.sparkContext.broadcast(scores)
-            rows = (words.mapInPandas(_em_partition(shared, max_len), "piece string, expected double")
-                    .groupBy("piece").agg(F.sum("expected").alias("expected")).collect())
-            shared.unpersist()
-            expected = {r["piece"]: r["expected"] for r in rows}
-            z = sum(expected.values()) or 1.0
-            scores = {p: math.log(x / z) for p, x in expected.items() if x > 0}
-        singles = [p for p in scores if len(p) == 1]
-        multi = [p for p in scores if len(p) > 1]
-        if len(scores) <= target or not multi:
+            counts = (blocks.groupBy("block").cogroup(held.join(scores, "piece").groupBy("block"))
+                      .applyInPandas(_expected(max_len), "piece string, expected double")
+                      .groupBy("piece").agg(F.sum("expected").alias("expected")).checkpoint())
+            z = counts.agg(F.sum("expected").alias("z")).first()["z"] or 1.0
+            table = (counts.where((F.col("expected") > 0) | (F.length("piece") == 1))
+                     .withColumn("score", F.log(F.greatest("expected", F.lit(1e-30)) / F.lit(z))))
+            scores = table.select("piece", "score")
+        multi = table.where(F.length("piece") > 1)
+        n, n_multi = table.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.length("piece") > 1).cast("long")), F.lit(0))).first()
+        if n <= target or not n_multi:
             break
-        loss = {p: expected[p] * (scores[p] - _without(p, scores, max_len)) for p in multi}
-        room = max(target, int(len(scores) * shrink)) - len(singles)
-        stay = sorted(multi, key=lambda p: (-loss[p], p))[:max(room, 0)]
-        scores = {p: scores[p] for p in singles + stay}
-        if len(scores) <= max(target, len(singles)):
+        room = max(max(target, int(n * shrink)) - (n - n_multi), 0)
+        own = _spread(multi, "piece").checkpoint()
+        losses = (own.groupBy("block").cogroup(_held(own, "piece", max_len).join(scores, "piece").groupBy("block"))
+                  .applyInPandas(_losses(max_len), "piece string, loss double"))
+        stay = global_index(losses, [F.desc("loss"), "piece"], total_col=None).where(F.col("idx") < room).select("piece")
+        stay = stay.unionByName(table.where(F.length("piece") == 1).select("piece"))
+        scores = scores.join(stay, "piece", "left_semi").checkpoint()
+        if n - n_multi + min(room, n_multi) <= max(target, n - n_multi):
             break
-    final = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
-    rows = [(s, i, 0.0) for i, s in enumerate(specials)] + [(p, len(specials) + i, float(sc)) for i, (p, sc) in enumerate(final)]
-    return spark.createDataFrame(rows, T.StructType([T.StructField("token", T.StringType()),
-                                                     T.StructField("id", T.LongType()),
-                                                     T.StructField("score", T.DoubleType())]))
+    first = spark.createDataFrame([(s, i, 0.0) for i, s in enumerate(specials)], "token string, id long, score double")
+    final = global_index(scores, [F.desc("score"), "piece"], total_col=None)
+    return first.unionByName(final.select(F.col("piece").alias("token"), (F.col("idx") + len(specials)).cast("long").alias("id"),
+                                          "score"))

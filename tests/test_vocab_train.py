@@ -1,5 +1,7 @@
 """BPE against a brute-force replay on a small fixture; Unigram properties."""
 
+import math
+import random
 from collections import Counter
 
 from retort.operators import vocab_train as vt
@@ -59,3 +61,52 @@ def test_unigram_vocab_shape(spark):
     assert [r.token for r in v[:3]] == ["<pad>", "</s>", "<unk>"]
     assert {"C", "O", "N"} <= {r.token for r in v}
     assert len(v) <= 10 and [r.id for r in v] == list(range(len(v)))
+
+
+def _plain_unigram(counts, size, min_freq, shrink, max_len=16):
+    """The same training with plain dicts, one EM round before each pruning."""
+    subs = lambda w: [w[i:j] for i in range(len(w)) for j in range(i + 1, min(len(w), i + max_len) + 1)]
+    freq = Counter()
+    for w, n in counts.items():
+        for p in subs(w):
+            freq[p] += n
+    freq = {p: n for p, n in freq.items() if len(p) == 1 or n >= min_freq}
+    scores = {p: math.log(n / sum(freq.values())) for p, n in freq.items()}
+
+    def paths(w):
+        if not w:
+            yield ()
+        for j in range(1, min(len(w), max_len) + 1):
+            if w[:j] in scores:
+                yield from ((w[:j], *rest) for rest in paths(w[j:]))
+    while True:
+        expected = Counter({p: 0.0 for p in scores if len(p) == 1})
+        for w, n in counts.items():
+            weight = {p: math.exp(sum(scores[x] for x in p)) for p in paths(w)}
+            for path, x in weight.items():
+                for p in path:
+                    expected[p] += n * x / sum(weight.values())
+        total = sum(expected.values())
+        scores = {p: math.log(x / total) for p, x in expected.items() if x > 0}
+        multi = [p for p in scores if len(p) > 1]
+        singles = len(scores) - len(multi)
+        if len(scores) <= size or not multi:
+            return scores
+        loss = {p: expected[p] * (scores[p] - max(sum(scores[x] for x in path) for path in paths(p) if path != (p,))) for p in multi}
+        stay = sorted(multi, key=lambda p: (-loss[p], p))[:max(size, int(len(scores) * shrink)) - singles]
+        scores = {p: x for p, x in scores.items() if len(p) == 1 or p in stay}
+        if len(scores) <= max(size, singles):
+            return scores
+
+
+def test_unigram_equals_plain_training_and_the_driver_gets_no_piece_table(spark, monkeypatch):
+    rng = random.Random(5)
+    counts = Counter("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(300))
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    fetched, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: (x := collect(self), fetched.append(len(x)))[0])
+    vocab = vt.train_unigram(df, vocab_size=43, min_freq=3, sub_rounds=1, shrink=0.6)
+    assert max(fetched, default=0) <= 40
+    got = {r.token: r.score for r in vocab.collect() if r.id >= 3}
+    want = _plain_unigram(counts, 40, 3, 0.6)
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p], rel_tol=1e-9) for p in want)
