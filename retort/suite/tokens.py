@@ -108,19 +108,19 @@ def _encode_bpe(spark, sf):
     return tk.decode(tk.encode(pieces, "pieces", tok), "input_ids", tok).select("doc_id", "text")
 
 
+def unigram_vocab(pieces):
+    from retort.operators import vocab_train as vt
+    words = tk.token_counts(pieces).withColumnRenamed("token", "word")
+    return vt.train_unigram(words, vocab_size=VOCAB_SIZE, min_freq=20, sub_rounds=1, shrink=0.4)
+
+
 @register("encode_unigram", W(SQL_PIECES) + """
  SELECT doc_id, ltrim(replace(array_to_string(pieces, ''), '▁', ' ')) AS text, len(array_to_string(pieces, '')) AS n_chars FROM fx_pieces""")
 def _encode_unigram(spark, sf):
-    """Best paths over scored pieces of one to four characters: the tokens of a text join to the text."""
+    """Best paths over the trained vocabulary, which holds every character: the tokens of a text join to the text."""
     pieces = pieces_df(spark, sf)
-    words = tk.token_counts(pieces)
-    from retort.operators import vocab_train as vt
-    counts = vt.seed_pieces(words.withColumnRenamed("token", "word"), max_len=4, min_freq=200)
-    total = counts.agg(F.sum("freq").alias("t")).first()["t"]
-    rows = counts.orderBy(F.desc("freq"), "piece").limit(100_000).collect()
-    import math
-    scores = {r["piece"]: math.log(r["freq"] / total) for r in rows}
-    tok = tz.Tokenizer("unigram", {t: i + 3 for i, t in enumerate(scores)}, scores=scores)
+    rows = [r for r in unigram_vocab(pieces).collect() if r["id"] >= len(tk.SPECIALS)]
+    tok = tz.Tokenizer("unigram", {r["token"]: int(r["id"]) for r in rows}, scores={r["token"]: r["score"] for r in rows})
     text = F.ltrim(F.col("text"))
     out = tk.decode(tk.encode(pieces, "pieces", tok), "input_ids", tok).select(
         "doc_id", text.alias("text"), F.length(F.array_join("pieces", "")).cast("long").alias("n_chars"))
@@ -379,6 +379,4 @@ def _train_bpe(spark, sf):
 
 @register("train_unigram")
 def _train_unigram(spark, sf):
-    from retort.operators import vocab_train as vt
-    words = tk.token_counts(pieces_df(spark, sf)).withColumnRenamed("token", "word")
-    return vt.train_unigram(words, vocab_size=VOCAB_SIZE, min_freq=20, sub_rounds=1, shrink=0.4)
+    return unigram_vocab(pieces_df(spark, sf))

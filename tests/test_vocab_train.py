@@ -110,3 +110,12 @@ def test_unigram_equals_plain_training_and_the_driver_gets_no_piece_table(spark,
     got = {r.token: r.score for r in vocab.collect() if r.id >= 3}
     want = _plain_unigram(counts, 40, 3, 0.6)
     assert got.keys() == want.keys() and all(math.isclose(got[p], want[p], rel_tol=1e-9) for p in want)
+
+
+def test_encode_unigram_keeps_rare_characters_and_long_pieces(spark, tmp_path):
+    from retort.suite import tokens as st
+    rows = [(i, "the word reaction is common " * 3 + chr(0x4E00 + i)) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vocab = {r.token for r in st.unigram_vocab(st.pieces_df(spark, str(tmp_path))).collect()}
+    assert {chr(0x4E00 + i) for i in range(60)} <= vocab and max(map(len, vocab)) > 5
+    assert {(r.doc_id, r.text) for r in st._encode_unigram(spark, str(tmp_path)).collect()} == set(rows)
