@@ -5,7 +5,8 @@ as they stand.  On top of them every base64 or hex run that could hold a key
 is decoded, and is reported only if its structure holds: a DER private key
 whose nested lengths add up, an OpenSSH key whose length-prefixed fields fill
 the blob, an armoured block with such a body, or a signed token whose header
-is a JSON object that names an algorithm.
+is a JSON object that names an algorithm.  Runs that only a line break parts,
+a true one or an escaped one, are joined; armour may stand in string literals.
 
 One scan per row, no shuffle.  Spans are code points, end exclusive.
 
@@ -34,9 +35,13 @@ KINDS = ("assign", "access", "hex", "key", "signed")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\-]*?)-----END \1-----")
+_ARMOUR = re.compile(r"""-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,."'\-]|\\+[nrt]|\\(?=\s))*?)-----END \1-----""")
+_JOINT = re.compile(r"""["']\s*(?:[+.,]\s*)?["']""")  # between two string literals
+_BREAK = re.compile(r"(?:[ \t]*\\?(?:\r\n?|\n)|\\+r\\+n|\\+[nr])[ \t]*")
+_WRAPPED = re.compile(r"(?:(?<=\\[nr])|(?<![A-Za-z0-9+/_\-\\]))[A-Za-z0-9+/_-]{20,}={0,2}(?:" + _BREAK.pattern + r"[A-Za-z0-9+/_-]+={0,2})*")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
+_HEX_HEAD = re.compile(r"[0-9a-fA-F]*")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _CODED = np.zeros(256, bool)
@@ -89,11 +94,19 @@ def der_private_key(data: bytes) -> bool:
     return len(inner) == 2 and tags == [0x30, 4] and names_algorithm(inner[0]) and inner[1][2] - inner[1][1] >= 32
 
 
-def openssh_private_key(data: bytes) -> bool:
-    """The OpenSSH container: magic, three strings, a key count, public keys and one private blob."""
+def _der_size(data: bytes) -> int | None:
+    """What the outer DER length says, header included; only the first bytes are needed."""
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    return None if n > 4 or data[1] == 0x80 else 2 + n + (int.from_bytes(data[2:2 + n], "big") if n else data[1])
+
+
+def _openssh_size(data: bytes) -> int | None:
+    """Size of the OpenSSH container at the start: magic, three strings, a key count, public keys and one private blob."""
     magic, at = b"openssh-key-v1\0", 15
     if not data.startswith(magic):
-        return False
+        return None
 
     def field(at):
         n = int.from_bytes(data[at:at + 4], "big")
@@ -102,15 +115,20 @@ def openssh_private_key(data: bytes) -> bool:
     for _ in range(3):
         at = field(at)
         if at is None:
-            return False
+            return None
     count, at = int.from_bytes(data[at:at + 4], "big"), at + 4
     if not 1 <= count <= 16:
-        return False
+        return None
     for _ in range(count + 1):
         at = field(at)
         if at is None:
-            return False
-    return at == len(data)
+            return None
+    return at
+
+
+def openssh_private_key(data: bytes) -> bool:
+    """An OpenSSH container that ends with the data."""
+    return _openssh_size(data) == len(data)
 
 
 def _decode64(run: str) -> bytes | None:
@@ -132,12 +150,53 @@ def holds_key(data: bytes | None) -> bool:
 
 
 def _armoured(m) -> bool:
-    body = "".join(x for x in m[2].splitlines() if ":" not in x and "," not in x)
+    text = _JOINT.sub("\n", re.sub(r"\\+[nrt]|\\(?=\s)", "\n", m[2]))
+    body = "".join(x for x in text.splitlines() if ":" not in x and "," not in x)
     data = _decode64("".join(body.split()))
     encrypted = "ENCRYPTED" in m[2]
     return data is not None and (holds_key(data) or encrypted and len(data) >= 32 and len(data) % 8 == 0)
 
 
+def _unhex(run: str) -> bytes | None:
+    try:
+        return binascii.unhexlify(run[:len(run) // 2 * 2])
+    except binascii.Error:
+        return None
+
+
+def _wrapped(body: str) -> list[tuple[int, int]]:
+    """Spans of the keys in a chain of runs that only line breaks part: from a line that begins as a key does, as many lines as its own lengths say."""
+    lines, at = [], 0
+    for m in _BREAK.finditer(body):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, len(body)))
+    runs = [body[a:b].rstrip("=") for a, b in lines]
+    out, i = [], 0
+    while i < len(lines):
+        for starts, magic, decode, bits in ((("M",), "b3BlbnNzaC1rZXkt", _decode64, 6), (("30",), "6f70656e7373682d6b6579", _unhex, 4)):
+            size = None
+            if runs[i].startswith(starts):
+                size = _der_size(decode(runs[i][:16]) or b"")
+            elif runs[i].lower().startswith(magic.lower()):
+                rest = "".join(runs[i:])
+                rest = rest[:len(rest) - (len(rest) % 4 == 1)] if bits == 6 else _HEX_HEAD.match(rest)[0]
+                size = _openssh_size(decode(rest) or b"")
+            if size is None:
+                continue
+            need, j = -(-size * 8 // bits), i
+            while need > 0 and j < len(runs):
+                need -= len(runs[j])
+                j += 1
+            run = "".join(runs[i:j])
+            if not need and holds_key(_decode64(run) if bits == 6 else _unhex(run)):
+                out.append((lines[i][0], lines[j - 1][1]))
+                i = j - 1
+                break
+        i += 1
+    return out
+
+
 def signed_token(header: str, payload: str) -> bool:
     """The header names an algorithm and the payload decodes to a JSON object too."""
     try:
@@ -157,6 +216,9 @@ def find(text: str) -> list[tuple[int, int, int]]:
     for m in _RUN.finditer(text):
         if not any(s <= m.start() < e for s, e in held) and holds_key(_decode64(m[0])):
             keys.append((m.start(), m.end()))
+    for m in _WRAPPED.finditer(text):
+        keys += [(m.start() + a, m.start() + b) for a, b in _wrapped(m[0])
+                 if not any(s <= m.start() + a < e for s, e in held)]
     for m in _HEX_RUN.finditer(text):
         if holds_key(bytes.fromhex(m[0])):
             keys.append((m.start(), m.end()))

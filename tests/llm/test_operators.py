@@ -406,6 +406,30 @@ def test_secret_structures():
     assert kinds(f"see {part({'typ': 'x', 'a': 1})}.{part({'sub': '1'})}.c2ln now") == []
 
 
+def test_secret_keys_wrapped_and_escaped():
+    import base64
+    from retort.llm import secrets
+    der = lambda tag, body: bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else
+                                            b"\x82" + len(body).to_bytes(2, "big")) + body
+    rsa = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k + 1]) * 40) for k in range(8)))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"pub") + field(b"private" * 15)
+    keys = lambda t: [t[s:e] for s, k, e in secrets.find(t) if k == 3]
+    for key in (rsa, ssh):
+        for text in (base64.b64encode(key).decode(), key.hex(), key.hex().upper()):
+            lines = [text[i:i + 64] for i in range(0, len(text), 64)]
+            for sep in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n    ", "\\\n"):
+                assert keys(f"key: {sep.join(lines)} end") == [sep.join(lines)]
+                assert keys(f'"{sep}{sep.join(lines)}{sep}"') == [sep.join(lines)]
+                assert keys(sep.join(["plainwordsofmorethantwentyletters", *lines, "after", *lines, "x"])) == [sep.join(lines)] * 2
+                assert not keys("key: " + sep.join(lines[:-1])) and not keys("key: " + sep.join(lines[1:]))
+    b64 = base64.b64encode(rsa).decode()
+    lines = ["-----BEGIN RSA PRIVATE KEY-----", *(b64[i:i + 64] for i in range(0, len(b64), 64)), "-----END RSA PRIVATE KEY-----"]
+    for sep in ("\n", "\\n", "\\r\\n", "\\\\n", "\\n\" +\n  \"", "'\n '", "\", \""):
+        assert keys(f'{{"private": "{sep.join(lines)}{sep}"}}') == [sep.join(lines)]
+        assert not keys(sep.join([*lines[:2], *lines[3:]]))
+
+
 def test_secret_removal(spark, odd, none):
     from retort.llm import secrets
     out = {r.doc_id: r.text for r in secrets.without_secrets(odd).collect()}
