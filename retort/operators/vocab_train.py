@@ -2,13 +2,14 @@
 
 Both work on the distinct-word table (word, count), which is written once,
 so the corpus is read once; every round is one distributed aggregation, and
-only the winning pair (BPE) or sums (Unigram, whose piece table stays a table)
+only changed pair counts (BPE) or sums (Unigram, whose piece table stays a table)
 reach the driver.  Long loops cut lineage with
 reliable ``checkpoint()`` into the session's checkpoint folder.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from retort.plans.rowindex import global_index
 from retort.session import checkpoint_dir
 
-SEP = "\u0001"  # symbol separator inside a word (never produced by the byte mapping)
+OPEN, CLOSE = "\u0001", "\u0002"  # around every symbol of a word (never produced by the byte mapping)
 
 # GPT-2 style byte-level pre-tokenizer pattern.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,43 +48,129 @@ def byte_level_words(df: DataFrame, text_col: str) -> DataFrame:
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _java_quote(s: str) -> str:
-    return "".join(c if c.isalnum() else "\\" + c for c in s)
+def _merged(column, merges: list):
+    """Words of wrapped symbols after the merges, in order (left to right, none overlap)."""
+    import pyarrow.compute as pc
+    for a, b in merges:
+        column = pc.replace_substring(column, OPEN + a + CLOSE + OPEN + b + CLOSE, OPEN + a + b + CLOSE)
+    return column
+
+
+def _pair_changes(done: list, fresh: list):
+    """Per batch of words: what ``fresh`` merges, made after the ``done`` ones, change in the counts of pairs.
+
+    Only words that hold a merged pair are counted again; without ``fresh`` all pairs are counted.
+    """
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        change: dict = {}
+
+        def count(column, n, sign):
+            for w, k in zip(column.to_pylist(), n.to_pylist()):
+                symbols = w[1:-1].split(CLOSE + OPEN)
+                for pair in zip(symbols, symbols[1:]):
+                    change[pair] = change.get(pair, 0) + sign * k
+
+        for batch in batches:
+            column, n = _merged(batch.column(0), done), batch.column(1)
+            if fresh:
+                hit = None
+                for a, b in fresh:
+                    x = pc.match_substring(column, OPEN + a + CLOSE + OPEN + b + CLOSE)
+                    hit = x if hit is None else pc.or_(hit, x)
+                column, n = column.filter(hit), n.filter(hit)
+                count(column, n, -1)
+                column = _merged(column, fresh)
+            count(column, n, 1)
+        rows = [(a, b, k) for (a, b), k in change.items() if k]
+        left, right, k = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(k, pa.int64())],
+                                         names=["left", "right", "k"])
+    return run
+
+
+def _next_merges(counts: dict, made: set, room: int, min_count: int) -> list:
+    """The longest run of next merges, at most ``room``, that one round can make with the result of single rounds.
+
+    A merge (a, b) changes the counts of pairs (b, x) and (x, a) only, and a new
+    pair occurs no more often than one of these.  So a pair may follow while it
+    is not one of these and they are all rarer.
+    """
+    order = heapq.nsmallest(256, counts.items(), key=lambda x: (-x[1], x[0]))
+    batch: list = []
+    lefts, rights = set(), set()
+    changed = lambda p: p[0] in rights or p[1] in lefts
+    for i, (pair, c) in enumerate(order):
+        if c < min_count or len(batch) == room:
+            break
+        if batch:
+            ties = [p for p, k in order[i:] if k == c]
+            if any(map(changed, ties)) or order[-1][1] == c and len(order) < len(counts):
+                break
+        batch.append((*pair, c))
+        lefts.add(pair[0])
+        rights.add(pair[1])
+        new = pair[0] + pair[1]
+        if pair[0] == pair[1] or new in made:  # pairs of the new symbol may be as frequent as any
+            break
+        made.add(new)
+    return batch
 
 
 def train_bpe(words: DataFrame, num_merges: int, checkpoint_every: int = 10, min_count: int = 1):
     """Byte-level BPE.  Returns (merges DataFrame(rank, left, right, count), alphabet DataFrame(token)).
 
-    Each round: adjacent-pair counts weighted by word count (one
-    aggregation), the best pair by (count desc, left, right) — one row to
-    the driver — then one ``regexp_replace`` rewrites every word.  Ties are
-    broken by the symbols' text.  The word table is written once before the
-    first round.  Rounds end early only when no pair occurs ``min_count`` times.
+    Adjacent pairs, weighted by word count, are counted once; then each round
+    takes the best pair by (count desc, left, right), and those after it that
+    it cannot change, and counts anew only the words that hold them (one
+    aggregation of the changes).  The driver holds the pair counts, at most
+    the square of the vocabulary.  Ties are broken by the symbols' text.  The
+    word table is written before the first round and every ``checkpoint_every``
+    rounds.  Merges end early only when no pair occurs ``min_count`` times.
     """
     spark = words.sparkSession
     checkpoint_dir(spark)
-    cur = words.select(F.concat(F.lit(SEP), F.array_join(byte_symbols(F.col("word")), SEP), F.lit(SEP)).alias("w"),
+    cur = words.select(F.concat(F.lit(OPEN), F.array_join(byte_symbols(F.col("word")), CLOSE + OPEN), F.lit(CLOSE)).alias("w"),
                        "n").groupBy("w").agg(F.sum("n").alias("n")).checkpoint()
-    alphabet = cur.select(F.explode(F.split("w", SEP)).alias("token")).where("token != ''").distinct()
-    merges = []
-    for r in range(num_merges):
-        syms = F.filter(F.split(F.col("w"), SEP), lambda x: x != "")
-        pairs = cur.select(F.explode(F.zip_with(F.slice(syms, 1, F.size(syms) - 1), F.slice(syms, 2, F.size(syms)),
-                                                lambda a, b: F.struct(a.alias("left"), b.alias("right")))).alias("p"), "n")
-        best = (pairs.groupBy("p.left", "p.right").agg(F.sum("n").alias("count"))
-                .orderBy(F.desc("count"), "left", "right").limit(1).collect())
-        if not best or best[0]["count"] < min_count:
+    alphabet = cur.select(F.explode(F.split("w", f"[{OPEN}{CLOSE}]")).alias("token")).where("token != ''").distinct()
+    counts: dict = {}
+    made: set = set()
+    merges: list = []
+    done: list = []
+    fresh: list = []
+    rounds = 0
+    while True:
+        changes = (cur.mapInArrow(_pair_changes(done, fresh), "left string, right string, k long")
+                   .groupBy("left", "right").agg(F.sum("k").alias("k")).where("k != 0").collect())
+        for x in changes:
+            pair = (x["left"], x["right"])
+            counts[pair] = counts.get(pair, 0) + x["k"]
+            if not counts[pair]:
+                del counts[pair]
+        done = done + fresh
+        best = _next_merges(counts, made, num_merges - len(merges), min_count)
+        if not best:
+            break
+        merges += [(len(merges) + i, a, b, int(c)) for i, (a, b, c) in enumerate(best)]
+        if len(merges) == num_merges:
             break
-        a, b, c = best[0]["left"], best[0]["right"], int(best[0]["count"])
-        merges.append((r, a, b, c))
-        pattern = _java_quote(SEP + a + SEP + b) + "(?=" + SEP + ")"
-        cur = cur.withColumn("w", F.regexp_replace("w", pattern, (SEP + a + b).replace("\\", "\\\\").replace("$", "\\$")))
-        if (r + 1) % checkpoint_every == 0:
-            cur = cur.checkpoint()
+        fresh = [(a, b) for a, b, _ in best]
+        rounds += 1
+        if rounds % checkpoint_every == 0:
+            cur, done = cur.mapInArrow(_apply(done), "w string, n long").checkpoint(), []
     out = spark.createDataFrame(merges, "rank int, left string, right string, count long")
     return out, alphabet
 
 
+def _apply(merges: list):
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_merged(batch.column(0), merges), batch.column(1)], names=["w", "n"])
+    return run
+
+
 # ------------------------------------------------------------------ unigram
 
 def seed_pieces(words: DataFrame, max_len: int, min_freq: int) -> DataFrame:

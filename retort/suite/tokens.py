@@ -13,6 +13,7 @@ from retort.suite import register
 
 W = td.with_sql
 VOCAB_SIZE = 1000
+BPE_MERGES = VOCAB_SIZE - len(tk.SPECIALS) - 256  # the vocabulary less special tokens and bytes
 PACK_LEN = 568
 N_SENTINELS = 100  # appended to the vocabulary, so that no sentinel is a token
 FULL_SIZE = VOCAB_SIZE + N_SENTINELS
@@ -100,7 +101,7 @@ def _encode_bpe(spark, sf):
     """Byte-level merges trained on the corpus, whole texts to ids and back."""
     from retort.operators import vocab_train as vt
     docs = td.table(spark, sf, "documents").select("doc_id", "text")
-    merges, _ = vt.train_bpe(vt.byte_level_words(docs, "text"), num_merges=16)
+    merges, _ = vt.train_bpe(vt.byte_level_words(docs, "text"), num_merges=BPE_MERGES)
     pairs = [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
     symbols = [tz.CHAR_OF[b] for b in range(256)] + [a + b for a, b in pairs]
     tok = tz.Tokenizer("bpe", {t: i + 3 for i, t in enumerate(dict.fromkeys(symbols))}, merges=pairs, byte_level=True)
@@ -373,7 +374,7 @@ def _bleu(spark, sf):
 def _train_bpe(spark, sf):
     from retort.operators import vocab_train as vt
     docs = td.table(spark, sf, "documents").select("text")
-    merges, _ = vt.train_bpe(vt.byte_level_words(docs, "text"), num_merges=16)
+    merges, _ = vt.train_bpe(vt.byte_level_words(docs, "text"), num_merges=BPE_MERGES)
     return merges
 
 

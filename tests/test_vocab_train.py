@@ -55,6 +55,28 @@ def test_bpe_matches_brute_force(spark):
     assert got == _brute_force_bpe(TEXTS, 5)
 
 
+def test_bpe_in_joint_rounds_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("aabcé") for _ in range(rng.randint(1, 9))) for _ in range(40)) for _ in range(12)]
+    texts += ["aaaa aaaaa abab ababa", *TEXTS]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    sizes, step = [], vt._next_merges
+    monkeypatch.setattr(vt, "_next_merges", lambda *a: (x := step(*a), sizes.append(len(x)))[0])
+    merges, _ = vt.train_bpe(vt.byte_level_words(df, "text"), 120, checkpoint_every=7)
+    got = [(r["rank"], r["left"], r["right"], r["count"]) for r in merges.orderBy("rank").collect()]
+    assert len(got) == 120 and got == _brute_force_bpe(texts, 120) and max(sizes) > 1
+
+
+def test_bpe_queries_train_to_the_target_vocabulary(spark, tmp_path):
+    from retort.suite import tokens as st
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["reaction", "product", "solvent", "yield"]) for _ in range(9))) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert st.BPE_MERGES == 741
+    assert {"Ġreaction", "Ġproduct", "Ġsolvent", "Ġyield"} <= {r.left + r.right for r in st._train_bpe(spark, str(tmp_path)).collect()}
+    assert {(r.doc_id, r.text) for r in st._encode_bpe(spark, str(tmp_path)).collect()} == set(rows)
+
+
 def test_unigram_vocab_shape(spark):
     df = spark.createDataFrame([("CCO", 5), ("CCN", 3), ("OCCO", 2)], "word string, n long")
     v = vt.train_unigram(df, vocab_size=10, min_freq=1).orderBy("id").collect()
