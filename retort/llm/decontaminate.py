@@ -10,8 +10,8 @@ words, in whatever order the passages stand.
 
 Before the join a bitmap of seed hashes, of a fixed ``FILTER_BITS`` bits
 whatever the benchmark's size, passes over documents without any seed; what
-it lets through by chance is removed by the join.  Pairs whose shared seeds
-could not cover enough are not tiled.  Equal texts are judged once.
+it lets through by chance is removed by the join.  Pairs whose shared seeds,
+as often as the item has them, could not cover enough are not tiled.  Equal texts are judged once.
 
 Defined results: items of fewer than ``SEED`` words identify nothing and are
 left out; items with equal words are one item, known by the smallest item_id;
@@ -96,24 +96,25 @@ def _extend(item, text, used_i, used_t, i, t) -> int:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """One row per different item: item_id, words (hashes), n_words and seeds (hashes of its windows)."""
+    """One row per different item: item_id, words (hashes), n_words, seeds (hashes of its windows) and how often each occurs."""
     def run(batches):
         for batch in batches:
             buf, off = ts.text_bytes(batch.column(1))
             h, rows = ts.folded_words(buf, off)
             at = ts.word_offsets(rows, len(off) - 1)
             words = [h[at[k]:at[k + 1]] for k in range(len(off) - 1)]
-            seeds = [np.unique(ts.ngrams(w, np.zeros(len(w), np.int64), SEED)[0]).view(np.int64) for w in words]
+            seeds = [np.unique(ts.ngrams(w, np.zeros(len(w), np.int64), SEED)[0], return_counts=True) for w in words]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([w.tobytes() for w in words], pa.binary()),
-                 pa.array([len(w) for w in words], pa.int32()), pa.array(seeds, pa.list_(pa.int64()))],
-                names=["item_id", "words", "n_words", "seeds"])
+                 pa.array([len(w) for w in words], pa.int32()), pa.array([g.view(np.int64) for g, _ in seeds], pa.list_(pa.int64())),
+                 pa.array([n for _, n in seeds], pa.list_(pa.int64()))],
+                names=["item_id", "words", "n_words", "seeds", "times"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return (rows.mapInArrow(run, "item_id long, words binary, n_words int, seeds array<long>")
+    return (rows.mapInArrow(run, "item_id long, words binary, n_words int, seeds array<long>, times array<long>")
             .where(F.col("n_words") >= SEED).groupBy("words")
             .agg(F.min("item_id").alias("item_id"), F.any_value("n_words").alias("n_words"),
-                 F.any_value("seeds").alias("seeds")))
+                 F.any_value("seeds").alias("seeds"), F.any_value("times").alias("times")))
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
@@ -180,10 +181,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """key, item_id, coverage and n_tiles of every text and item whose tiles cover enough."""
     checkpoint_dir(docs.sparkSession)
     known = items(benchmark).checkpoint()
-    seeds = known.select("words", "n_words", F.explode("seeds").alias("seed"))
+    seeds = (known.select("words", "n_words", F.explode(F.arrays_zip("seeds", "times")).alias("s"))
+             .select("words", "n_words", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")))
     found = candidates(docs, seed_filter(seeds)).checkpoint()
     pairs = (found.select("key", F.explode("hits").alias("seed")).join(seeds, "seed")
-             .groupBy("key", "words", "n_words").agg(F.count(F.lit(1)).alias("shared"))
+             .groupBy("key", "words", "n_words").agg(F.sum("times").alias("shared"))
              .where(F.col("shared") * SEED >= COVER * F.col("n_words")))
     lists = (pairs.join(known.select("words", "item_id"), "words")
              .groupBy("key").agg(F.collect_list(F.struct("item_id", "words")).alias("found")))

@@ -337,6 +337,14 @@ def test_tiling_matches_brute_force():
         assert abs(sum(n for n, _, _ in out) - coverage_by_force(item, text, 4)) <= 4  # ties may be marked in another order
 
 
+def test_decontamination_of_items_with_repeated_passages(spark):
+    from retort.llm import decontaminate
+    item = "row row row your boat " * 8
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "row row row your boat then nothing")], "doc_id long, text string")
+    assert {r.doc_id: (r.leaked, r.coverage) for r in decontaminate.verdicts(docs, bench).collect()} == {1: (True, 1.0), 2: (False, None)}
+
+
 def test_decontamination(spark, odd, none):
     from retort.llm import decontaminate
     item = "the quick brown fox jumps over the lazy dog while seven wizards quietly boil fresh turnips in winter"
