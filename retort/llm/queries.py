@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import chatlogs, decontaminate, htmltext, packing, qualify, reshard, secrets, setjoin, substrings, toxicity
+from retort.llm import (chatlogs, decontaminate, htmltext, packing, qualify, resample, reshard, secrets, setjoin, substrings,
+                        toxicity, vectorcodes, warc)
 from retort.llm.common import table
 
 QUERIES: dict = {}
@@ -136,3 +137,87 @@ u AS (SELECT v, min(conv_id) AS conv_id, count(*) AS n_copies FROM t GROUP BY v)
 SELECT u.conv_id, CAST(len(u.v) AS BIGINT) AS n_turns, u.n_copies, t.rendered
 FROM u JOIN t USING (conv_id) WHERE u.v NOT IN (SELECT v FROM p)
 """
+
+
+@query
+def op11_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, codebooks = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.digest(codebooks)).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd rounds by brute force: every part against every entry, in whole numbers."""
+    near = """SELECT v.vec_id, v.p, v.v, min(struct_pack(d := list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := c.e)) AS n
+              FROM parts v JOIN c{k} c ON c.p = v.p GROUP BY ALL"""
+    steps = "".join(f"""
+n{k} AS ({near.format(k=k)}),
+m{k} AS (SELECT p, n.e AS e, i, sum(v[i]) AS s, count(*) AS c FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM n{k}) GROUP BY ALL),
+c{k + 1} AS (SELECT c.p, c.e, coalesce(u.v, c.v) AS v
+        FROM c{k} c LEFT JOIN (SELECT p, e, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY i) AS v FROM m{k} GROUP BY p, e) u
+        ON c.p = u.p AND c.e = u.e),""" for k in range(rounds))
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+              FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v
+          FROM (SELECT *, unnest(range(0, {parts})) AS p FROM kept)),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}),
+c0 AS (SELECT p, e, v FROM parts JOIN seeds USING (vec_id)),{steps}
+last AS ({near.format(k=rounds)}),
+codes AS (SELECT vec_id, string_agg(lpad(lower(to_hex(n.e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(n.d) AS BIGINT) AS error
+          FROM last GROUP BY vec_id),
+sums AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM codes JOIN kept USING (vec_id) GROUP BY label),
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM codes JOIN kept USING (vec_id) JOIN sums ON sums.label IS NOT DISTINCT FROM kept.label CROSS JOIN book
+"""
+
+
+SQL["op11_dual_tree_codes"] = _codes_sql()
+
+
+@query
+def op12_line_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL["op12_line_resample"] = r"""
+WITH crc AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, b) ORDER BY b) AS t
+        FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS b)),
+x AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+f AS (SELECT kind, id, unnest(w) AS w FROM w),
+u AS (SELECT w, list_transform(range(0, strlen(w)), lambda i: 16 * (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1)
+                               + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1) AS b
+      FROM (SELECT DISTINCT w, hex(encode(w)) AS h FROM f)),
+v AS (SELECT w, xor(4294967295, list_reduce(b, lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1]), CAST(4294967295 AS BIGINT))) % 10000 AS bucket
+      FROM u CROSS JOIN crc),
+n AS (SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM f JOIN v USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM n) + 10000) AS DOUBLE)
+                                          / CAST((s + 1) * ((SELECT sum(t) FROM n) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM n),
+d AS (SELECT id AS doc_id, len(w) AS n_features, ('0x' || sha256('2024:' || id)[1:8])::BIGINT AS h FROM w WHERE kind = 0),
+a AS (SELECT id AS doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN v USING (w) JOIN g USING (bucket) WHERE kind = 0 GROUP BY id),
+s AS (SELECT doc_id, n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM d LEFT JOIN a USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM s WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM s LEFT JOIN r USING (doc_id)
+"""
+
+
+@query
+def op13_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op13_zstd_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT x, min(page_id) AS first FROM p WHERE octet_length(x) >= 100 GROUP BY x)
+SELECT page_id, octet_length(x) AS payload_bytes, sha256(x) AS payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (x)
+"""

@@ -8,7 +8,8 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
 
-@pytest.mark.parametrize("name", ["op2_maximal_repeats", "op4_chosen_path_join", "op10_chat_snapshots"])
+@pytest.mark.parametrize("name", ["op2_maximal_repeats", "op4_chosen_path_join", "op10_chat_snapshots",
+                                  "op11_dual_tree_codes", "op12_line_resample", "op13_zstd_warc"])
 def test_query_matches_sql(spark, name):
     from tools.oracle_check import check
     res = check(spark, SF, [name], verbose=False)[name]
@@ -18,7 +19,7 @@ def test_query_matches_sql(spark, name):
 def test_all_queries_are_registered():
     import __spark_entry__ as E
     names = E.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_matches_a_plain_version(spark):
