@@ -239,14 +239,21 @@ def resample(docs: DataFrame, target: DataFrame, max_n: int = MAX_N, buckets: in
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
+    def across(rows):
+        """What documents add themselves: nothing where a feature is one word."""
+        return [rows.withColumn("n", F.lit(1).cast("long"))] if max_n > 1 else []
+
     lines = stored(line_features(distinct_lines(docs), max_n, buckets), "lines")
-    rows = stored(document_rows(docs, max_n, buckets), "rows").withColumn("n", F.lit(1).cast("long"))
+    rows = stored(document_rows(docs, max_n, buckets), "rows")
     wanted = document_rows(target.select(F.lit(0).cast("long").alias("doc_id"), "text"), max_n, buckets)
-    gain = gains(bucket_counts(lines, rows, buckets=buckets),
-                 bucket_counts(line_features(distinct_lines(target), max_n, buckets),
-                               wanted.withColumn("n", F.lit(1).cast("long")), buckets=buckets))
-    own = weighed(rows.withColumn("n_features", F.aggregate("count", F.lit(0).cast("long"), lambda a, c: a + c)),
-                  gain, "row", "doc_id", "n_features").withColumn("n_words", F.lit(0).cast("long"))
+    gain = gains(bucket_counts(lines, *across(rows), buckets=buckets),
+                 bucket_counts(line_features(distinct_lines(target), max_n, buckets), *across(wanted), buckets=buckets))
+    zero = F.lit(0).cast("long")
+    if max_n > 1:
+        counted = rows.withColumn("n_features", F.aggregate("count", zero, lambda a, c: a + c))
+        own = weighed(counted, gain, "row", "doc_id", "n_features").withColumn("n_words", zero)
+    else:
+        own = rows.select("row", "doc_id", zero.alias("n_features"), zero.alias("weight"), zero.alias("n_words"))
     held = (rows.select("row", "doc_id", F.explode("keys").alias("key"))
             .join(weighed(lines, gain, "key", "n_words", "n_features"), "key"))
     sums = (held.select(own.columns).unionByName(own).groupBy("row", "doc_id")
