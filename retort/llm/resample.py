@@ -1,10 +1,10 @@
 """Importance resampling towards a target distribution, with segment deduplication.
 
-Newlines separate words, so they cut a text into lines.  Equal lines are
-brought together first; the hashed n-gram counts of every different line are
-computed once and multiplied by the line's occurrences.  N-grams that reach
-over a line's end belong to no line: they are counted with their document and
-added separately.  A document's weight is the sum of its lines' weights, each
+Newlines separate words, so they cut a text into lines.  Equal lines of the
+corpus and the target are brought together first; the hashed n-gram counts of
+every different line are computed once and multiplied by its occurrences in
+each.  N-grams that reach over a line's end belong to no line: they are
+counted with their document and added separately.  A document's weight is the sum of its lines' weights, each
 computed once too, and of its own n-grams over line ends.
 
 Words are runs of digits, ASCII letters (A-Z taken as a-z) and all characters
@@ -121,8 +121,8 @@ def _lines(column):
 
 # ------------------------------------------------------------------ tables
 
-def distinct_lines(texts: DataFrame) -> DataFrame:
-    """(line, n): every different non-empty line and its occurrences; equal lines of a batch are combined first."""
+def distinct_lines(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(line, n, t): every different non-empty line and its occurrences in both; equal lines of a batch are combined first."""
     def cut(batches):
         for b in batches:
             enc = _lines(b.column(0))[0].dictionary_encode()
@@ -130,22 +130,25 @@ def distinct_lines(texts: DataFrame) -> DataFrame:
             keep = pc.greater(pc.binary_length(enc.dictionary), 0)
             yield pa.RecordBatch.from_arrays([enc.dictionary.filter(keep), pa.array(n).filter(keep)], ["line", "n"])
 
-    return texts.select("text").mapInArrow(cut, "line string, n long").groupBy("line").agg(F.sum("n").alias("n"))
+    here, there = (x.select("text").mapInArrow(cut, "line string, n long") for x in (docs, target))
+    none = F.lit(0).cast("long")
+    both = here.withColumn("t", none).unionByName(there.select("line", none.alias("n"), F.col("n").alias("t")))
+    return both.groupBy("line").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
 def line_features(lines: DataFrame, max_n: int, buckets: int) -> DataFrame:
-    """(key, n, n_words, n_features, bucket, count): the features of every different line, computed once."""
+    """(key, n, t, n_words, n_features, bucket, count): the features of every different line, computed once."""
     def run(batches):
         for b in batches:
             words, rows, bucket = features(b.column("line"), max_n, buckets, False)
             (ids, counts), _ = _sparse(rows, bucket, b.num_rows, buckets)
             keys = [hashlib.md5(x.encode()).digest() for x in b.column("line").to_pylist()]
             total = np.bincount(rows, minlength=b.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("n"), pa.array(words), pa.array(total),
-                                              ids, counts],
-                                             ["key", "n", "n_words", "n_features", "bucket", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("n"), b.column("t"), pa.array(words),
+                                              pa.array(total), ids, counts],
+                                             ["key", "n", "t", "n_words", "n_features", "bucket", "count"])
 
-    return lines.mapInArrow(run, "key binary, n long, n_words long, n_features long, bucket array<int>, count array<int>")
+    return lines.mapInArrow(run, "key binary, n long, t long, n_words long, n_features long, bucket array<int>, count array<int>")
 
 
 def document_rows(docs: DataFrame, max_n: int, buckets: int) -> DataFrame:
@@ -174,23 +177,24 @@ def document_rows(docs: DataFrame, max_n: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "row long, doc_id long, keys array<binary>, bucket array<int>, count array<int>")
 
 
-def bucket_counts(*tables: DataFrame, buckets: int) -> list[int]:
-    """Features by bucket over tables of (n, bucket, count): summed in every task, then over tasks."""
+def bucket_counts(*tables: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
+    """Features by bucket, in the corpus and in the target, over tables of (n, t, bucket, count): summed in every task first."""
     def run(batches):
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros((buckets, 2), np.int64)
         for b in batches:
             bucket = b.column("bucket").flatten().to_numpy()
-            size = b.column("bucket").value_lengths().to_numpy()
-            times = np.repeat(b.column("n").to_numpy(), size)
-            np.add.at(total, bucket, b.column("count").flatten().to_numpy() * times)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
-
-    out = [0] * buckets
-    for t in tables:
-        sums = t.select("n", "bucket", "count").mapInArrow(run, "bucket int, n long")
-        for r in sums.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-            out[r["bucket"]] += r["n"]
+            size, count = b.column("bucket").value_lengths().to_numpy(), b.column("count").flatten().to_numpy()
+            for k in (0, 1):
+                np.add.at(total[:, k], bucket, count * np.repeat(b.column(k).to_numpy(), size))
+        at = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[at, k]) for k in (0, 1)]], ["bucket", "n", "t"])
+
+    out: tuple = ([0] * buckets, [0] * buckets)
+    for x in tables:
+        sums = x.select("n", "t", "bucket", "count").mapInArrow(run, "bucket int, n long, t long")
+        for r in sums.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect():
+            out[0][r["bucket"]] += r["n"]
+            out[1][r["bucket"]] += r["t"]
     return out
 
 
@@ -239,15 +243,14 @@ def resample(docs: DataFrame, target: DataFrame, max_n: int = MAX_N, buckets: in
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    def across(rows):
-        """What documents add themselves: nothing where a feature is one word."""
-        return [rows.withColumn("n", F.lit(1).cast("long"))] if max_n > 1 else []
-
-    lines = stored(line_features(distinct_lines(docs), max_n, buckets), "lines")
+    lines = stored(line_features(distinct_lines(docs, target), max_n, buckets), "lines")
     rows = stored(document_rows(docs, max_n, buckets), "rows")
-    wanted = document_rows(target.select(F.lit(0).cast("long").alias("doc_id"), "text"), max_n, buckets)
-    gain = gains(bucket_counts(lines, *across(rows), buckets=buckets),
-                 bucket_counts(line_features(distinct_lines(target), max_n, buckets), *across(wanted), buckets=buckets))
+    tables = [lines]
+    if max_n > 1:  # where a feature is one word, none reaches over a line's end
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        there = document_rows(target.select(none.alias("doc_id"), "text"), max_n, buckets)
+        tables += [rows.withColumns({"n": one, "t": none}), there.withColumns({"n": none, "t": one})]
+    gain = gains(*bucket_counts(*tables, buckets=buckets))
     zero = F.lit(0).cast("long")
     if max_n > 1:
         counted = rows.withColumn("n_features", F.aggregate("count", zero, lambda a, c: a + c))

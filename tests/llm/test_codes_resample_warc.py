@@ -137,8 +137,9 @@ def test_resampling_matches_brute_force(spark, odd, max_n, buckets):
 def test_equal_lines_are_counted_once_and_multiplied(spark):
     from retort.llm import resample
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("Same line here\nno "), F.col("id") % 4).alias("text"))
-    lines = {r.line: r.n for r in resample.distinct_lines(docs.repartition(6)).collect()}
-    assert lines == {"same line here": 400, **{f"no {i}": 100 for i in range(4)}}
+    target = spark.createDataFrame([("NO 1\nno 1\nother",), (None,)], "text string")
+    lines = {r.line: (r.n, r.t) for r in resample.distinct_lines(docs.repartition(6), target).collect()}
+    assert lines == {"same line here": (400, 0), "other": (0, 1), **{f"no {i}": (100, 2 * (i == 1)) for i in range(4)}}
 
 
 def test_resampling_of_empty_tables(spark, none, odd):
