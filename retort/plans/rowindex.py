@@ -12,16 +12,20 @@ restarting per group, without a single-task window:
    position.  A hot group is spread over many buckets, so no task holds
    more than about N / buckets rows.
 
-Splits, folds, samples, oversampling and batch ids are then plain
-predicates on ``idx`` and the group total ``n``.
+Folds, oversampling and batch ids are then plain predicates on ``idx`` and
+the group total ``n``.  Splits, samples and slices need no positions: they
+select the keys at their cut-off ranks (``cut_offs``) and compare.
 """
 
 from __future__ import annotations
 
 import math
+import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retort.functions.hashing import hash_key
 
@@ -98,29 +102,109 @@ def hash_index(df: DataFrame, seed: int, key_cols: list, by: list | None = None,
     return out.drop("__hk")
 
 
+# ------------------------------------------------------------------ cut-off keys
+
+DIGITS, FEW = 3, 4096
+
+
+def _hex64(c: Column) -> Column:
+    """16 hex digits that sort as the integer does (its sign bit is flipped)."""
+    return F.lpad(F.hex(c.cast("long").bitwiseXOR(F.lit(-2 ** 63))), 16, "0")
+
+
+def text_key(schema: T.StructType, order: list) -> Column | None:
+    """A text that sorts as the ``order`` columns do, nulls first; None where a type has no such text."""
+    parts = []
+    for c in order:
+        kind = schema[c].dataType if isinstance(c, str) else None
+        if isinstance(kind, T.IntegralType):
+            x = _hex64(F.col(c))
+        elif isinstance(kind, T.DateType):
+            x = _hex64(F.unix_date(c))
+        elif isinstance(kind, T.TimestampType):
+            x = _hex64(F.unix_micros(F.col(c)))
+        elif isinstance(kind, T.StringType):
+            x = F.concat(F.hex(F.encode(F.col(c), "UTF-8")), F.lit(" "))  # the blank ends it, before every digit
+        else:
+            return None
+        parts.append(F.coalesce(F.concat(F.lit("1"), x), F.lit("0")))
+    return F.concat(*parts)
+
+
+def _groups(keys: DataFrame, prefix: str) -> list:
+    """Counts, least and greatest key by the next ``DIGITS`` characters of the keys that begin with ``prefix``, in order."""
+    part = keys.where(F.col("k").startswith(prefix)) if prefix else keys
+    found = part.groupBy(F.substring("k", len(prefix) + 1, DIGITS).alias("g")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+    return sorted(found.collect(), key=lambda r: r["g"])
+
+
+def _key_at(keys: DataFrame, groups: list, rank: int) -> str:
+    """The key at position ``rank``: into the one group that holds it, past what all its keys begin with, until few are left."""
+    while True:
+        for g in groups:
+            if rank < g["n"]:
+                break
+            rank -= g["n"]
+        if g["low"] == g["high"]:
+            return g["low"]
+        prefix = os.path.commonprefix([g["low"], g["high"]])
+        if g["n"] <= FEW:
+            return sorted(r["k"] for r in keys.where(F.col("k").startswith(prefix) & F.col("k").between(g["low"], g["high"])).collect())[rank]
+        groups = _groups(keys, prefix)
+
+
+def cut_offs(df: DataFrame, key: Column, ranks) -> list[Column]:
+    """For each rank that ``ranks(number of rows)`` asks for, the condition that holds for the rows before it.
+
+    Radix selection over a text key of hex digits: the keys alone are written
+    once; a round counts them by their next three digits (at most some
+    thousand groups, whatever the table) and descends into the group that
+    holds the rank; the last ``FEW`` keys are fetched.  A row then compares
+    its own key with a constant, so no row moves.  Rows that share a key are
+    never parted: a cut-off among them puts them all behind it.
+    """
+    from retort.session import checkpoint_dir, drop_path, stage_path
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = stage_path(spark, f"cut-{uuid.uuid4().hex}")
+    df.select(key.alias("k")).write.parquet(path)
+    keys = spark.read.schema("k string").parquet(path)
+    groups = _groups(keys, "")
+    n = sum(g["n"] for g in groups)
+    out = [F.lit(r > 0) if r <= 0 or r >= n else key < F.lit(_key_at(keys, groups, int(r))) for r in ranks(n)]
+    drop_path(spark, path)
+    return out
+
+
+def _first(df: DataFrame, order: list, size) -> Column:
+    """The condition that holds for the first ``size(number of rows)`` rows in the order of columns."""
+    return cut_offs(df, text_key(df.schema, order), lambda n: [size(n)])[0]
+
+
 # ------------------------------------------------------------------ splits
 
 def split_train_valid_test(df: DataFrame, key_cols: list, seed: int = 42, frac: float = 0.1,
                            split_col: str = "split") -> DataFrame:
-    """Exact sizes: test = int(frac*N), valid = int(frac*N) of the *full* N, rest train."""
-    x = hash_index(df, seed, key_cols)
-    t = F.floor(F.col(TOTAL) * F.lit(frac))
-    s = (F.when(F.col(IDX) < t, "test").when(F.col(IDX) < 2 * t, "valid").otherwise("train"))
-    return x.withColumn(split_col, s).drop(IDX, TOTAL)
+    """Exact sizes: test = int(frac*N), valid = int(frac*N) of the *full* N, rest train (unique keys)."""
+    test, valid = cut_offs(df, hash_key(seed, *key_cols), lambda n: [k * math.floor(n * frac) for k in (1, 2)])
+    return df.withColumn(split_col, F.when(test, "test").when(valid, "valid").otherwise("train"))
 
 
 def split_fraction(df: DataFrame, key_cols: list, seed: int = 42, test_size: float = 0.1,
                    split_col: str = "split") -> DataFrame:
     """test = ceil(test_size * N) rows in seeded order, rest train."""
-    x = hash_index(df, seed, key_cols)
-    t = F.ceil(F.col(TOTAL) * F.lit(test_size))
-    return x.withColumn(split_col, F.when(F.col(IDX) < t, "test").otherwise("train")).drop(IDX, TOTAL)
+    test, = cut_offs(df, hash_key(seed, *key_cols), lambda n: [math.ceil(n * test_size)])
+    return df.withColumn(split_col, F.when(test, "test").otherwise("train"))
 
 
 def split_head_percent(df: DataFrame, order: list, pct: float = 5.0, split_col: str = "split") -> DataFrame:
-    """First round(pct% * N) rows in row order are validation, the rest train."""
-    x = global_index(df, order)
-    v = F.round(F.col(TOTAL) * F.lit(pct / 100.0), 0)
+    """First round(pct% * N) rows (a half goes to the even number) in row order are validation, the rest train."""
+    if text_key(df.schema, order) is not None:
+        head = _first(df, order, lambda n: round(n * (pct / 100.0)))
+        return df.withColumn(split_col, F.when(head, "validation").otherwise("train"))
+    x = global_index(df, order)  # an order whose keys have no text form
+    v = F.bround(F.col(TOTAL) * F.lit(pct / 100.0), 0)
     return x.withColumn(split_col, F.when(F.col(IDX) < v, "validation").otherwise("train")).drop(IDX, TOTAL)
 
 
@@ -130,15 +214,13 @@ def shuffle_rows(df: DataFrame, key_cols: list, seed: int = 42) -> DataFrame:
 
 
 def sample_fraction(df: DataFrame, key_cols: list, frac: float, seed: int = 42) -> DataFrame:
-    """Exactly round(frac * N) rows: the first ones in seeded order."""
-    x = hash_index(df, seed, key_cols)
-    return x.where(F.col(IDX) < F.round(F.col(TOTAL) * F.lit(frac), 0)).drop(IDX, TOTAL)
+    """Exactly round(frac * N) rows (a half goes to the even number): the first ones in seeded order."""
+    return df.where(cut_offs(df, hash_key(seed, *key_cols), lambda n: [round(n * frac)])[0])
 
 
 def sample_n(df: DataFrame, key_cols: list, n: int, seed: int = 42) -> DataFrame:
-    """Exactly min(n, N) rows in seeded order (a top-n on the md5 key)."""
-    return (df.withColumn("__hk", hash_key(seed, *key_cols))
-            .orderBy("__hk", *key_cols).limit(n).drop("__hk"))
+    """Exactly min(n, N) rows: those before the cut-off key of rank n, however large n is."""
+    return df.where(cut_offs(df, hash_key(seed, *key_cols), lambda _: [n])[0])
 
 
 def batch_ids(df: DataFrame, order: list, batch_size: int, drop_last: bool = True,
@@ -204,11 +286,13 @@ def oversample_minority(df: DataFrame, label: str, minority, k: int, key_cols: l
 
 
 def head_slice(df: DataFrame, order: list, n: int | None = None, frac: float | None = None) -> DataFrame:
-    """First n rows in row order (a top-n, not a full sort), or the first floor(frac * N) by their exact position."""
-    if n is None:
-        x = global_index(df, order)
-        return x.where(F.col(IDX) < F.floor(F.col(TOTAL) * F.lit(frac))).drop(IDX, TOTAL)
-    return df.orderBy(*order).limit(n)
+    """The first n rows in row order, or the first floor(frac * N): those before a cut-off key, so no row moves."""
+    size = (lambda _: n) if n is not None else (lambda total: math.floor(total * frac))
+    if text_key(df.schema, order) is not None:
+        return df.where(_first(df, order, size))
+    x = global_index(df, order)  # an order whose keys have no text form
+    most = F.floor(F.col(TOTAL) * F.lit(frac)) if n is None else F.lit(n)
+    return x.where(F.col(IDX) < most).drop(IDX, TOTAL)
 
 
 def running_sum(df: DataFrame, order: list, value, by: list | None = None, out=None,

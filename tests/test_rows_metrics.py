@@ -118,3 +118,44 @@ def test_early_stopping_over_segments_and_modes(spark):
             expected[r] = (at, float(best), stop, stop or len(vs))
         got = mt.early_stopping(df, "loss", ["run"], "epoch", patience=3, mode=mode, segment=4)
         assert {x.run: (x.best_epoch, x.best_value, x.stop_epoch, x.epochs_run) for x in got.collect()} == expected
+
+
+def test_cut_offs_equal_a_sort_for_any_key(spark, monkeypatch):
+    import datetime
+    import random
+
+    from pyspark.sql import functions as F
+
+    from retort.plans import rowindex as ri
+    monkeypatch.setattr(ri, "FEW", 5)
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *range(-3, 4)]), rng.choice([None, "", "a", "ab", "b", "é", "http://long/prefix/" + "x" * rng.randint(0, 3)]),
+             rng.choice([None, datetime.date(2020, 1, rng.randint(1, 28))]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, s string, d date, i long").repartition(7)
+    place = lambda r: tuple((v is not None, v.encode() if isinstance(v, str) else v) for v in r)
+    for n in (0, 1, 7, 133, 399, 400, 999):
+        for order in (["a", "s", "d", "i"], ["s", "i"], ["d", "i"]):
+            key = lambda r: place([r["asdi".index(c)] for c in order])
+            got = ri.head_slice(df, order, n=n)
+            assert sorted(r.i for r in got.collect()) == sorted(r[3] for r in sorted(rows, key=key)[:n])
+            assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Window", "Sort", "hashpartitioning", "rangepartitioning"))
+    for n in (3, 200, 399):
+        got = ri.sample_n(df, ["i"], n, seed=5)
+        assert got.count() == n
+        kept = sorted(r.i for r in df.withColumn("h", F.md5(F.concat_ws("|", F.lit("5"), "i"))).orderBy("h").limit(n).collect())
+        assert sorted(r.i for r in got.collect()) == kept
+    split = ri.split_train_valid_test(df, ["i"], frac=0.13)
+    assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"test": 52, "valid": 52, "train": 296}
+
+
+def test_cut_offs_of_repeated_keys_empty_tables_and_doubles(spark):
+    from pyspark.sql import functions as F
+
+    from retort.plans import rowindex as ri
+    same = spark.range(50_000).select(F.when(F.col("id") < 10, F.col("id")).otherwise(7).alias("k"))
+    assert ri.head_slice(same, ["k"], n=20_000).count() == 7  # rows that share the cut-off key stay together, behind it
+    assert ri.sample_fraction(same.limit(0), ["k"], 0.5).count() == 0
+    assert ri.split_fraction(same.limit(0), ["k"]).columns == ["k", "split"]
+    d = spark.range(100).select((F.col("id") / 7).alias("x"))
+    assert ri.head_slice(d, ["x"], n=30).agg(F.max("x")).first()[0] == 29 / 7
+    assert ri.split_head_percent(d, ["x"], 5.0).where("split = 'validation'").count() == 5
