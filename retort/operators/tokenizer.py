@@ -3,8 +3,9 @@
 A ``Tokenizer`` holds a trained vocabulary (bounded by its training target;
 ``load`` refuses more than ``MAX_VOCAB`` rows) and is shipped once per
 executor.  ``encode`` and ``decode`` are Arrow column functions: the pieces of
-a batch are flattened, every different piece is segmented once, and the ids
-are gathered back behind the same list offsets.
+a batch are flattened, every different piece is segmented once, all of them
+together in array passes (``BestPaths``, ``Merges``), and the ids are gathered
+back behind the same list offsets.
 
 Segmentations: ``word`` (a piece is a token or unknown), ``char`` (every
 character is a token), ``unigram`` (best path of token scores) and ``bpe``
@@ -92,6 +93,186 @@ class Tokenizer:
     def piece_ids(self, piece: str) -> list[int]:
         return [self.ids.get(t, self.unk_id) for t in self.segment(piece)]
 
+    def flat_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces one after the other, and their number by piece."""
+        if self.kind in ("word", "char"):
+            lists = [self.piece_ids(w) for w in pieces]
+            return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
+        if not hasattr(self, "_machine"):  # built once in every worker, not shipped
+            self._machine = BestPaths(self) if self.kind == "unigram" else Merges(self)
+        return self._machine.run(pieces)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_machine"}
+
+
+def _code_points(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all pieces and the offsets of each."""
+    raw = "".join(pieces).encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(raw, "<u4").astype(np.int64), np.append(0, np.cumsum([len(w) for w in pieces], dtype=np.int64))
+
+
+class _Table:
+    """Whole numbers looked up in sorted arrays; what is missing is -1."""
+
+    def __init__(self, keys, values):
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
+
+    def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(wanted), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.values[at], -1)
+
+
+class BestPaths:
+    """Best segmentations of many pieces at once.
+
+    The tokens form a trie over code points, kept as one sorted array of
+    (node, code point) -> node.  All positions of all pieces walk it together,
+    one character a step; every token that ends on the way is an edge.  Then
+    the end positions are taken in turn: the best way to position t of every
+    piece is the best of its edges, of equal ones that of the longest token.
+    """
+
+    _WIDTH = 0x110000
+
+    def __init__(self, tok: Tokenizer):
+        nodes: dict = {}
+        token, score = [-1], [0.0]
+        for t, s in tok.scores.items():
+            at = 0
+            for c in map(ord, t):
+                key = at * self._WIDTH + c
+                if key not in nodes:
+                    nodes[key] = len(token)
+                    token.append(-1)
+                    score.append(0.0)
+                at = nodes[key]
+            if t:
+                token[at], score[at] = tok.ids.get(t, tok.unk_id), s
+        self.next = _Table(list(nodes), list(nodes.values()))
+        self.token, self.score = np.array(token, np.int64), np.array(score)
+        self.ends = np.zeros(len(token), bool)
+        for t in tok.scores:
+            at = 0
+            for c in map(ord, t):
+                at = nodes[at * self._WIDTH + c]
+            self.ends[at] = bool(t)
+        self.floor, self.unk = tok.floor, tok.unk_id
+
+    def _edges(self, cp: np.ndarray, stop: np.ndarray):
+        """(start, end, score, id) of all tokens in the pieces, and of unknown characters."""
+        at, node, out, d = np.arange(len(cp)), np.zeros(len(cp), np.int64), [], 0
+        while len(at):
+            d += 1
+            node = self.next[node * self._WIDTH + cp[at + d - 1]]
+            if d == 1:
+                lone = at[(node < 0) | ~self.ends[node]]
+                out.append((lone, lone + 1, np.full(len(lone), self.floor), np.full(len(lone), self.unk)))
+            at, node = at[node >= 0], node[node >= 0]
+            hit = self.ends[node]
+            out.append((at[hit], at[hit] + d, self.score[node[hit]], self.token[node[hit]]))
+            go = at + d < stop[at]
+            at, node = at[go], node[go]
+        return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+
+    def run(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cp, off = _code_points(pieces)
+        size = np.diff(off)
+        piece = np.repeat(np.arange(len(pieces)), size)
+        start, end, score, ids = self._edges(cp, off[1:][piece])
+        # states are numbered by position: piece p has size + 1 of them from off[p] + p
+        shift = piece[start]
+        local = end - off[shift]
+        order = np.lexsort((start, shift, local))
+        start, end, score, ids, local = start[order] + shift[order], end[order] + shift[order], score[order], ids[order], local[order]
+        states = len(cp) + len(pieces)
+        best, came, via = np.zeros(states), np.zeros(states, np.int64), np.zeros(states, np.int64)
+        turns = np.searchsorted(local, np.arange(1, (int(size.max()) if len(size) else 0) + 2))
+        for a, b in zip(turns[:-1].tolist(), turns[1:].tolist()):
+            value = best[start[a:b]] + score[a:b]
+            first = np.flatnonzero(np.append(True, end[a + 1:b] != end[a:b - 1]))
+            top = np.maximum.reduceat(value, first)
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, b - a)))
+            hits = np.flatnonzero(value == top[group])
+            hits = hits[np.append(True, group[hits][1:] != group[hits][:-1])]  # the first: the smallest start
+            to = end[a:b][first]
+            best[to], came[to], via[to] = top, start[a:b][hits], ids[a:b][hits]
+        begin = off[:-1] + np.arange(len(pieces))
+        at, on_path = begin + size, np.zeros(states, bool)
+        at = at[at > begin]
+        begins = np.zeros(states, bool)
+        begins[begin] = True
+        while len(at):
+            on_path[at] = True
+            at = came[at]
+            at = at[~begins[at]]
+        chosen = np.flatnonzero(on_path)
+        count = np.bincount(np.searchsorted(begin, chosen, "right") - 1, minlength=len(pieces)) if len(pieces) else np.zeros(0, np.int64)
+        return via[chosen].astype(np.int32), count.astype(np.int64)
+
+
+class Merges:
+    """Merges of many pieces at once: in every turn each piece makes its merge of least rank, everywhere it occurs."""
+
+    def __init__(self, tok: Tokenizer):
+        self.byte_level, self.unk, self.ids = tok.byte_level, tok.unk_id, tok.ids
+        self.symbols: dict[str, int] = {}
+        for a, b in tok.ranks:
+            for x in (a, b, a + b):
+                self.symbols.setdefault(x, len(self.symbols))
+        names = list(self.symbols)
+        self.width = len(names) + 1
+        pairs = [self.symbols[a] * self.width + self.symbols[b] for a, b in tok.ranks]
+        self.rank = _Table(pairs, list(tok.ranks.values()))
+        self.made = np.array([self.symbols[a + b] for a, b in sorted(tok.ranks, key=tok.ranks.get)] or [0], np.int64)
+        self.base = _Table([ord(x) for x in names if len(x) == 1], [self.symbols[x] for x in names if len(x) == 1])
+        self.id_of = np.array([tok.ids.get(x, tok.unk_id) for x in names] + [0], np.int64)
+        self.single = _Table([ord(x) for x in tok.ids if len(x) == 1], [i for x, i in tok.ids.items() if len(x) == 1])
+
+    def run(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.byte_level:
+            raw = [w.encode() for w in pieces]
+            cp = _CHARS[np.frombuffer(b"".join(raw), np.uint8)]
+            size = np.array([len(w) for w in raw], np.int64)
+        else:
+            cp, off = _code_points(pieces)
+            size = np.diff(off)
+        symbol = self.base[cp]
+        plain = self.single[cp]  # the id of a character that no merge touches
+        ids = np.where(plain < 0, self.unk, plain)
+        piece = np.repeat(np.arange(len(pieces)), size)
+        far = np.iinfo(np.int64).max
+        place = np.arange(len(cp))  # where a symbol stood at first; its id follows from what it became
+        done = [(place[:0], symbol[:0])]
+        while len(symbol):
+            pair = np.where((symbol[:-1] >= 0) & (symbol[1:] >= 0) & (piece[:-1] == piece[1:]), symbol[:-1] * self.width + symbol[1:], -1)
+            rank = np.append(self.rank[pair], -1)
+            rank = np.where(rank < 0, far, rank)
+            first = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(piece))))
+            still = least < far
+            done.append((place[~still], symbol[~still]))
+            hit = still & (rank == least)
+            # of a run of overlapping pairs (equal symbols) every second one is made, from the left
+            at = np.flatnonzero(hit)
+            if len(at):
+                fresh = np.append(True, np.diff(at) > 1)
+                run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
+            symbol[at] = self.made[rank[at]]
+            keep = still
+            keep[at + 1] = False
+            symbol, piece, place = symbol[keep], piece[keep], place[keep]
+        place, symbol = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(place)
+        place, symbol = place[order], symbol[order]
+        out = np.where(symbol >= 0, self.id_of[symbol], ids[place])
+        count = np.bincount(np.searchsorted(np.cumsum(size), place, "right"), minlength=len(pieces))
+        return out.astype(np.int32), count.astype(np.int64)
+
 
 def _flat(column: pa.Array):
     """(values, offsets) of a list column; a null list is empty."""
@@ -109,10 +290,9 @@ def _take(pool: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 def encode_batch(tok: Tokenizer, column: pa.Array, max_length: int | None) -> pa.Array:
     flat, off = _flat(column)
     words = flat.dictionary_encode()
-    lists = [tok.piece_ids(w) for w in words.dictionary.to_pylist()] + [[tok.unk_id]]  # the last stands for null
-    count = np.array([len(x) for x in lists], np.int64)
-    pool = np.array([i for x in lists for i in x], np.int32)
-    which = words.indices.fill_null(len(lists) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+    pool, count = tok.flat_ids(words.dictionary.to_pylist())
+    pool, count = np.append(pool, np.int32(tok.unk_id)).astype(np.int32), np.append(count, 1)  # the last stands for null
+    which = words.indices.fill_null(len(count) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
     ids = _take(pool, (np.cumsum(count) - count)[which], count[which])
     at = np.append(0, np.cumsum(count[which]))[off]
     size = np.diff(at)
@@ -156,6 +336,7 @@ BYTE_OF = {chr(b): b for b in _PLAIN} | {chr(256 + k): b for k, b in enumerate(s
 
 
 CHAR_OF = {b: c for c, b in BYTE_OF.items()}
+_CHARS = np.array([ord(CHAR_OF[b]) for b in range(256)], np.int64)
 
 
 def decode(tok: Tokenizer, ids, skip_special: bool = True) -> Column:

@@ -91,22 +91,30 @@ def _encode_char(spark, sf):
     """Character vocabulary, a [start] ... [end] template, and the reference's limit of 512 ids."""
     docs = td.table(spark, sf, "documents").select("doc_id", F.array("text").alias("pieces"))
     chars = docs.select(F.explode(F.split(F.col("pieces")[0], "")).alias("token"))
-    vocab = tk.build_vocab(chars.groupBy("token").agg(F.count(F.lit(1)).alias("n")), size=100_000)
+    vocab = tk.build_vocab(chars.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     tok = tz.Tokenizer.load("char", vocab, prefix=(0,), suffix=(1,))
     return tk.encode(docs, "pieces", tok, max_length=512).select("doc_id", "input_ids")
 
 
-@register("encode_bpe", "SELECT doc_id, text FROM documents")
-def _encode_bpe(spark, sf):
-    """Byte-level merges trained on the corpus, whole texts to ids and back."""
+def byte_pieces(spark, sf):
     from retort.operators import vocab_train as vt
     docs = td.table(spark, sf, "documents").select("doc_id", "text")
-    merges, _ = vt.train_bpe(vt.byte_level_words(docs, "text"), num_merges=BPE_MERGES)
+    return docs.select("doc_id", F.regexp_extract_all("text", F.lit(vt.BYTE_LEVEL_SPLIT), 0).alias("pieces"))
+
+
+def bpe_tokenizer(spark, sf):
+    from retort.operators import vocab_train as vt
+    merges, _ = vt.train_bpe(vt.byte_level_words(td.table(spark, sf, "documents").select("text"), "text"), num_merges=BPE_MERGES)
     pairs = [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
     symbols = [tz.CHAR_OF[b] for b in range(256)] + [a + b for a, b in pairs]
-    tok = tz.Tokenizer("bpe", {t: i + 3 for i, t in enumerate(dict.fromkeys(symbols))}, merges=pairs, byte_level=True)
-    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(vt.BYTE_LEVEL_SPLIT), 0).alias("pieces"))
-    return tk.decode(tk.encode(pieces, "pieces", tok), "input_ids", tok).select("doc_id", "text")
+    return tz.Tokenizer("bpe", {t: i + 3 for i, t in enumerate(dict.fromkeys(symbols))}, merges=pairs, byte_level=True)
+
+
+@register("encode_bpe", "SELECT doc_id, text FROM documents")
+def _encode_bpe(spark, sf):
+    """Byte-level merges trained on the corpus, whole texts to ids and back."""
+    tok = bpe_tokenizer(spark, sf)
+    return tk.decode(tk.encode(byte_pieces(spark, sf), "pieces", tok), "input_ids", tok).select("doc_id", "text")
 
 
 def unigram_vocab(pieces):
@@ -115,19 +123,91 @@ def unigram_vocab(pieces):
     return vt.train_unigram(words, vocab_size=VOCAB_SIZE, min_freq=20, sub_rounds=1, shrink=0.4)
 
 
+def unigram_tokenizer(pieces):
+    rows = [r for r in unigram_vocab(pieces).collect() if r["id"] >= len(tk.SPECIALS)]
+    return tz.Tokenizer("unigram", {r["token"]: int(r["id"]) for r in rows}, scores={r["token"]: r["score"] for r in rows})
+
+
 @register("encode_unigram", W(SQL_PIECES) + """
  SELECT doc_id, ltrim(replace(array_to_string(pieces, ''), '▁', ' ')) AS text, len(array_to_string(pieces, '')) AS n_chars FROM fx_pieces""")
 def _encode_unigram(spark, sf):
     """Best paths over the trained vocabulary, which holds every character: the tokens of a text join to the text."""
     pieces = pieces_df(spark, sf)
-    rows = [r for r in unigram_vocab(pieces).collect() if r["id"] >= len(tk.SPECIALS)]
-    tok = tz.Tokenizer("unigram", {r["token"]: int(r["id"]) for r in rows}, scores={r["token"]: r["score"] for r in rows})
+    tok = unigram_tokenizer(pieces)
     text = F.ltrim(F.col("text"))
     out = tk.decode(tk.encode(pieces, "pieces", tok), "input_ids", tok).select(
         "doc_id", text.alias("text"), F.length(F.array_join("pieces", "")).cast("long").alias("n_chars"))
     return out
 
 
+# Tokens of the best-path query: the vocabulary's words and every character, with whole-number scores that both engines share.
+SQL_PATHS = SQL_VOCAB + """,
+ps AS (SELECT row_number() OVER () AS k, p FROM (SELECT DISTINCT unnest(pieces) AS p FROM fx_pieces)),
+ch AS (SELECT DISTINCT unnest(string_split(p, '')) AS token FROM ps),
+tokens AS (SELECT token, id, -CAST(1000 + id AS DOUBLE) AS score FROM fx_vocab WHERE id > 2
+           UNION ALL SELECT token, -1, CAST(-3000 AS DOUBLE) FROM ch WHERE token NOT IN (SELECT token FROM fx_vocab)),
+longest AS (SELECT max(length(token)) AS n FROM tokens),
+edges AS (SELECT k, e, list({'s': s, 'score': score, 'id': CASE WHEN id < 0 THEN 2 ELSE id END} ORDER BY s) AS opts
+          FROM (SELECT k, s, s + d AS e, substr(p, s + 1, d) AS token
+                FROM (SELECT k, p, s, unnest(range(1, least(length(p) - s, (SELECT n FROM longest)) + 1)) AS d
+                      FROM (SELECT k, p, unnest(range(0, length(p))) AS s FROM ps))) JOIN tokens USING (token) GROUP BY k, e),
+dp AS (SELECT k, 0 AS t, [CAST(0 AS DOUBLE)] AS best, [CAST([] AS BIGINT[])] AS ids FROM ps
+       UNION ALL
+       SELECT k, t + 1, list_append(best, top), list_append(ids, list_append(ids[o.s + 1], o.id))
+       FROM (SELECT k, t, best, ids, top, list_filter(opts, lambda x: best[x.s + 1] + x.score = top)[1] AS o
+             FROM (SELECT dp.k, t, best, ids, opts, list_max(list_transform(opts, lambda x: best[x.s + 1] + x.score)) AS top
+                   FROM dp JOIN edges ON edges.k = dp.k AND edges.e = dp.t + 1))),
+paths AS (SELECT p, ids[t + 1] AS ids FROM dp JOIN ps USING (k) WHERE t = length(p))"""
+
+
+@register("encode_paths", W(SQL_PATHS).replace("WITH ", "WITH RECURSIVE ", 1) + """
+ SELECT doc_id, CAST(list_append(coalesce(flatten(list(ids ORDER BY i)), []), 1) AS INTEGER[]) AS input_ids
+ FROM (SELECT doc_id, generate_subscripts(pieces, 1) AS i, unnest(pieces) AS p FROM fx_pieces) JOIN paths USING (p) GROUP BY doc_id""")
+def _encode_paths(spark, sf):
+    """Ids of the best paths over words and characters; of equal paths the one with the longest last token."""
+    pieces = pieces_df(spark, sf)
+    rows = [r for r in vocab_df(spark, sf).collect() if r["id"] > 2]
+    scores = {r["token"]: -float(1000 + r["id"]) for r in rows}
+    chars = pieces.select(F.explode("pieces").alias("p")).select(F.explode(F.split("p", "")).alias("c")).distinct()
+    for r in chars.limit(tz.MAX_VOCAB).collect():
+        scores.setdefault(r["c"], -3000.0)
+    tok = tz.Tokenizer("unigram", {r["token"]: int(r["id"]) for r in rows}, scores=scores)
+    return tk.encode(pieces, "pieces", tok).select("doc_id", "input_ids")
+
+
+N_PAIRS = 200
+SQL_MERGES = SQL_PIECES + f""",
+cs AS (SELECT p, n, string_split(p, '') AS c FROM (SELECT p, count(*) AS n FROM (SELECT unnest(pieces) AS p FROM fx_pieces) GROUP BY p)),
+pairs AS (SELECT a, b, row_number() OVER (ORDER BY n DESC, a, b) - 1 AS rank
+          FROM (SELECT c[i] AS a, c[i + 1] AS b, sum(n) AS n FROM (SELECT c, n, unnest(range(1, len(c))) AS i FROM cs) GROUP BY 1, 2)
+          ORDER BY rank LIMIT {N_PAIRS}),
+steps AS (SELECT list([chr(1) || a || chr(2) || chr(1) || b || chr(2), chr(1) || a || b || chr(2)] ORDER BY rank) AS m FROM pairs),
+ids AS (SELECT token, row_number() OVER (ORDER BY kind, rank, token) + 2 AS id
+        FROM (SELECT a || b AS token, 0 AS kind, min(rank) AS rank FROM pairs GROUP BY 1
+              UNION ALL SELECT DISTINCT unnest(c), 1, 0 FROM cs)),
+marked AS (SELECT p, list_reduce(m, lambda w, z: [replace(w[1], z[1], z[2])], [chr(1) || array_to_string(c, chr(2) || chr(1)) || chr(2)])[1] AS w
+           FROM cs, steps),
+toks AS (SELECT p, list(id ORDER BY i) AS ids
+         FROM (SELECT p, generate_subscripts(t, 1) AS i, unnest(t) AS token
+               FROM (SELECT p, string_split(w[2:-2], chr(2) || chr(1)) AS t FROM marked)) JOIN ids USING (token) GROUP BY p)"""
+
+
+@register("encode_merges", W(SQL_MERGES) + """
+ SELECT doc_id, CAST(list_append(coalesce(flatten(list(ids ORDER BY i)), []), 1) AS INTEGER[]) AS input_ids
+ FROM (SELECT doc_id, generate_subscripts(pieces, 1) AS i, unnest(pieces) AS p FROM fx_pieces) JOIN toks USING (p) GROUP BY doc_id""")
+def _encode_merges(spark, sf):
+    """Ids after the merges of the most frequent pairs of characters, made in the order of their ranks."""
+    pieces = pieces_df(spark, sf)
+    counts = tk.token_counts(pieces).select("n", F.split("token", "").alias("c"))
+    couples = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.get("c", i - 1).alias("a"), F.get("c", i).alias("b")))
+    pairs = (counts.where(F.size("c") > 1).select("n", F.inline(couples)).groupBy("a", "b").agg(F.sum("n").alias("n"))
+             .orderBy(F.desc("n"), "a", "b").limit(N_PAIRS).collect())
+    chars = counts.select(F.explode("c").alias("c")).distinct().limit(tz.MAX_VOCAB).collect()
+    symbols = list(dict.fromkeys(r["a"] + r["b"] for r in pairs)) + sorted(r["c"] for r in chars)
+    tok = tz.Tokenizer("bpe", {t: i + 3 for i, t in enumerate(symbols)}, merges=[(r["a"], r["b"]) for r in pairs])
+    return tk.encode(pieces, "pieces", tok).select("doc_id", "input_ids")
+
+
 @register("oov_rows", W(SQL_VOCAB) + """
  , o AS (SELECT doc_id, list_sort(list_distinct(list_filter(pieces, lambda p: m[p] IS NULL))) AS oov FROM fx_pieces, fx_vmap)
  SELECT doc_id, oov FROM o WHERE len(oov) > 0""")

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -103,3 +104,50 @@ def test_forest_depth_over_the_limit_is_an_error():
     from retort.operators import ml
     with pytest.raises(ValueError):
         ml._depth(31)
+
+
+def test_joint_best_paths_equal_single_ones():
+    rng = random.Random(2)
+    for alphabet, longest in (("abc", 4), ("aé中\U0001f600b", 3), ("a", 9)):
+        tokens = {}
+        while len(tokens) < 12 and len(tokens) < longest * len(alphabet):
+            tokens["".join(rng.choice(alphabet[:-1] or alphabet) for _ in range(rng.randint(1, longest)))] = -float(rng.randint(1, 6))
+        tok = tz.Tokenizer("unigram", {t: i + 3 for i, t in enumerate(list(tokens)[:-1])}, scores=tokens)  # the last has no id
+        words = ["", *{"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(300)}, "", alphabet * 40]
+        ids, count = tok.flat_ids(words)
+        assert np.split(ids, np.cumsum(count)[:-1])[0].tolist() == []
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [tok.piece_ids(w) for w in words]
+    for none in ([], [""]):
+        assert [x.tolist() for x in tok.flat_ids(none)] == [[], [0] * len(none)]
+
+
+def test_joint_merges_equal_single_ones():
+    rng = random.Random(3)
+    for byte_level, alphabet in ((False, "abcé"), (True, "abé中")):
+        start = [tz.CHAR_OF[b] for b in "abé中".encode()] if byte_level else list("abc")
+        merges, pool = [], list(start)
+        while len(merges) < 14:
+            pair = (rng.choice(pool), rng.choice(pool))
+            if pair not in merges and len("".join(pair)) < 7:
+                merges.append(pair)
+                pool.append("".join(pair))
+        ids = {t: i + 3 for i, t in enumerate(dict.fromkeys(pool))}
+        ids.pop(pool[-1], None)
+        tok = tz.Tokenizer("bpe", ids, merges=merges, byte_level=byte_level)
+        words = ["", *{"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 16))) for _ in range(400)}, "a" * 33, ""]
+        flat, count = tok.flat_ids(words)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == [tok.piece_ids(w) for w in words]
+    assert [x.tolist() for x in tok.flat_ids([])] == [[], []]
+
+
+def test_trained_vocabularies_give_the_ids_of_the_plain_segmentation_on_a_whole_table(spark):
+    from retort.suite import tokens as st
+    sf = "/root/testdata/sf0.001"
+    pieces = st.pieces_df(spark, sf)
+    for tok, table in ((st.unigram_tokenizer(pieces), pieces), (st.bpe_tokenizer(spark, sf), st.byte_pieces(spark, sf))):
+        rows = tk.encode(table, "pieces", tok).collect()
+        assert len(rows) > 150 and len(tok.ids) > 300
+        for r in rows:
+            assert r.input_ids == [i for p in r.pieces for i in tok.piece_ids(p)] + [1]
+        used = {i for r in rows for i in r.input_ids}
+        assert sum(len(tok.tokens.get(i, "")) > 1 for i in used) > 50  # tokens longer than a character are in use
