@@ -5,7 +5,9 @@ restarting per group, without a single-task window:
 
 1. each row gets a *bucket* that is monotone in the order — a range
    partition id (``repartitionByRange``), or, for md5 orders, a prefix of
-   the md5 key (uniform by construction, no sampling pass);
+   the md5 key (uniform by construction, no sampling pass); in one order
+   without groups the sorted ranges are written with each row's place, and
+   steps 2 and 3 are a sum over the ranges;
 2. per-(group, bucket) counts form a small table; a running sum over it
    gives each bucket's starting offset and each group's total;
 3. ``row_number`` inside (group, bucket) plus the bucket offset is the
@@ -64,6 +66,8 @@ def global_index(df: DataFrame, order: list, by: list | None = None, bucket: Col
     """
     by = list(by or [])
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    if bucket is None and not by:
+        return _placed(df, order_cols, buckets or _default_buckets(df), index_col, total_col)
     if bucket is None:
         nb = buckets or _default_buckets(df)
         sort_cols = [F.col(c) for c in by] + order_cols
@@ -84,6 +88,28 @@ def global_index(df: DataFrame, order: list, by: list | None = None, bucket: Col
     return out.drop("__b", "__off", "__tot")
 
 
+def _placed(df: DataFrame, order_cols: list, ranges: int, index_col: str, total_col: str | None) -> DataFrame:
+    """Positions in one order: rows are dealt into sorted ranges and written with their place in their range.
+
+    The place is the lower part of Spark's row number, the range its upper
+    part, so no window is needed; the rows before each range (one number per
+    range) are summed on the driver.  Rows are exchanged once.
+    """
+    from retort.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    b = (df.repartitionByRange(ranges, *order_cols).sortWithinPartitions(*order_cols)
+         .withColumn("__at", F.monotonically_increasing_id()).checkpoint())
+    part = F.shiftright("__at", 33).cast("int")
+    counts = {r["p"]: r["c"] for r in b.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    start = F.get(F.array(*map(F.lit, before)).cast("array<bigint>"), part)
+    out = b.withColumn(index_col, start + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return (out.withColumn(total_col, F.lit(total).cast("long")) if total_col else out).drop("__at")
+
+
 def hash_index(df: DataFrame, seed: int, key_cols: list, by: list | None = None,
                prefix_hex: int | None = None, index_col: str = IDX, total_col: str | None = TOTAL) -> DataFrame:
     """Position in the seeded md5 order of ``key_cols`` (unique key), bucketed by md5 prefix.

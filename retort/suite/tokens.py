@@ -300,9 +300,12 @@ def _pack(spark, sf):
 
 
 def _sql_seg(items, m, kind):
-    return (f"list_concat([0], CASE WHEN {items} > 1 THEN list_sort(list_transform(list_slice(list_sort(list_transform("
-            f"range(1, {items}), lambda gp: {{'h': md5(k || '|{kind}|' || CAST(gp AS VARCHAR)), 'g': gp}})), 1, {m} - 1), "
-            f"lambda s: s.g)) ELSE [] END, [{items}])")
+    """Cuts drawn one by one: 1 + hash mod j, or j where that one is taken; then 0, the sorted cuts and the end."""
+    j = "step[1]"
+    t = f"CAST(CAST(('0x' || substr(md5(k || '|{kind}|' || CAST({j} AS VARCHAR)), 1, 8)) AS BIGINT) % {j} + 1 AS INTEGER)"
+    draws = (f"list_reduce(list_transform(range(greatest({items} - {m} + 1, 1), {items}), lambda z: [CAST(z AS INTEGER)]), "
+             f"lambda taken, step: list_append(taken, CASE WHEN list_contains(taken, {t}) THEN {j} ELSE {t} END), CAST([] AS INTEGER[]))")
+    return f"list_concat([0], list_concat(list_sort({draws}), [{items}]))"
 
 
 SQL_MASK = f"""
@@ -387,9 +390,7 @@ def _u(start):
    list_transform(ids, lambda x, i: CASE WHEN picked[i] THEN x ELSE -100 END) AS labels
  FROM p""")
 def _mlm(spark, sf):
-    e = encoded(spark, sf)
-    ids, labels = tk.mlm_mask(F.col("input_ids"), F.col("doc_id"), vocab_size=VOCAB_SIZE, mask_id=1000)
-    return e.select("doc_id", ids.alias("input_ids"), labels.alias("labels"))
+    return tk.mlm_rows(encoded(spark, sf), "input_ids", "doc_id", vocab_size=VOCAB_SIZE, mask_id=1000)
 
 
 # ------------------------------------------------------------------ BLEU
