@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +18,65 @@ def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias(out)).orderBy(F.desc(out), F.asc(col))
 
 
+PIVOTS, FEW = 64, 4096
+
+
+def _value_at(values: DataFrame, n: int, rank: int) -> float:
+    """The ``rank``-th smallest of ``n`` values, by narrowing: a round takes pivots (approximate percentiles, which
+    are values of the table), counts exactly what is below and up to each, and goes on between two of them."""
+    x, part = F.col("x"), values
+    while n > FEW:
+        pivots = sorted(set(part.agg(F.percentile_approx(x, [i / PIVOTS for i in range(1, PIVOTS)], 1000)).first()[0]))
+        counts = part.agg(*[F.count_if(x < p) for p in pivots], *[F.count_if(x <= p) for p in pivots]).first()
+        below, upto = counts[:len(pivots)], counts[len(pivots):]
+        at = sum(b <= rank for b in below) - 1
+        if at >= 0 and rank < upto[at]:
+            return pivots[at]
+        begin = upto[at] if at >= 0 else 0
+        end = below[at + 1] if at + 1 < len(pivots) else n
+        if at >= 0:
+            part = part.where(x > pivots[at])
+        if at + 1 < len(pivots):
+            part = part.where(x < pivots[at + 1])
+        n, rank = end - begin, rank - begin
+    return part.orderBy("x").collect()[rank]["x"]
+
+
+def exact_quantiles(df: DataFrame, col, shares: list) -> list:
+    """Exact quantiles with linear interpolation (null where there is no value).
+
+    The column alone is written once; each wanted rank is narrowed down by
+    counting (``_value_at``), so no task or buffer holds all values.
+    """
+    from retort.session import checkpoint_dir, drop_path, stage_path
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = stage_path(spark, f"quantiles-{uuid.uuid4().hex}")
+    x = F.col(col) if isinstance(col, str) else col
+    df.select(x.cast("double").alias("x")).where(F.col("x").isNotNull()).write.parquet(path)
+    values = spark.read.schema("x double").parquet(path)
+    n, found, out = values.count(), {}, []
+    for share in shares:
+        place = (n - 1) * share
+        low, high = math.floor(place), math.ceil(place)
+        for rank in {low, high} - found.keys() if n else ():
+            found[rank] = _value_at(values, n, rank)
+        out.append(None if not n else found[low] if low == high else (high - place) * found[low] + (place - low) * found[high])
+    drop_path(spark, path)
+    return out
+
+
 def length_profile(df: DataFrame, col: str) -> DataFrame:
     """count/mean/std/min/quartiles/max of a numeric column (pandas ``describe``).
 
-    Quartiles use linear interpolation (``percentile``), exact.
+    Quartiles use linear interpolation, exact (``exact_quantiles``).
     """
     x = F.col(col).cast("double")
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                  F.min(x).alias("min"),
-                  F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"),
-                  F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max"))
+    quartiles = [F.lit(v).cast("double").alias(name) for name, v in
+                 zip(("p25", "p50", "p75"), exact_quantiles(df, x, [0.25, 0.5, 0.75]))]
+    sums = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                  F.min(x).alias("min"), F.max(x).alias("max"))
+    return sums.select("count", "mean", "std", "min", *quartiles, "max")
 
 
 def length_histogram(df: DataFrame, col: str, bins: int = 1000) -> DataFrame:

@@ -279,3 +279,8 @@ def best_trial(trials: DataFrame, value, by: list | None = None, maximise: bool
     agg = (F.max_by if maximise else F.min_by)(packed, key)
     g = trials.groupBy(*by).agg(agg.alias("__t"))
     return g.select(*by, *[F.col("__t")[c].alias(c) for c in trials.columns if c not in by])
+
+
+def first_token_embedding(vectors) -> Column:
+    """The first token's vector of a matrix (``array<array<float>>``); null for an empty one."""
+    return F.get(F.col(vectors) if isinstance(vectors, str) else vectors, F.lit(0))

@@ -110,6 +110,17 @@ def _placed(df: DataFrame, order_cols: list, ranges: int, index_col: str, total_
     return (out.withColumn(total_col, F.lit(total).cast("long")) if total_col else out).drop("__at")
 
 
+FEW_POSITIONS = 200_000
+
+
+def positions(df: DataFrame, order: list, index_col: str = IDX) -> DataFrame:
+    """Only the ``order`` columns and the position: a narrow table to join with; hinted for broadcast while it is small."""
+    x = global_index(df.select(*order), order, index_col=index_col)
+    first = x.select(TOTAL).first()
+    x = x.drop(TOTAL)
+    return F.broadcast(x) if (first[0] if first else 0) <= FEW_POSITIONS else x
+
+
 def hash_index(df: DataFrame, seed: int, key_cols: list, by: list | None = None,
                prefix_hex: int | None = None, index_col: str = IDX, total_col: str | None = TOTAL) -> DataFrame:
     """Position in the seeded md5 order of ``key_cols`` (unique key), bucketed by md5 prefix.

@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,11 +96,26 @@ def sink_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
+def as_matrix(c, width: int) -> Column:
+    """A flat array of numbers as rows of ``width`` (a vector per token); the last row may be shorter."""
+    x = F.col(c) if isinstance(c, str) else c
+    rows = F.sequence(F.lit(0), F.ceil(F.size(x) / F.lit(width)).cast("int") - 1)
+    return F.when(F.size(x) > 0, F.transform(rows, lambda i: F.slice(x, i * width + 1, width))).otherwise(F.array().cast(T.ArrayType(T.ArrayType(T.FloatType()))))
+
+
 def sink_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Embedding matrices as Parquet array<float> rows (one vector per row, keyed)."""
+    """Keyed embeddings as Parquet: vectors (``array<float>``) or matrices (``array<array<float>>``, length x width), as they are."""
+    kinds = [f.dataType for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    if not kinds:
+        raise ValueError("no array column to write")
     df.write.mode(mode).parquet(path)
 
 
+def read_arrays(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Embeddings written by ``sink_arrays``, with their declared schema."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def sink_metrics_json(metrics: DataFrame, path: str, prefix: str = "eval_", mode: str = "overwrite") -> None:
     """A one-row metrics table as JSON, every name prefixed (``eval_loss``...)."""
     metrics.select(*[F.col(c).alias(prefix + c) for c in metrics.columns]).coalesce(1).write.mode(mode).json(path)

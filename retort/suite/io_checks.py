@@ -77,12 +77,14 @@ def _pick_text(spark, sf):
     return io.pick_text_column(td.table(spark, sf, "benchmark"))
 
 
-@register("sink_arrays", " SELECT vec_id, list_slice(embedding, 1, 8) AS first_token FROM embeddings")
+@register("sink_arrays", " SELECT vec_id, embedding, CAST((len(embedding) + 7) // 8 AS INTEGER) AS n_rows FROM embeddings")
 def _sink_arrays(spark, sf):
+    """Whole vectors as matrices of eight numbers a row, written, read back and laid flat again."""
     path = io.scratch(spark, "arrays")
-    e = td.table(spark, sf, "embeddings")
-    io.sink_arrays(e.select("vec_id", F.slice("embedding", 1, 8).alias("first_token")), path)
-    return spark.read.parquet(path)
+    m = td.table(spark, sf, "embeddings").select("vec_id", io.as_matrix("embedding", 8).alias("vectors"))
+    io.sink_arrays(m, path)
+    back = io.read_arrays(spark, path, m.schema)
+    return back.select("vec_id", F.flatten("vectors").alias("embedding"), F.size("vectors").alias("n_rows"))
 
 
 @register("score_batches", W(td.SQL_SCORES) + """

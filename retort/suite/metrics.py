@@ -224,8 +224,10 @@ def _masked_acc(spark, sf):
 
 @register("first_token_embedding", " SELECT vec_id, list_slice(embedding, 1, 8) AS first_token FROM embeddings")
 def _first_token(spark, sf):
-    e = td.table(spark, sf, "embeddings")
-    return e.select("vec_id", F.slice("embedding", 1, 8).alias("first_token"))
+    """The first vector of each matrix of token vectors."""
+    from retort.sources.io import as_matrix
+    e = td.table(spark, sf, "embeddings").select("vec_id", as_matrix("embedding", 8).alias("vectors"))
+    return e.select("vec_id", mt.first_token_embedding("vectors").alias("first_token"))
 
 
 # ------------------------------------------------------------------ logs

@@ -159,3 +159,34 @@ def test_cut_offs_of_repeated_keys_empty_tables_and_doubles(spark):
     d = spark.range(100).select((F.col("id") / 7).alias("x"))
     assert ri.head_slice(d, ["x"], n=30).agg(F.max("x")).first()[0] == 29 / 7
     assert ri.split_head_percent(d, ["x"], 5.0).where("split = 'validation'").count() == 5
+
+
+def test_exact_quantiles_of_different_equal_and_skewed_values(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from retort.operators import aggregates as ag
+    monkeypatch.setattr(ag, "FEW", 20)
+    rng = random.Random(2)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    for values in ([rng.gauss(0, 1) * 10 ** rng.randint(-200, 200) for _ in range(5000)], [7.0] * 3000 + [rng.random() for _ in range(500)],
+                   list(range(999)), [3], [-1.5, 2.5]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+        got = ag.exact_quantiles(df, "v", shares)
+        assert np.allclose(got, np.quantile(np.array(values, float), shares), rtol=1e-12, atol=0)
+    assert ag.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+    plan = ag.length_profile(df, "v")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan
+    assert ag.length_profile(df.where(F.lit(False)), "v").first().asDict() == dict.fromkeys(("mean", "std", "min", "p25", "p50", "p75", "max")) | {"count": 0}
+
+
+def test_matrices_round_trip(spark, tmp_path):
+    from retort.operators.metrics import first_token_embedding
+    from retort.sources import io
+    df = spark.createDataFrame([(1, [float(i) for i in range(7)]), (2, []), (3, None)], "k int, v array<float>")
+    m = df.select("k", io.as_matrix("v", 3).alias("m"))
+    io.sink_arrays(m, str(tmp_path / "m"))
+    back = {r.k: (r.m, r.f) for r in io.read_arrays(spark, str(tmp_path / "m"), m.schema).withColumn("f", first_token_embedding("m")).collect()}
+    assert back == {1: ([[0.0, 1.0, 2.0], [3.0, 4.0, 5.0], [6.0]], [0.0, 1.0, 2.0]), 2: ([], None), 3: ([], None)}
