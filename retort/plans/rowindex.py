@@ -214,6 +214,15 @@ def cut_offs(df: DataFrame, key: Column, ranks) -> list[Column]:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table under the shared folder: for a dear plan that is read more than once, such as a corpus to be split."""
+    from retort.session import checkpoint_dir, stage_path
+    checkpoint_dir(df.sparkSession)
+    path = stage_path(df.sparkSession, f"rows-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _first(df: DataFrame, order: list, size) -> Column:
     """The condition that holds for the first ``size(number of rows)`` rows in the order of columns."""
     return cut_offs(df, text_key(df.schema, order), lambda n: [size(n)])[0]

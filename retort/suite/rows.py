@@ -21,7 +21,7 @@ LABELS = "fx_labels AS (SELECT doc_id, quality AS target FROM labels)"
  SELECT row_id, CASE WHEN idx < floor(n * 0.1) THEN 'test' WHEN idx < 2 * floor(n * 0.1) THEN 'valid'
                      ELSE 'train' END AS split FROM ranked""")
 def _split_tvt(spark, sf):
-    fwd = corpora.forward_corpus(clean(spark, sf))
+    fwd = ri.written(corpora.forward_corpus(clean(spark, sf)))
     return ri.split_train_valid_test(fwd, ["row_id"], seed=42, frac=0.1).select("row_id", "split")
 
 
@@ -109,7 +109,7 @@ def _fold_filter(spark, sf):
 
 @register("head_slice", W(*FWD) + " SELECT row_id, input FROM fx_fwd ORDER BY row_id LIMIT 500")
 def _head_slice(spark, sf):
-    fwd = corpora.forward_corpus(clean(spark, sf))
+    fwd = ri.written(corpora.forward_corpus(clean(spark, sf)))
     return ri.head_slice(fwd, ["row_id"], n=500).select("row_id", "input")
 
 
