@@ -287,7 +287,23 @@ def _take(pool: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return pool[np.repeat(shift, count) + np.arange(int(count.sum()))]
 
 
+SLICE_PIECES = 1 << 19
+
+
 def encode_batch(tok: Tokenizer, column: pa.Array, max_length: int | None) -> pa.Array:
+    """Rows are taken in slices of about ``SLICE_PIECES`` pieces, so that long texts do not add up in memory."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    off = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64)
+    parts, lo = [], 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE_PIECES, "right")) - 1)
+        parts.append(_encode_slice(tok, column.slice(lo, hi - lo), max_length))
+        lo = hi
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+
+def _encode_slice(tok: Tokenizer, column: pa.Array, max_length: int | None) -> pa.Array:
     flat, off = _flat(column)
     words = flat.dictionary_encode()
     pool, count = tok.flat_ids(words.dictionary.to_pylist())

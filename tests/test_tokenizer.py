@@ -151,3 +151,22 @@ def test_trained_vocabularies_give_the_ids_of_the_plain_segmentation_on_a_whole_
             assert r.input_ids == [i for p in r.pieces for i in tok.piece_ids(p)] + [1]
         used = {i for r in rows for i in r.input_ids}
         assert sum(len(tok.tokens.get(i, "")) > 1 for i in used) > 50  # tokens longer than a character are in use
+
+
+def test_pieces_are_those_of_the_pattern(spark, monkeypatch):
+    import regex
+    rng = random.Random(6)
+    alphabet = "abZ  12.,!$é中\U0001f600▁\n\t½Ⅷ٣—«"
+    texts = ["", " ", "▁", "▁▁a", "  a b", None, "x" * 5000, *["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(400)], None]
+
+    def plain(t):
+        m = t.replace(" ", tk.METASPACE)
+        return regex.findall(tk.PIECE_PATTERN, m if m.startswith(tk.METASPACE) else tk.METASPACE + m)
+
+    want = [None if t is None else plain(t) for t in texts]
+    assert tk.split_pieces(pa.array(texts, pa.string())).to_pylist() == want
+    monkeypatch.setattr(tk, "SLICE_CHARS", 64)
+    assert tk.split_pieces(pa.array(["cut", *texts]).slice(1)).to_pylist() == want
+    assert tk.split_pieces(pa.array([], pa.string())).to_pylist() == []
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    assert [r.pieces for r in tk.pretokenise(df, "t", normalise=False).orderBy("k").collect()] == want
