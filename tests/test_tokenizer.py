@@ -170,3 +170,11 @@ def test_pieces_are_those_of_the_pattern(spark, monkeypatch):
     assert tk.split_pieces(pa.array([], pa.string())).to_pylist() == []
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
     assert [r.pieces for r in tk.pretokenise(df, "t", normalise=False).orderBy("k").collect()] == want
+
+
+def test_pretokenise_normalises_as_normalise_text_does(spark):
+    texts = ["a\u0001b\u200bc  d", "ﬁ ＡＢ e\u0301\u00a0 x", "\ufeff  lead\u2028\t\n", "", None, "\u2581\u2581 y\u008f"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    one = [r.pieces for r in tk.pretokenise(df, "t").orderBy("k").collect()]
+    two = [r.pieces for r in tk.pretokenise(tk.normalise_text(df, "t", "n"), "n", normalise=False).orderBy("k").collect()]
+    assert one == two and one[4] is None
