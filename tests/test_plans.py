@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retort.operators.joins import lookup_join
-from retort.plans.dictionary import compound_function, dictionary_apply
+from retort.plans.dictionary import compound_function, dictionary_apply, dictionary_apply_all, read_dictionary
 
 
 def test_dictionary_apply_batch_function(spark):
@@ -22,6 +22,39 @@ def test_dictionary_apply_by_name_and_column_function(spark):
     assert {r.y for r in dictionary_apply(df, "x", "y", F.upper).collect()} == {"A", "B"}
 
 
+def test_dictionary_apply_all_long_form(spark):
+    """Hot rows, nulls, blanks, repeated rows, a result that is null, an empty table; rows move once whatever the number of columns."""
+    fn = compound_function("test_turn", lambda s: s.str[::-1].where(s != "bad"))
+    rows = [(i % 9, "CCO", "O", None if i % 2 else "N1") for i in range(300)] + [(1, None, None, None), (2, "bad", " ", "ab")]
+    df = spark.createDataFrame(rows, "n long, a string, b string, c string")
+    out = dictionary_apply_all(df, ["a", "b", "c"], fn, keep=lambda x: x != F.lit(" "))
+    turn = lambda x: x if x in (None, " ") else None if x == "bad" else x[::-1]
+    assert out.columns == df.columns
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr((r.n, turn(r.a), turn(r.b), turn(r.c))) for r in df.collect())
+    assert dictionary_apply_all(df.where("n < 0"), ["a", "b"], fn).count() == 0
+    joins = [dictionary_apply_all(df, cols, fn)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+             for cols in (["a", "b"], ["a", "b", "c"])]
+    assert joins == [2, 2]
+
+
+def test_stored_dictionary_computes_only_new_values(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def turn(s):
+        seen.add(len(s))
+        return s.str[::-1]
+
+    fn, store = compound_function("test_counted", turn), str(tmp_path / "words")
+    first = spark.createDataFrame([(1, "ab", "cd"), (2, "ab", None)], "n long, a string, b string")
+    later = spark.createDataFrame([(1, "ab", "xy"), (2, "cd", "ab")], "n long, a string, b string")
+    got = {(r.n, r.a, r.b) for r in dictionary_apply_all(first, ["a", "b"], fn, store=store).collect()}
+    assert got == {(1, "ba", "dc"), (2, "ba", None)} and seen.value == 2
+    got = {(r.n, r.a, r.b) for r in dictionary_apply_all(later, ["a", "b"], fn, store=store).collect()}
+    assert got == {(1, "ba", "yx"), (2, "dc", "ba")} and seen.value == 3
+    assert {r[0] for r in read_dictionary(spark, store, fn).collect()} == {"ab", "cd", "xy"}
+    assert {r.z for r in dictionary_apply(later, "a", "z", fn, store=store).collect()} == {"ba", "dc"} and seen.value == 3
+
+
 def test_lookup_join_missing_key_policies(spark):
     df = spark.createDataFrame([("a",), ("z",)], "smiles string")
     lk = spark.createDataFrame([("a", True, 1), ("a", False, 2)], "smiles string, pred boolean, o int")
