@@ -1,13 +1,13 @@
 """Features, forest fits, random search and batched inference with Spark ML.
 
 ``hashed_fingerprint`` is *not* a circular (Morgan) fingerprint: it hashes
-SMILES token 1..3-grams into a binary vector of width ``dim`` with
-``HashingTF``.  Same shape and role in the models (a fixed-width 0/1
-vector per compound string), different bits.
+SMILES token 1..3-grams into a binary vector of width ``dim`` by the first
+32 bits of their md5, so that other engines get the same bits.  Same shape
+and role in the models (a fixed-width 0/1 vector per compound string),
+different bits.
 
-Forest depth is capped at 30 (Spark ML's limit); deeper requests are
-clamped with a warning.  Random search draws trials from a seeded md5
-table instead of an adaptive sampler.
+A forest deeper than 30 (Spark ML's limit) is an error.  Random search
+draws trials from a seeded md5 table instead of an adaptive sampler.
 """
 
 from __future__ import annotations
@@ -15,14 +15,13 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.functions.hashing import hash_u32
+from retort.functions.hashing import hash_u32, md5_u32
 from retort.operators import metrics as mt
 
 MAX_DEPTH = 30
@@ -32,23 +31,27 @@ FEATURE_TOKEN = r"\[[^\[\]]+\]|Br|Cl|."
 
 def ngrams(tokens: Column, n_max: int = 3) -> Column:
     """tokens ++ 2-grams ++ ... ++ n_max-grams (joined with a blank)."""
-    parts = [tokens]
-    for n in range(2, n_max + 1):
-        parts.append(F.when(F.size(tokens) >= n, F.transform(
-            F.sequence(F.lit(0), F.size(tokens) - n),
-            lambda i, n=n: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>")))
+    def runs(n):  # a default argument in the lambda would be taken for the position
+        return F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    parts = [tokens] + [F.when(F.size(tokens) >= n, runs(n)).otherwise(F.array().cast("array<string>"))
+                        for n in range(2, n_max + 1)]
     return F.concat(*parts)
 
 
-def hashed_features(df: DataFrame, tokens_col: str, dim: int, out: str = "features", binary: bool = True) -> DataFrame:
-    return HashingTF(inputCol=tokens_col, outputCol=out, numFeatures=dim, binary=binary).transform(df)
+def hashed_bits(tokens: Column, dim: int) -> Column:
+    """``dim`` zeros and ones: one where some token's 32-bit md5 prefix leaves the position as remainder."""
+    places = F.array_distinct(F.transform(tokens, lambda t: md5_u32(t) % dim))
+    # bound as a lambda variable, so that the places are computed once a row
+    return F.element_at(F.transform(F.array(places), lambda own: F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")),
+        lambda i: F.array_contains(own, i).cast("double"))), 1)
 
 
 def hashed_fingerprint(df: DataFrame, col: str, dim: int = 256, out: str = "features", n_max: int = 3) -> DataFrame:
-    """Binary ``dim``-wide vector of hashed SMILES token n-grams (see module note)."""
-    toks = F.regexp_extract_all(F.col(col), F.lit(FEATURE_TOKEN), 0)
-    x = df.withColumn("__grams", ngrams(toks, n_max))
-    return hashed_features(x, "__grams", dim, out).drop("__grams")
+    """Binary ``dim``-wide vector of hashed SMILES token n-grams (see module note); all zeros for an empty or null string."""
+    toks = F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(FEATURE_TOKEN), 0)
+    return df.withColumn(out, array_to_vector(hashed_bits(ngrams(toks, n_max), dim)))
 
 
 def _depth(d: int) -> int:

@@ -91,6 +91,13 @@ def sink_csv(df: DataFrame, path: str, split_col: str | None = None, mode: str =
     w.csv(path)
 
 
+def scan_split(spark: SparkSession, path: str, schema: T.StructType | str, split_col: str, value: str) -> DataFrame:
+    """One split of a table that ``sink_csv`` wrote with ``split_col``: the other splits' folders are not read."""
+    full = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    full = T.StructType([*[f for f in full if f.name != split_col], T.StructField(split_col, T.StringType())])
+    return scan_csv(spark, path, full).where(F.col(split_col) == value).drop(split_col)
+
+
 def sink_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (df.write.mode(mode).option("sep", "\t").option("header", False)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
@@ -137,3 +144,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
 
 def write_merges(merges: DataFrame, path: str, mode: str = "overwrite") -> None:
     merges.write.mode(mode).parquet(path)
+
+
+def read_merges(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

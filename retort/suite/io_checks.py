@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from retort.operators import metrics as mt
 from retort.operators import filters as fl
-from retort.plans.rowindex import global_index
+from retort.plans import corpora
+from retort.plans.rowindex import global_index, split_train_valid_test, written
 from retort.schema import CLEAN_REACTIONS
 from retort.sources import io
 from retort.sources import testdata as td
 from retort.suite import register
-from retort.suite.reactions import BASE, SQL_FWD_BASE, clean, SQL_COMPOUNDS
+from retort.suite.reactions import BASE, FWD, SQL_FWD_BASE, clean, SQL_COMPOUNDS
 from retort.functions import smiles as sm
 from retort.operators.compounds import distinct_compounds
 from retort.suite import sqlbits as q
@@ -72,6 +73,36 @@ def _scan_ext(spark, sf):
     return io.scan_by_extension(spark, path, "conv_id long, turn long, role string, text string")
 
 
+@register("scan_by_extension_csv", W(*BASE) + " SELECT row_id, REACTANT, REAGENT, PRODUCT, YIELD FROM fx_clean")
+def _scan_ext_csv(spark, sf):
+    """Role columns with blanks, quotes and nulls in a headed CSV file, chosen by its suffix."""
+    path = io.scratch(spark, "roles") + ".csv"
+    df = clean(spark, sf).select("row_id", "REACTANT", "REAGENT", "PRODUCT", "YIELD")
+    io.sink_csv(df, path)
+    return io.scan_by_extension(spark, path, df.schema)
+
+
+@register("scan_by_extension_txt", W(*BASE, SQL_COMPOUNDS) + " SELECT smiles AS text FROM fx_compounds")
+def _scan_ext_txt(spark, sf):
+    path = io.scratch(spark, "lines") + ".txt"
+    distinct_compounds(clean(spark, sf)).write.mode("overwrite").text(path)
+    return io.scan_by_extension(spark, path)
+
+
+@register("sink_csv_splits", W(*FWD) + """
+ , ranked AS (SELECT row_id, REACTANT, REAGENT, PRODUCT, row_number() OVER (ORDER BY md5('42|' || CAST(row_id AS VARCHAR)), row_id) - 1 AS idx,
+                     count(*) OVER () AS n FROM fx_fwd)
+ SELECT row_id, REACTANT, REAGENT, PRODUCT, CASE WHEN idx < floor(n * 0.1) THEN 'test' ELSE 'valid' END AS part
+ FROM ranked WHERE idx < 2 * floor(n * 0.1)""")
+def _sink_csv_splits(spark, sf):
+    """The split corpus in one folder a split; the test and validation folders are read back alone."""
+    fwd = written(corpora.forward_corpus(clean(spark, sf)).select("row_id", "REACTANT", "REAGENT", "PRODUCT"))
+    path = io.scratch(spark, "splits")
+    io.sink_csv(split_train_valid_test(fwd, ["row_id"], seed=42, frac=0.1).select(*fwd.columns, "split"), path, split_col="split")
+    parts = [io.scan_split(spark, path, fwd.schema, "split", v).withColumn("part", F.lit(v)) for v in ("test", "valid")]
+    return parts[0].unionByName(parts[1])
+
+
 @register("pick_text_column", " SELECT text FROM benchmark")
 def _pick_text(spark, sf):
     return io.pick_text_column(td.table(spark, sf, "benchmark"))
@@ -117,3 +148,13 @@ def _vocab_io(spark, sf):
     path = io.scratch(spark, "vocab")
     io.write_vocab(tks.vocab_df(spark, sf), path)
     return io.read_vocab(spark, path)
+
+
+@register("merges_io", W(tks.SQL_MERGES) + " SELECT CAST(rank AS INTEGER) AS rank, a AS first, b AS second FROM pairs")
+def _merges_io(spark, sf):
+    """The most frequent pairs of characters in the order of their ranks, written and read back."""
+    pairs = tks.frequent_pairs(tks.pieces_df(spark, sf)).collect()  # at most N_PAIRS rows
+    merges = spark.createDataFrame([(i, r["a"], r["b"]) for i, r in enumerate(pairs)], "rank int, first string, second string")
+    path = io.scratch(spark, "merges")
+    io.write_merges(merges, path)
+    return io.read_merges(spark, path)

@@ -12,9 +12,10 @@ from retort.operators import metrics as mt
 from retort.operators import ml
 from retort.plans import corpora
 from retort.plans.rowindex import oversample_minority, split_fraction
+from retort.sources import io
 from retort.sources import testdata as td
 from retort.suite import register
-from retort.suite.reactions import clean
+from retort.suite.reactions import BASE, SQL_YIELD, clean
 
 
 def yield_features(spark, sf, dim=200):
@@ -23,7 +24,16 @@ def yield_features(spark, sf, dim=200):
     return ml.hashed_fingerprint(y, "flat", dim=dim)
 
 
-@register("hashed_fingerprint")
+SQL_GRAMS = """
+fx_toks AS (SELECT input, YIELD * 100 AS label, regexp_extract_all(regexp_replace(replace(replace(replace(input, 'REACTANT:', ''), 'REAGENT:', '.'), 'PRODUCT:', '.'), '. ', '', 'g'), '\\[[^\\[\\]]+\\]|Br|Cl|.') AS t FROM fx_yield),
+fx_places AS (SELECT input, label, list_distinct(list_transform(
+    t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])
+      || list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]),
+    lambda g: CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % 200)) AS own FROM fx_toks)"""
+
+
+@register("hashed_fingerprint", td.with_sql(*BASE, SQL_YIELD, SQL_GRAMS) + """
+ SELECT input, label, list_transform(range(200), lambda i: CASE WHEN list_contains(own, i) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS bits FROM fx_places""")
 def _fingerprint(spark, sf):
     f = yield_features(spark, sf, dim=200)
     from pyspark.ml.functions import vector_to_array
@@ -99,3 +109,19 @@ def _batch_predict(spark, sf):
     rt = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("prob", T.DoubleType())])
     p = ml.batch_predict(e, "embedding", make_softmax_model, rt, batch_size=64, input_shape=[64])
     return p.select("vec_id", "prediction.label", "prediction.prob")
+
+
+def make_length_model():
+    """Stand-in model over prompts: how many characters, as a score."""
+    def predict(x: np.ndarray):
+        return np.array([float(len(t)) for t in x.reshape(-1)])
+    return predict
+
+
+@register("inline_row", td.with_sql(*BASE, SQL_YIELD) + """
+ SELECT input, CAST(length(input) AS DOUBLE) AS prediction FROM fx_yield ORDER BY length(input) DESC, input LIMIT 1""")
+def _inline_row(spark, sf):
+    """Prediction of a single prompt: the longest one of the corpus, found by an aggregate, put in as text."""
+    prompts = corpora.yield_corpus(clean(spark, sf))
+    longest = prompts.agg(F.min_by("input", F.struct(-F.length("input"), F.col("input"))).alias("input")).first()["input"]
+    return ml.batch_predict(io.inline_row(spark, longest), "input", make_length_model, T.DoubleType())

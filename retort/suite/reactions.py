@@ -404,6 +404,17 @@ def _lookup_join(spark, sf):
     return lookup_join(nd, preds, "smiles", on_missing="keep").select("row_id", "pos", "smiles", "pred")
 
 
+@register("lookup_join_error", W(*BASE, td.SQL_ROLE_PREDICTIONS) + """
+ , u AS (SELECT row_id, unnest(string_split(NoData, '.')) AS smiles FROM fx_clean WHERE NoData IS NOT NULL)
+ SELECT row_id, smiles, pred FROM u JOIN fx_role_predictions USING (smiles) WHERE smiles <> ''""")
+def _lookup_join_error(spark, sf):
+    """A dictionary that holds every key; a gap would make the job fail."""
+    from retort.operators.joins import lookup_join
+    c = clean(spark, sf)
+    nd = c.select("row_id", F.explode(F.split("NoData", r"\.")).alias("smiles")).where("smiles <> ''")
+    return lookup_join(nd, td.role_predictions(c), "smiles", on_missing="error").select("row_id", "smiles", "pred")
+
+
 @register("restore_roles", W(*BASE, td.SQL_ROLE_PREDICTIONS, SQL_RESTORE) + " SELECT * FROM fx_restored")
 def _restore_roles(spark, sf):
     c = clean(spark, sf)

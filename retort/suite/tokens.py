@@ -192,6 +192,14 @@ toks AS (SELECT p, list(id ORDER BY i) AS ids
                FROM (SELECT p, string_split(w[2:-2], chr(2) || chr(1)) AS t FROM marked)) JOIN ids USING (token) GROUP BY p)"""
 
 
+def frequent_pairs(pieces):
+    """The N_PAIRS most frequent neighbours (a, b) among the characters of the pieces, most frequent first."""
+    counts = tk.token_counts(pieces).select("n", F.split("token", "").alias("c"))
+    couples = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.get("c", i - 1).alias("a"), F.get("c", i).alias("b")))
+    return (counts.where(F.size("c") > 1).select("n", F.inline(couples)).groupBy("a", "b").agg(F.sum("n").alias("n"))
+            .orderBy(F.desc("n"), "a", "b").limit(N_PAIRS))
+
+
 @register("encode_merges", W(SQL_MERGES) + """
  SELECT doc_id, CAST(list_append(coalesce(flatten(list(ids ORDER BY i)), []), 1) AS INTEGER[]) AS input_ids
  FROM (SELECT doc_id, generate_subscripts(pieces, 1) AS i, unnest(pieces) AS p FROM fx_pieces) JOIN toks USING (p) GROUP BY doc_id""")
@@ -199,9 +207,7 @@ def _encode_merges(spark, sf):
     """Ids after the merges of the most frequent pairs of characters, made in the order of their ranks."""
     pieces = pieces_df(spark, sf)
     counts = tk.token_counts(pieces).select("n", F.split("token", "").alias("c"))
-    couples = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.get("c", i - 1).alias("a"), F.get("c", i).alias("b")))
-    pairs = (counts.where(F.size("c") > 1).select("n", F.inline(couples)).groupBy("a", "b").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "a", "b").limit(N_PAIRS).collect())
+    pairs = frequent_pairs(pieces).collect()
     chars = counts.select(F.explode("c").alias("c")).distinct().limit(tz.MAX_VOCAB).collect()
     symbols = list(dict.fromkeys(r["a"] + r["b"] for r in pairs)) + sorted(r["c"] for r in chars)
     tok = tz.Tokenizer("bpe", {t: i + 3 for i, t in enumerate(symbols)}, merges=[(r["a"], r["b"]) for r in pairs])
@@ -462,3 +468,18 @@ def _train_bpe(spark, sf):
 @register("train_unigram")
 def _train_unigram(spark, sf):
     return unigram_vocab(pieces_df(spark, sf))
+
+
+@register("span_lengths", """
+ WITH l AS (SELECT doc_id, length(text) AS inputs_length FROM documents),
+ d AS (SELECT inputs_length, unnest(range(inputs_length, CAST(inputs_length * 1.2 AS BIGINT) + 20)) AS n
+       FROM (SELECT DISTINCT inputs_length FROM l WHERE inputs_length IS NOT NULL)),
+ s AS (SELECT inputs_length, n, round_even(n * 0.15::DOUBLE, 0) AS noise FROM d),
+ p AS (SELECT *, round_even(noise / 3.0::DOUBLE, 0) AS spans FROM s),
+ b AS (SELECT inputs_length, max(n) AS raw_length, CAST(arg_max(noise + spans, n) + 1 AS BIGINT) AS target_length
+       FROM p WHERE n - noise + spans + 1 <= inputs_length GROUP BY 1)
+ SELECT doc_id, inputs_length, raw_length, target_length FROM l LEFT JOIN b USING (inputs_length)""")
+def _span_lengths(spark, sf):
+    """Raw and target lengths for masked inputs as long as each document."""
+    docs = td.table(spark, sf, "documents").select("doc_id", F.length("text").alias("inputs_length"))
+    return tk.span_lengths_of(docs, "inputs_length")

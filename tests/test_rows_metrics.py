@@ -190,3 +190,24 @@ def test_matrices_round_trip(spark, tmp_path):
     io.sink_arrays(m, str(tmp_path / "m"))
     back = {r.k: (r.m, r.f) for r in io.read_arrays(spark, str(tmp_path / "m"), m.schema).withColumn("f", first_token_embedding("m")).collect()}
     assert back == {1: ([[0.0, 1.0, 2.0], [3.0, 4.0, 5.0], [6.0]], [0.0, 1.0, 2.0]), 2: ([], None), 3: ([], None)}
+
+
+def test_fingerprint_bits(spark):
+    """Positions of all 1..3-grams by hand; empty and null strings are all zeros."""
+    import hashlib
+    from pyspark.ml.functions import vector_to_array
+    from retort.operators import ml
+    df = spark.createDataFrame([(1, "C[Na+]BrO"), (2, "C"), (3, ""), (4, None)], "n int, x string")
+    got = {r.n: {i for i, v in enumerate(r.b) if v} for r in
+           ml.hashed_fingerprint(df, "x", 64).select("n", vector_to_array("features").alias("b")).collect()}
+    t = ["C", "[Na+]", "Br", "O"]
+    grams = [" ".join(t[i:i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+    place = lambda g: int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 64
+    assert got == {1: set(map(place, grams)), 2: {place("C")}, 3: set(), 4: set()}
+
+
+def test_span_lengths_of_a_table(spark):
+    from retort.operators import tokens as tk
+    df = spark.createDataFrame([(1, 512), (2, 114), (3, None), (4, 512)], "n int, len int")
+    got = {r.n: (r.raw_length, r.target_length) for r in tk.span_lengths_of(df, "len").collect()}
+    assert got == {1: tk.span_lengths(512), 2: tk.span_lengths(114), 3: (None, None), 4: tk.span_lengths(512)}
