@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -35,14 +36,15 @@ KINDS = ("assign", "access", "hex", "key", "signed")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_ARMOUR = re.compile(r"""-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,."'\-]|\\+[nrt]|\\(?=\s))*?)-----END \1-----""")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_BODY = re.compile(r"""(?:[A-Za-z0-9+/=\s:,."'\-]|\\+[nrt]|\\(?=\s))*+""")
 _JOINT = re.compile(r"""["']\s*(?:[+.,]\s*)?["']""")  # between two string literals
 _BREAK = re.compile(r"(?:[ \t]*\\?(?:\r\n?|\n)|\\+r\\+n|\\+[nr])[ \t]*")
 _WRAPPED = re.compile(r"(?:(?<=\\[nr])|(?<![A-Za-z0-9+/_\-\\]))[A-Za-z0-9+/_-]{20,}={0,2}(?:" + _BREAK.pattern + r"[A-Za-z0-9+/_-]+={0,2})*")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
 _HEX_HEAD = re.compile(r"[0-9a-fA-F]*")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}+")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _CODED = np.zeros(256, bool)
 _CODED[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/=_-"]] = True
@@ -145,15 +147,27 @@ def holds_key(data: bytes | None) -> bool:
     if not data or len(data) < 24:
         return False
     if data.startswith(b"-----BEGIN "):
-        return any(_armoured(m) for m in _ARMOUR.finditer(data.decode("latin-1")))
+        return next(_armoured(data.decode("latin-1")), None) is not None
     return der_private_key(data) or openssh_private_key(data)
 
 
-def _armoured(m) -> bool:
-    text = _JOINT.sub("\n", re.sub(r"\\+[nrt]|\\(?=\s)", "\n", m[2]))
-    body = "".join(x for x in text.splitlines() if ":" not in x and "," not in x)
-    data = _decode64("".join(body.split()))
-    encrypted = "ENCRYPTED" in m[2]
+def _armoured(text: str):
+    """(start, end) of the armoured keys: an END line belongs to the nearest mark before it, if that is its BEGIN line, so bodies never overlap."""
+    begin = None
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+            continue
+        if begin is not None and begin[2] == m[2] and _BODY.fullmatch(text, begin.end(), m.start()) and _armour_holds_key(text[begin.end():m.start()]):
+            yield begin.start(), m.end()
+        begin = None
+
+
+def _armour_holds_key(body: str) -> bool:
+    text = _JOINT.sub("\n", re.sub(r"\\+[nrt]|\\(?=\s)", "\n", body))
+    lines = "".join(x for x in text.splitlines() if ":" not in x and "," not in x)
+    data = _decode64("".join(lines.split()))
+    encrypted = "ENCRYPTED" in body
     return data is not None and (holds_key(data) or encrypted and len(data) >= 32 and len(data) % 8 == 0)
 
 
@@ -206,24 +220,39 @@ def signed_token(header: str, payload: str) -> bool:
     return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(p, dict)
 
 
+def _signed_tokens(text: str):
+    """(start, end) of signed tokens: any three neighbours of a dotted chain, so that a name before the header hides nothing."""
+    for m in _DOTTED.finditer(text):
+        parts, at, free = m[0].split("."), m.start(), 0
+        for i, part in enumerate(parts[:-2]):
+            if i >= free and len(part) >= 12 and len(parts[i + 1]) >= 2 and signed_token(part, parts[i + 1]):
+                yield at, at + len(part) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+                free = i + 3
+            at += len(part) + 1
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of every secret, in that order."""
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    held = [(m.start(), m.end()) for m in _ARMOUR.finditer(text) if _armoured(m)]
+    held = list(_armoured(text))
+
+    def apart(at: int) -> bool:
+        i = bisect.bisect_right(held, (at, len(text))) - 1
+        return i < 0 or at >= held[i][1]
+
     keys = list(held)
     for m in _RUN.finditer(text):
-        if not any(s <= m.start() < e for s, e in held) and holds_key(_decode64(m[0])):
+        if apart(m.start()) and holds_key(_decode64(m[0])):
             keys.append((m.start(), m.end()))
     for m in _WRAPPED.finditer(text):
-        keys += [(m.start() + a, m.start() + b) for a, b in _wrapped(m[0])
-                 if not any(s <= m.start() + a < e for s, e in held)]
+        keys += [(m.start() + a, m.start() + b) for a, b in _wrapped(m[0]) if apart(m.start() + a)]
     for m in _HEX_RUN.finditer(text):
         if holds_key(bytes.fromhex(m[0])):
             keys.append((m.start(), m.end()))
     out += [(s, 3, e) for s, e in keys]
-    out += [(m.start(), 4, m.end()) for m in _TOKEN.finditer(text) if signed_token(m[1], m[2])]
+    out += [(s, 4, e) for s, e in _signed_tokens(text)]
     return sorted(set(out))
 
 

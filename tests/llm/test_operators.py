@@ -438,6 +438,35 @@ def test_secret_keys_wrapped_and_escaped():
         assert not keys(sep.join([*lines[:2], *lines[3:]]))
 
 
+def test_secret_tokens_behind_dotted_names_and_armour_without_ends():
+    """Names before a token hide nothing; a stray BEGIN line hides no later key; marks without an end cost linear time."""
+    import base64
+    import json
+    import time
+    from retort.llm import secrets
+    part = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': '1'})}.c2lnbmF0dXJl"
+    signed = lambda t: [t[a:b] for a, k, b in secrets.find(t) if k == 4]
+    for before in ("", "longidentifier12.", "https://example-host-name.", "a.b.longidentifier12.other-long-name.", "x" * 40 + ".y."):
+        assert signed(f"see {before}{token} now") == [token]
+    assert signed(f"{token}.{token}") == [token, token]
+    assert signed("plain.dotted-name-here.with.many-parts-of-words") == []
+
+    numbers = b"".join(b"\x02\x10" + bytes(range(1, 17)) for _ in range(8))
+    body = b"\x02\x01\x00" + numbers
+    b64 = base64.b64encode(b"\x30\x81" + bytes([len(body)]) + body).decode()
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"
+    lines = "\n".join(b64[i:i + 64] for i in range(0, len(b64), 64))
+    stray = begin + "no key here\n"
+    text = stray + "-----END EC PRIVATE KEY-----\n" + stray + begin + lines + end
+    assert (text.rindex(begin), 3, len(text)) in secrets.find(text)
+    for hostile in (begin * 32_000, "-----BEGIN A PRIVATE KEY-----\n-----END B PRIVATE KEY-----\n" * 16_000, "a." * 500_000,
+                    "A" * 1_000_000, "abcdefghijklmnop." * 60_000, begin + "\\" * 1_000_000 + end):
+        t = time.process_time()
+        secrets.find(hostile)
+        assert time.process_time() - t < 4
+
+
 def test_secret_removal(spark, odd, none):
     from retort.llm import secrets
     out = {r.doc_id: r.text for r in secrets.without_secrets(odd).collect()}
