@@ -22,6 +22,8 @@ columns are ignored by ``verdicts`` and kept by ``clean``.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,64 +37,116 @@ SEED, COVER = 4, 0.6
 FILTER_BITS = 1 << 23
 _SEGMENT = 1 << 13
 _FIRST_LENGTH = 16
+_PAIRS = 1 << 20  # runs measured at once
 
 
-def _runs(tokens: np.ndarray, n: int) -> np.ndarray:
-    """Running Karp-Rabin hashes of all windows of n words."""
-    if len(tokens) < n:
-        return np.zeros(0, ts.U)
-    power, inverse = ts._power_tables(len(tokens) + 1)
-    sums = np.append(ts.U(0), np.cumsum(tokens * power[:len(tokens)]))
-    return (sums[n:] - sums[:-n]) * inverse[:len(sums) - n]
+class _Words:
+    """One side of a tiling: words as small integers, prefix sums for hashes of any window, marks."""
 
+    def __init__(self, words: np.ndarray, border: int):
+        self.words, self.border, self.used = words, border, np.zeros(len(words), bool)
+        power, self.inverse = ts._power_tables(len(words) + 1)
+        codes = ts.mix(words.astype(ts.U) + ts.U(1))
+        self.sums = np.append(ts.U(0), np.cumsum(codes * power[:len(words)]))
 
-def tile(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """(length, start in item, start in text) of the tiles, longest first."""
-    item_list, text_list = item.tolist(), text.tolist()
-    used_i, used_t = np.zeros(len(item), bool), np.zeros(len(text), bool)
-    out, n = [], max(least, min(_FIRST_LENGTH, len(item)))
-    while True:
-        runs = {}
-        free = _free(used_i, n)
-        for k, h in zip(free.tolist(), _runs(item, n)[free].tolist()):
-            runs.setdefault(h, []).append(k)
-        free = _free(used_t, n)
-        h = _runs(text, n)[free]
-        found = []
-        for k in np.flatnonzero(np.isin(h, np.array(list(runs), ts.U))).tolist():
-            t = int(free[k])
-            for i in runs[int(h[k])]:
-                size = _extend(item_list, text_list, used_i, used_t, i, t)
-                if size >= n:
-                    found.append((size, i, t))
-        longest = max(found, default=(0,))[0]
-        if longest > 2 * n:
-            n = longest
-            continue
-        marked = False
-        for size, i, t in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if not used_i[i:i + size].any() and not used_t[t:t + size].any():
-                used_i[i:i + size] = used_t[t:t + size] = True
-                out.append((size, i, t))
-                marked = True
-        if not marked:  # otherwise look again at this length: shorter parts of hidden runs may be left
-            if n <= least:
-                return out
-            n = max(least, n // 2)
+    def hashes(self, at: np.ndarray, size) -> np.ndarray:
+        """Running Karp-Rabin hashes of the windows of ``size`` words at ``at``."""
+        return (self.sums[at + size] - self.sums[at]) * self.inverse[at]
+
+    def free(self, n: int) -> np.ndarray:
+        """Starts of windows of n unmarked words."""
+        sums = np.append(0, np.cumsum(self.used))
+        return np.flatnonzero(sums[n:] == sums[:-n]) if len(self.words) >= n else np.zeros(0, np.int64)
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        """The word before each place; the side's border value at the start and behind a mark."""
+        return np.where((at > 0) & ~self.used[at - 1], self.words[at - 1], self.border)
+
+    def room(self) -> np.ndarray:
+        """How many unmarked words stand from each place on."""
+        stop = np.where(self.used, np.arange(len(self.words)), len(self.words))
+        return np.minimum.accumulate(stop[::-1])[::-1] - np.arange(len(self.words))
 
 
-def _free(used: np.ndarray, n: int) -> np.ndarray:
-    """Starts of windows of n unmarked words."""
-    sums = np.append(0, np.cumsum(used))
-    return np.flatnonzero(sums[n:] == sums[:-n]) if len(used) >= n else np.zeros(0, np.int64)
+def _matches(item: _Words, text: _Words, n: int) -> np.ndarray:
+    """(size, start in item, start in text) rows of the common runs of n unmarked words or more, longest first.
 
+    A run is listed once, from its first word: places of the item are grouped
+    by hash and by the word before them, and a place of the text skips those
+    whose word before is its own.  So passages of equal words list as many
+    runs as they have words, not all pairs of their windows.
+    """
+    own, other = item.free(n), text.free(n)
+    none = np.zeros((0, 3), np.int64)
+    if not len(own) or not len(other):
+        return none
+    group, h = np.unique(item.hashes(own, n), return_inverse=True)
+    g = text.hashes(other, n)
+    at = np.minimum(np.searchsorted(group, g), len(group) - 1)
+    hit = group[at] == g
+    other, at = other[hit], at[hit]
+    width = max(int(item.words.max()), int(text.words.max())) + 4  # words are 0 or more, borders -1 and -2
+    keys = h * width + item.before(own) + 2
+    order = np.argsort(keys, kind="stable")
+    own, keys = own[order], keys[order]
+    lo, hi = np.searchsorted(keys, at * width), np.searchsorted(keys, (at + 1) * width)
+    same = at * width + text.before(other) + 2
+    skip, on = np.searchsorted(keys, same), np.searchsorted(keys, same, "right")
+    count = (skip - lo) + (hi - on)
+    room_i, room_t, found = item.room(), text.room(), [none]
+    edges = np.append(0, np.cumsum(count))
+    first = 0
+    while first < len(other):
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + _PAIRS, "right")) - 1)
+        c = count[first:last]
+        which = np.repeat(np.arange(first, last), c)
+        nth = np.arange(len(which)) - np.repeat(edges[first:last] - edges[first], c)
+        before = skip[which] - lo[which]
+        place = lo[which] + nth + np.where(nth >= before, on[which] - skip[which], 0)
+        i, t = own[place], other[which]
+        size, top = np.full(len(i), n), np.minimum(room_i[i], room_t[t])
+        while (size < top).any():
+            middle = (size + top + 1) // 2
+            equal = item.hashes(i, middle) == text.hashes(t, middle)
+            size, top = np.where(equal, middle, size), np.where(equal, top, middle - 1)
+        found.append(np.stack([size, i, t], 1))
+        first = last
+    rows = np.concatenate(found)
+    return rows[np.lexsort((rows[:, 2], rows[:, 1], -rows[:, 0]))]
+
+
+def tile(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
+    """(length, start in item, start in text) of the tiles, longest first (of ties the first in the item, then in the text).
 
-def _extend(item, text, used_i, used_t, i, t) -> int:
-    k = 0
-    while (i + k < len(item) and t + k < len(text) and item[i + k] == text[t + k]
-           and not used_i[i + k] and not used_t[t + k]):
-        k += 1
-    return k
+    A run that marks cut goes back in parts, so each tile is the longest that is left.
+    """
+    if len(item) < least or len(text) < least:
+        return []
+    ids = np.unique(np.concatenate([item, text]), return_inverse=True)[1].astype(np.int64)
+    a, b = _Words(ids[:len(item)], -1), _Words(ids[len(item):], -2)
+    out, n = [], max(least, min(_FIRST_LENGTH, len(item)))
+    while True:
+        rows, cut, k = _matches(a, b, n), [], 0
+        while k < len(rows) or cut:
+            if cut and (k == len(rows) or cut[0] <= (-int(rows[k, 0]), int(rows[k, 1]), int(rows[k, 2]))):
+                size, i, t = heapq.heappop(cut)
+                size = -size
+            else:
+                size, i, t = rows[k].tolist()
+                k += 1
+            fits = ~(a.used[i:i + size] | b.used[t:t + size]) & (a.words[i:i + size] == b.words[t:t + size])
+            if fits.all():
+                a.used[i:i + size] = b.used[t:t + size] = True
+                out.append((size, i, t))
+                if not len(a.free(n)):
+                    break
+            else:
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], fits, [False]]).astype(np.int8))).reshape(-1, 2)
+                for lo, hi in edge[edge[:, 1] - edge[:, 0] >= n].tolist():
+                    heapq.heappush(cut, (lo - hi, i + lo, t + lo))
+        if n <= least:
+            return out
+        n = max(least, n // 2)
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -180,14 +234,14 @@ def _tile_rows(batches):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """key, item_id, coverage and n_tiles of every text and item whose tiles cover enough."""
     checkpoint_dir(docs.sparkSession)
-    known = items(benchmark).checkpoint()
-    seeds = (known.select("words", "n_words", F.explode(F.arrays_zip("seeds", "times")).alias("s"))
-             .select("words", "n_words", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")))
+    known = items(benchmark).withColumn("item", F.unhex(F.md5("words"))).checkpoint()
+    seeds = (known.select("item", "n_words", F.explode(F.arrays_zip("seeds", "times")).alias("s"))
+             .select("item", "n_words", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")))
     found = candidates(docs, seed_filter(seeds)).checkpoint()
     pairs = (found.select("key", F.explode("hits").alias("seed")).join(seeds, "seed")
-             .groupBy("key", "words", "n_words").agg(F.sum("times").alias("shared"))
+             .groupBy("key", "item", "n_words").agg(F.sum("times").alias("shared"))
              .where(F.col("shared") * SEED >= COVER * F.col("n_words")))
-    lists = (pairs.join(known.select("words", "item_id"), "words")
+    lists = (pairs.select("key", "item").join(known.select("item", "words", "item_id"), "item")
              .groupBy("key").agg(F.collect_list(F.struct("item_id", "words")).alias("found")))
     return (found.select("key", "text").join(lists, "key").select("key", "text", "found")
             .mapInArrow(_tile_rows, "key binary, item_id long, coverage double, n_tiles int")

@@ -337,6 +337,53 @@ def test_tiling_matches_brute_force():
         assert abs(sum(n for n, _, _ in out) - coverage_by_force(item, text, 4)) <= 4  # ties may be marked in another order
 
 
+def greedy_by_force(item, text, least):
+    """The longest common run of unmarked words, marked again and again; ties to the first in the item, then in the text."""
+    used_i, used_t, out = set(), set(), []
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(item)):
+            for t in range(len(text)):
+                n = 0
+                while (i + n < len(item) and t + n < len(text) and item[i + n] == text[t + n]
+                       and i + n not in used_i and t + n not in used_t):
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, t)
+        n, i, t = best
+        if n < least:
+            return out
+        out.append(best)
+        used_i.update(range(i, i + n))
+        used_t.update(range(t, t + n))
+
+
+def test_tiling_equals_greedy_by_force():
+    import random
+    import numpy as np
+    from retort.llm.decontaminate import tile
+    rng = random.Random(5)
+    for k in range(150):
+        item = [rng.randint(1, rng.choice((1, 2, 3, 30))) for _ in range(rng.randint(0, 45))]
+        text = []
+        for _ in range(rng.randint(0, 5)):
+            a = rng.randint(0, max(0, len(item) - 1))
+            text += item[a:a + rng.randint(1, 25)] + [rng.randint(1, 3)]
+        assert tile(np.array(item, np.uint64), np.array(text, np.uint64)) == greedy_by_force(item, text, 4), k
+
+
+def test_tiling_of_equal_words_takes_linear_room():
+    import time
+    import numpy as np
+    from retort.llm.decontaminate import tile
+    for period in (1, 2, 7):
+        item, text = (np.arange(n, dtype=np.uint64) % np.uint64(period) for n in (200, 20_000))
+        t = time.process_time()
+        assert tile(item, text) == [(200, 0, 0)]
+        assert tile(text[:2000], item)[0] == (200, 0, 0)
+        assert time.process_time() - t < 1
+
+
 def test_decontamination_of_items_with_repeated_passages(spark):
     from retort.llm import decontaminate
     item = "row row row your boat " * 8
