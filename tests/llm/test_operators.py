@@ -292,6 +292,58 @@ def test_html_odd_tables(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+PAGE_PARTS = ["<p>", "</p>", "<b", '<a href="x">', "<a title='", '"', ">", "<", "<!--", "-->", "<![CDATA[", "]]>", "<!x>", "<?y", "text ", " ", "\n",
+              "<ul>", "<li>", "</ul>", "<ol start=3>", "<table>", "<tr>", "<td>", "<td colspan=2>", "</table>", "<caption>", "<div>", "</div>",
+              "<h1>", "<script>", "</script>", "<textarea>", "</textarea>", "<title>", "<select>", "<option>", "</select>", "<br>", "<button>",
+              "</button>", "/", "&amp;", "<li value=7>", "<dl><dt>", "<dd>", "<pre>", "</pre>", "<body hidden>", "|"]
+
+
+def test_page_tokens_equal_a_plain_pattern():
+    """Random broken pages: the same tokens as one backtracking pattern gives, and no page fails."""
+    import random
+    from retort.llm import htmltext
+    plain = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    rng = random.Random(9)
+    for _ in range(4000):
+        page = "".join(rng.choice(PAGE_PARTS) for _ in range(rng.randint(1, 25)))
+        tokens, at, got = htmltext._Tokens(page), 0, []
+        while (x := tokens.after(at)) is not None:
+            got.append(x)
+            at = x[1]
+        want = []
+        for m in plain.finditer(page):
+            if m[3]:
+                want.append((m.start(), m.end(), m[2] or "<", m[3].lower(), m[4]))
+            else:
+                want.append((m.start(), m.end(), "!", "", "") if m[1] is None else (m.start(), m.end(), "[", m[1], ""))
+        assert got == want, page
+        htmltext.render(htmltext.parse(page))
+
+
+def test_page_of_hostile_shape_takes_linear_time():
+    import time
+    from retort.llm import htmltext
+    size = 1_000_000
+    for part in ("<a ", "<a", '<a "', '<a "\'', "<!", "<![CDATA[>", "<ul>" + "<li>x" * 50, "<ol><li>x</li>", "<div>", "<textarea></textarea>", "<"):
+        t = time.process_time()
+        htmltext.render(htmltext.parse(part * (size // len(part))))
+        assert time.process_time() - t < 8, part
+    items = "<ol>" + "<li>x" * 100_000 + "</ol>"
+    assert htmltext.render(htmltext.parse(items)).endswith("\n100000. x")
+
+
+def test_page_shows_formulas_drawings_list_boxes_and_bars():
+    from retort.llm.htmltext import parse, render
+    show = lambda h: render(parse(h))
+    assert show("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b") == "a x=2 b"
+    assert show("<p>one<svg><title>no</title><g><text>axis <tspan>label</tspan></text></g><desc>no</desc><path d='1'/></svg>") == "one axis label"
+    options = "<option>red<option selected>green<option>blue"
+    assert show(f"<select>{options}</select>") == "green"
+    assert show(f"<select multiple>{options}</select>").split() == show(f"<select size=3>{options}</select>").split() == ["red", "green", "blue"]
+    assert show("<table><tr><td>a</td><td>b |</td></tr><tr><td>c</td><td></td></tr></table>") == "a | b |\nc"
+    assert show("<table><td><![CDATA[x</table>") is not None and show("<table></button></table><table><b><td>x") is not None
+
+
 # ------------------------------------------------------------ 6 decontamination
 
 def coverage_by_force(item, text, least):
