@@ -94,24 +94,28 @@ def anchors(buf: np.ndarray, off: np.ndarray):
 
 
 class Layout:
-    """How many blocks and buckets (a power of two) a corpus of so many bytes is dealt into."""
+    """How many blocks and buckets (a power of two) a corpus of so many bytes is dealt into.
+
+    Buckets multiply with the corpus, so none grows with it.  Where a block has
+    less than one hash for a bucket, a hash costs a row (about 40 bytes).
+    """
 
     def __init__(self, total_bytes: int, block_bytes: int = BLOCK_BYTES, bucket_anchors: int = BUCKET_ANCHORS,
                  hot: int = HOT):
         self.hot = hot
         self.blocks = max(1, -(-total_bytes // block_bytes))
         need = total_bytes * ANCHORS_PER_BYTE / bucket_anchors
-        self.bits = min(16, max(0, int(np.ceil(np.log2(max(1.0, need))))))
+        self.bits = max(0, int(np.ceil(np.log2(max(1.0, need)))))
 
     def trim(self, h: np.ndarray) -> np.ndarray:
-        """Hashes keep the bits of the bucket and 48 more."""
-        return h & ~ts.U((1 << (16 - self.bits)) - 1)
+        """Hashes keep the bits of the bucket and 48 more, as far as they have them."""
+        return h & ~ts.U((1 << max(0, 16 - self.bits)) - 1)
 
     def bucket(self, h: np.ndarray) -> np.ndarray:
         return (h >> ts.U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
 
     def pack(self, h: np.ndarray) -> np.ndarray:
-        """The 48 bits below the bucket's, as n x 6 bytes."""
+        """The 48 bits below the bucket's (past 16 bits of buckets all that are left, then zeros), as n x 6 bytes."""
         return ((h << ts.U(self.bits)) >> ts.U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
 
     def cuts(self, h: np.ndarray):
