@@ -13,7 +13,9 @@ draws trials from a seeded md5 table instead of an adaptive sampler.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.ml.regression import RandomForestRegressor
@@ -21,7 +23,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.functions.hashing import hash_u32, md5_u32
+from retort.functions.hashing import hash_u32, hash_unit, md5_u32
 from retort.operators import metrics as mt
 
 MAX_DEPTH = 30
@@ -108,33 +110,78 @@ def trial_table(spark, n_trials: int, seed: int = 42, trees=(10, 200), depth=(2,
 
 
 def param_search(train: DataFrame, valid: DataFrame, label: str, trials: DataFrame, seed: int = 42,
-                 features: str = "features", task: str = "regression", featurise=None) -> DataFrame:
+                 features: str = "features", task: str = "regression", featurise=None, parallelism: int = 1) -> DataFrame:
     """Fit one forest per trial (Spark ML ``fitMultiple``) and score it on ``valid``: R2, or F1 for classes.
 
     ``featurise(df, dim)`` makes the features for a trial's fingerprint width
     (without it both tables already hold them).  Features of one width are
     made and cached once for all its trials.  The trial table is small by
-    construction; each fit is a distributed Spark ML job.
+    construction; each fit is a distributed Spark ML job, and ``parallelism``
+    of them are submitted at a time (a fit's result does not depend on it).
     """
+    metric = _METRIC[task]
+    rows = trials.orderBy("trial").collect()
+    scores = _trial_scores(train, valid, label, rows, seed, features, task, featurise, parallelism)
+    return train.sparkSession.createDataFrame([(*r, scores[r["trial"]]) for r in rows], f"{_TRIAL}, {metric} double")
+
+
+def halving_search(train: DataFrame, valid: DataFrame, label: str, trials: DataFrame, key_cols: list, seed: int = 42,
+                   features: str = "features", task: str = "regression", featurise=None, parallelism: int = 4,
+                   eta: int = 3) -> DataFrame:
+    """Successive halving: many trials on few rows, the best on all.
+
+    With n trials there are as many rungs as n can be divided by ``eta``.  A
+    rung fits its trials on a share of the rows (all in the last rung, 1 in
+    ``eta`` in the one before, and so on; rows are taken by the md5 of
+    ``key_cols``, so a rung holds the rows of the one before it) and the best
+    1 in ``eta`` go on; of equal scores the smaller trial is better.  One row
+    for each fit: the trial, ``rung`` from 0, ``share`` and the score; the
+    search's result is the best row of the last rung.
+    """
+    metric = _METRIC[task]
+    alive = trials.orderBy("trial").collect()
+    rungs = 1
+    while len(alive) // eta ** rungs >= 1:
+        rungs += 1
+    out = []
+    for rung in range(rungs):
+        share = 1.0 / eta ** (rungs - 1 - rung)
+        part = train if share == 1 else train.where(hash_unit(seed, *key_cols) < F.lit(share))
+        scores = _trial_scores(part, valid, label, alive, seed, features, task, featurise, parallelism)
+        out += [(*r, rung, share, scores[r["trial"]]) for r in alive]
+        alive = sorted(alive, key=lambda r: (-scores[r["trial"]], r["trial"]))[:max(1, len(alive) // eta)]
+    return train.sparkSession.createDataFrame(out, f"{_TRIAL}, rung int, share double, {metric} double")
+
+
+_METRIC = {"regression": "r2", "classification": "f1"}
+_TRIAL = "trial long, num_trees int, max_depth int, min_leaf int, dim int, rate double"
+
+
+def _trial_scores(train, valid, label, rows, seed, features, task, featurise, parallelism) -> dict:
+    """trial -> score; the trials of one fingerprint width share their cached tables and run side by side."""
     forest = RandomForestRegressor if task == "regression" else RandomForestClassifier
-    metric = "r2" if task == "regression" else "f1"
     evaluator = RegressionEvaluator if task == "regression" else MulticlassClassificationEvaluator
-    ev = evaluator(labelCol=label, predictionCol="prediction", metricName=metric)
-    rows = trials.orderBy("trial").collect()
+    ev = evaluator(labelCol=label, predictionCol="prediction", metricName=_METRIC[task])
     rf = forest(featuresCol=features, labelCol=label, seed=seed)
-    out = []
+    scores = {}
     for dim in sorted({r["dim"] for r in rows}):
         own = [r for r in rows if r["dim"] == dim]
         a, b = (featurise(train, dim), featurise(valid, dim)) if featurise else (train, valid)
         a, b = a.cache(), b.cache()
         maps = [{rf.numTrees: int(r["num_trees"]), rf.maxDepth: _depth(int(r["max_depth"])),
                  rf.minInstancesPerNode: int(r["min_leaf"]), rf.subsamplingRate: float(r["rate"])} for r in own]
-        for i, model in rf.fitMultiple(a, maps):
-            out.append((*own[i], float(ev.evaluate(model.transform(b)))))
+        a.count(), b.count()  # trials that start together would each make the tables
+        fits = rf.fitMultiple(a, maps)
+
+        def one(_, fits=fits, b=b, own=own):
+            i, model = next(fits)
+            return own[i]["trial"], float(ev.evaluate(model.transform(b)))
+
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            scores.update(pool.map(inheritable_thread_target(train.sparkSession)(one), range(len(own))))
         a.unpersist()
         b.unpersist()
-    return train.sparkSession.createDataFrame(
-        out, f"trial long, num_trees int, max_depth int, min_leaf int, dim int, rate double, {metric} double")
+    return scores
 
 
 def swap_fit(a: DataFrame, b: DataFrame, label: str, **kw) -> DataFrame:

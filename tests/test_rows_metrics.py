@@ -211,3 +211,23 @@ def test_span_lengths_of_a_table(spark):
     df = spark.createDataFrame([(1, 512), (2, 114), (3, None), (4, 512)], "n int, len int")
     got = {r.n: (r.raw_length, r.target_length) for r in tk.span_lengths_of(df, "len").collect()}
     assert got == {1: tk.span_lengths(512), 2: tk.span_lengths(114), 3: (None, None), 4: tk.span_lengths(512)}
+
+
+def test_search_side_by_side_equals_serial(spark):
+    """Same scores whatever the parallelism; halving keeps the best of each rung and ends on all rows."""
+    from pyspark.ml.functions import array_to_vector
+    from retort.operators import ml
+    rows = spark.range(400).select("id", *[(F.col("id") * k % m / m).alias(f"x{k}") for k, m in ((7, 31), (11, 17))])
+    rows = rows.select("id", (F.col("x7") * 3 - F.col("x11")).alias("label"), array_to_vector(F.array("x7", "x11")).alias("features"))
+    rows = rows.repartition(2, "id").cache()
+    train, valid = rows.where("id % 5 > 0"), rows.where("id % 5 = 0")
+    trials = ml.trial_table(spark, 4, seed=3, trees=(2, 5), depth=(1, 5), rates=(0.6, 1.0))
+    serial = {r.trial: r.r2 for r in ml.param_search(train, valid, "label", trials).collect()}
+    assert {r.trial: r.r2 for r in ml.param_search(train, valid, "label", trials, parallelism=4).collect()} == serial
+    steps = ml.halving_search(train, valid, "label", trials, ["id"], eta=2).collect()
+    by = [{r.trial: r.r2 for r in steps if r.rung == k} for k in range(3)]
+    assert [len(x) for x in by] == [4, 2, 1] and [min(r.share for r in steps if r.rung == k) for k in range(3)] == [0.25, 0.5, 1.0]
+    for now, after in zip(by, by[1:]):
+        assert set(after) == set(sorted(now, key=lambda t: (-now[t], t))[:len(after)])
+    last = next(iter(by[2]))
+    assert by[2][last] == serial[last]
