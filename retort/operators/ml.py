@@ -132,8 +132,9 @@ def halving_search(train: DataFrame, valid: DataFrame, label: str, trials: DataF
 
     With n trials there are as many rungs as n can be divided by ``eta``.  A
     rung fits its trials on a share of the rows (all in the last rung, 1 in
-    ``eta`` in the one before, and so on; rows are taken by the md5 of
-    ``key_cols``, so a rung holds the rows of the one before it) and the best
+    ``eta`` in the one before, and so on; rows are taken by the md5 of 'rung' and
+    ``key_cols``, apart from the order that made a split by the same seed,
+    and a rung holds the rows of the one before it) and the best
     1 in ``eta`` go on; of equal scores the smaller trial is better.  One row
     for each fit: the trial, ``rung`` from 0, ``share`` and the score; the
     search's result is the best row of the last rung.
@@ -146,7 +147,7 @@ def halving_search(train: DataFrame, valid: DataFrame, label: str, trials: DataF
     out = []
     for rung in range(rungs):
         share = 1.0 / eta ** (rungs - 1 - rung)
-        part = train if share == 1 else train.where(hash_unit(seed, *key_cols) < F.lit(share))
+        part = train if share == 1 else train.where(hash_unit(seed, F.lit("rung"), *key_cols) < F.lit(share))
         scores = _trial_scores(part, valid, label, alive, seed, features, task, featurise, parallelism)
         out += [(*r, rung, share, scores[r["trial"]]) for r in alive]
         alive = sorted(alive, key=lambda r: (-scores[r["trial"]], r["trial"]))[:max(1, len(alive) // eta)]
