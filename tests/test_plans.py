@@ -64,3 +64,31 @@ def test_lookup_join_missing_key_policies(spark):
     kept = {r.smiles: r.pred for r in lookup_join(df, lk, "smiles", on_missing="keep", lookup_order="o").collect()}
     assert kept == {"a": False, "z": None}  # later row wins, missing key kept as null
     assert [r.smiles for r in lookup_join(df, lk, "smiles", on_missing="drop", lookup_order="o").collect()] == ["a"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_corpora_compute_parsed_and_canonical_text_once_a_row(spark):
+    from retort.plans import corpora
+    raw = spark.createDataFrame([(i, f"REACTANT:CCO.REAGENT:{'C' * (i % 3 + 1)}.SOLVENT:O", "PRODUCT:CO", "YIELD:5.0") for i in range(9)],
+                                "row_id long, input string, product string, condition string")
+    clean = corpora.clean_reactions(raw)
+    for make, dear in ((corpora.forward_corpus, 1), (corpora.retro_corpus, 1), (corpora.yield_corpus, 3)):
+        plan = _plan(make(clean))
+        assert plan.count("forall(") == dear  # conditions take no copies of canonical texts along, least of all below an aggregate
+        assert plan.count("INTERNAL_STANDARD) > 0") == 1  # nor of the parsed items
+        assert make(clean).count() == 3
+
+
+def test_union_by_name_and_forests_read_their_rows_from_a_table(spark, tmp_path):
+    from retort.suite import ml_checks, reactions
+    orders = [(i, i % 7, "F", 1.0, "1-URGENT") for i in range(60)]
+    lines = [(i, i + k, k, "AR"[k % 2], "O") for i in range(60) for k in range(2)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert "instr(" not in _plan(reactions._union_by_name(spark, str(tmp_path)))
+    for part in ml_checks._train_test(spark, str(tmp_path)):
+        plan = _plan(part)
+        assert "regexp_extract_all" not in plan and "Aggregate" not in plan
