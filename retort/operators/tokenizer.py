@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +103,15 @@ class Tokenizer:
             self._machine = BestPaths(self) if self.kind == "unigram" else Merges(self)
         return self._machine.run(pieces)
 
+    def word_ids(self, words: pa.Array) -> np.ndarray:
+        """The id of every word that is looked up whole; unknown ones and nulls get ``unk_id``."""
+        if not hasattr(self, "_words"):
+            self._words = pa.array(list(self.ids), pa.string()), np.array([*self.ids.values(), self.unk_id], np.int32)
+        names, ids = self._words
+        return ids[pc.index_in(words, value_set=names).fill_null(len(names)).to_numpy(zero_copy_only=False)]
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_machine"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_machine", "_words")}
 
 
 def _code_points(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -305,12 +313,15 @@ def encode_batch(tok: Tokenizer, column: pa.Array, max_length: int | None) -> pa
 
 def _encode_slice(tok: Tokenizer, column: pa.Array, max_length: int | None) -> pa.Array:
     flat, off = _flat(column)
-    words = flat.dictionary_encode()
-    pool, count = tok.flat_ids(words.dictionary.to_pylist())
-    pool, count = np.append(pool, np.int32(tok.unk_id)).astype(np.int32), np.append(count, 1)  # the last stands for null
-    which = words.indices.fill_null(len(count) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = _take(pool, (np.cumsum(count) - count)[which], count[which])
-    at = np.append(0, np.cumsum(count[which]))[off]
+    if tok.kind == "word" and not tok.byte_level:
+        ids, at = tok.word_ids(flat), off
+    else:
+        words = flat.dictionary_encode()
+        pool, count = tok.flat_ids(words.dictionary.to_pylist())
+        pool, count = np.append(pool, np.int32(tok.unk_id)).astype(np.int32), np.append(count, 1)  # the last stands for null
+        which = words.indices.fill_null(len(count) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = _take(pool, (np.cumsum(count) - count)[which], count[which])
+        at = np.append(0, np.cumsum(count[which]))[off]
     size = np.diff(at)
     if max_length is not None:
         size = np.minimum(size, max(0, max_length - len(tok.prefix) - len(tok.suffix)))
@@ -385,7 +396,10 @@ def unknown_pieces(tok: Tokenizer, pieces) -> Column:
         flat, off = _flat(column)
         words = flat.dictionary_encode()
         names = words.dictionary.to_pylist()
-        bad = np.array([w is not None and t.unk_id in t.piece_ids(w) for w in names] + [False])
+        if t.kind == "word" and not t.byte_level:
+            bad = np.append((t.word_ids(words.dictionary) == t.unk_id) & words.dictionary.is_valid().to_numpy(zero_copy_only=False), False)
+        else:
+            bad = np.array([w is not None and t.unk_id in t.piece_ids(w) for w in names] + [False])
         which = words.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)
         hit = np.flatnonzero(bad[which])
         row = np.searchsorted(off, hit, "right") - 1

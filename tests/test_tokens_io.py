@@ -71,3 +71,55 @@ def test_scan_by_extension_rejects_unknown(spark):
 def test_inline_row(spark):
     df = io.inline_row(spark, "REACTANT:CCOREAGENT: ")
     assert df.columns == ["input"] and df.collect()[0].input == "REACTANT:CCOREAGENT: "
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    from retort.session import BATCH_BYTES, small_batches
+    before = spark.conf.get(BATCH_BYTES)
+    small_batches(spark, 1 << 20)
+    try:
+        def sizes(batches):
+            import pyarrow as pa
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+        rows = spark.range(9000, numPartitions=1).select(F.repeat(F.lit("x"), 1000).alias("t"))
+        assert max(r["size"] for r in rows.mapInArrow(sizes, "size long").collect()) < 2 << 20
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
+def test_queries_bound_their_batches(spark, monkeypatch):
+    import __spark_entry__
+    from retort import session
+    seen = []
+    monkeypatch.setattr(session, "small_batches", seen.append)
+    __spark_entry__._shipped(lambda s, d: None)(spark, "")
+    assert seen == [spark]
+
+
+def test_pieces_are_counted_in_the_pass_that_makes_them(spark):
+    df = spark.createDataFrame([("a b a",), (None,), ("",), ("b",)], "text string").coalesce(1)
+    counts = tk.token_counts(tk.pretokenise(df, "text"))
+    assert "_batch_counts(run(text" in _plan(counts)
+    assert {r.token: r.n for r in counts.collect()} == {"▁a": 2, "▁b": 2, "▁": 1}
+    plain = spark.createDataFrame([(["x", None, "x"],), ([],), (None,)], "pieces array<string>")
+    assert [tuple(r) for r in tk.token_counts(plain).collect()] == [("x", 2)]
+
+
+def test_sentinels_and_masks_are_array_passes(spark):
+    masks = [[True, True, False, True], [False, True], [], [True], None, [False, False, True, True, False, True]]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(masks)], "i int, mask array<boolean>").coalesce(1)
+    got = df.select("i", tk.sentinel_ids("mask", 100).alias("s"))
+    assert "transform(" not in _plan(got)
+    assert [r.s for r in got.orderBy("i").collect()] == [[99, -1, 0, 98], [0, 99], [], [99], None, [0, 0, 99, -1, 0, 98]]
+    lengths = spark.createDataFrame([(n, f"{n}|x") for n in (2, 3, 20, 568)] + [(None, "k")], "n int, k string").coalesce(1)
+    made = lengths.select("n", tk.span_mask(F.col("n"), F.col("k")).alias("m"))
+    assert "aggregate(" not in _plan(made)
+    rows = {r.n: r.m for r in made.collect()}
+    assert rows[None] is None and {n: len(m) for n, m in rows.items() if n} == {n: n for n in (2, 3, 20, 568)}
+    assert all(sum(m) == max(round(n * 0.15), 1) and not m[0] and m[-1] for n, m in rows.items() if n)
