@@ -82,13 +82,13 @@ def test_corpora_compute_parsed_and_canonical_text_once_a_row(spark):
         assert make(clean).count() == 3
 
 
-def test_union_by_name_and_forests_read_their_rows_from_a_table(spark, tmp_path):
-    from retort.suite import ml_checks, reactions
+def test_forests_read_their_rows_from_a_table(spark, tmp_path):
+    from retort.suite import ml_checks
     orders = [(i, i % 7, "F", 1.0, "1-URGENT") for i in range(60)]
     lines = [(i, i + k, k, "AR"[k % 2], "O") for i in range(60) for k in range(2)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert "instr(" not in _plan(reactions._union_by_name(spark, str(tmp_path)))
-    for part in ml_checks._train_test(spark, str(tmp_path)):
-        plan = _plan(part)
-        assert "regexp_extract_all" not in plan and "Aggregate" not in plan
+    for make in (ml_checks._train_test, ml_checks._split_rows):
+        for part in make(spark, str(tmp_path)):
+            plan = _plan(part)
+            assert "regexp_extract_all" not in plan and "Aggregate" not in plan
