@@ -10,11 +10,13 @@ reliable ``checkpoint()`` into the session's checkpoint folder.
 from __future__ import annotations
 
 import heapq
-import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retort.operators.tokenizer import _code_points, _Table
 from retort.plans.rowindex import global_index
 from retort.session import checkpoint_dir
 
@@ -173,131 +175,259 @@ def _apply(merges: list):
 
 # ------------------------------------------------------------------ unigram
 
-def seed_pieces(words: DataFrame, max_len: int, min_freq: int) -> DataFrame:
-    """Candidate pieces: all substrings of at most ``max_len`` characters that occur ``min_freq`` times, and all characters."""
-    w = words.select("word", "n", F.length("word").alias("L"))
-    subs = w.select("n", F.explode_outer(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.col("L")),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_len), F.col("L") - i + 1)),
-                              lambda k: F.substring(F.col("word"), i, k))))).alias("piece")).where(F.col("piece").isNotNull())
-    counts = subs.groupBy("piece").agg(F.sum("n").alias("freq"))
-    return counts.where((F.length("piece") == 1) | (F.col("freq") >= min_freq))
-
-
-def _without(piece: str, scores: dict, max_len: int) -> float:
-    """Score of the best segmentation of ``piece`` into other pieces."""
-    n = len(piece)
-    best = [0.0] + [float("-inf")] * n
-    for end in range(1, n + 1):
-        for start in range(max(0, end - max_len), end):
-            if end - start < n and piece[start:end] in scores:
-                best[end] = max(best[end], best[start] + scores[piece[start:end]])
-    return best[n]
-
-
-def _spread(df: DataFrame, key: str, chars: int = 20_000) -> DataFrame:
+class _Pieces:
+    """Where pieces occur in words, found in array passes.
+
+    All words and pieces are laid end to end.  Windows of 1, 2, 4, 8 ... characters
+    are ranked, equal ones alike; a substring of any other length is known, exactly,
+    by the ranks of the two windows that cover it.
+    """
+
+    def __init__(self, words: list, pieces: list, max_len: int):
+        self.cp, off = _code_points(words + pieces)
+        self.off, at = off[:len(words) + 1], off[len(words):-1]
+        self.ranks = [self.cp]
+        while 2 ** len(self.ranks) < max_len:
+            self.ranks.append(self._ranked(self.ranks[-1], 2 ** (len(self.ranks) - 1)))
+        size = np.diff(off[len(words):])
+        self.tables = {int(m): _Table(self.keys(at[size == m], int(m)), np.flatnonzero(size == m)) for m in np.unique(size)}
+
+    @staticmethod
+    def _ranked(rank: np.ndarray, w: int) -> np.ndarray:
+        import pandas as pd
+        return pd.factorize(rank << 32 | np.append(rank[w:], np.zeros(min(w, len(rank)), np.int64)))[0].astype(np.int64)
+
+    def keys(self, at: np.ndarray, m: int) -> np.ndarray:
+        """Of the substrings of ``m`` characters at these places: equal keys for equal ones."""
+        if m == 1:
+            return self.cp[at]
+        k = (m - 1).bit_length() - 1
+        return self.ranks[k][at] << 32 | self.ranks[k][at + m - 2 ** k]
+
+    def places(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, its word, characters from there to the word's end) of the words lo to hi - 1."""
+        place = np.arange(self.off[lo], self.off[hi])
+        word = np.repeat(np.arange(lo, hi), np.diff(self.off[lo:hi + 1]))
+        return place, word, self.off[word + 1] - place
+
+    def edges(self, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """(word, start, end, piece) of all pieces in the words lo to hi - 1."""
+        place, word, room = self.places(lo, hi)
+        out = [(place[:0],) * 4]
+        for m, table in self.tables.items():
+            fits = np.flatnonzero(room >= m)
+            found = table[self.keys(place[fits], m)]
+            fits, found = fits[found >= 0], found[found >= 0]
+            out.append((word[fits], place[fits], place[fits] + m, found))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def strings(self, at: np.ndarray, m: int):
+        """The substrings of ``m`` characters at these places, as an Arrow array."""
+        import pyarrow as pa
+        flat = self.cp[at[:, None] + np.arange(m)].ravel()
+        width = 1 + (flat >= 0x80).astype(np.int32) + (flat >= 0x800) + (flat >= 0x10000)
+        ends = np.append(0, np.cumsum(width))[::m].astype(np.int32)
+        raw = flat.astype("<u4").tobytes().decode("utf-32-le").encode()
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(raw))
+
+
+def _substrings(lengths, base: int = 0):
+    """(words, pieces) of one block -> block, piece, n: the occurrences of its substrings of these lengths.
+
+    ``pieces`` are the frequent ones of ``base`` characters; a longer substring is only
+    listed if all its parts of ``base`` characters are among them.
+    """
+    def run(words, pieces):
+        import pandas as pd
+        import pyarrow as pa
+        n = words["n"].to_numpy() if "n" in words.column_names else np.ones(len(words), np.int64)
+        known = pieces["piece"].to_pylist() if pieces is not None else []
+        p = _Pieces(words["word"].to_pylist(), known, max(lengths))
+        place, word, room = p.places(0, len(words))
+        listed = np.ones(len(place) + 1, bool)
+        if base:
+            listed[:] = False
+            fits = place[room >= base]
+            if base in p.tables:
+                listed[fits] = p.tables[base][p.keys(fits, base)] >= 0
+        block = words["block"][0].as_py() if len(words) else 0
+        out = []
+        for m in lengths:
+            hit = room >= m
+            for d in range(m - base + 1 if base else 0):
+                hit[:len(hit) - d] &= listed[d:len(hit)]
+            at = place[hit]
+            code, first = pd.factorize(p.keys(at, m))
+            count, spot = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+            np.add.at(count, code, n[word[hit]])
+            spot[code] = at
+            out.append(pa.table({"block": pa.array(np.full(len(first), block, np.int64)), "piece": p.strings(spot, m), "n": count}))
+        return pa.concat_tables(out)
+    return run if base else lambda words: run(words, None)
+
+
+def _spread(df: DataFrame, key: str, chars: int = 300_000) -> DataFrame:
     """Rows with ``block``: a hash of the key over as many blocks as keep about ``chars`` characters each."""
     total = df.agg(F.sum(F.length(key)).alias("t")).first()["t"] or 0
     return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(total // chars + 1)))
 
 
-def _held(blocks: DataFrame, key: str, max_len: int) -> DataFrame:
-    """(block, piece): every substring of at most ``max_len`` characters that a block's keys hold."""
-    def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            for block, group in pdf.groupby("block"):
-                found: set = set()
-                for w in group[key]:
-                    n = len(w)
-                    found.update(w[i:j] for i in range(n) for j in range(i + 1, min(n, i + max_len) + 1))
-                yield pd.DataFrame({"block": block, "piece": list(found)})
+_HELD = "block long, piece string, n long"
+
+
+def _frequent(blocks: DataFrame, max_len: int, min_freq: int) -> DataFrame:
+    """(block, piece, freq): the candidate pieces that each block's words hold, and how often all words hold them.
+
+    Candidates are all characters and the substrings of at most ``max_len`` characters that occur
+    ``min_freq`` times.  They are counted by rising length, two lengths a round after the first
+    four: a substring is no more frequent than its parts, so one with a rare part is not counted.
+    """
+    found, base = [], 0
+    while base < max_len:
+        lengths = range(base + 1, min(base + (2 if base else 4), max_len) + 1)
+        if base:
+            shorter = found[-1].where(F.length("piece") == base)
+            counted = blocks.groupBy("block").cogroup(shorter.select("block", "piece").groupBy("block")).applyInArrow(
+                _substrings(lengths, base), _HELD)
+        else:
+            counted = blocks.groupBy("block").applyInArrow(_substrings(lengths), _HELD)
+        found.append(counted.withColumn("freq", F.sum("n").over(Window.partitionBy("piece")))
+                     .where((F.length("piece") == 1) | (F.col("freq") >= min_freq)).select("block", "piece", "freq").checkpoint())
+        base = lengths[-1]
+        if found[-1].where(F.length("piece") == base).isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def _dealt(words: DataFrame) -> DataFrame:
+    words = words.select("word", "n").where(F.length("word") > 0).checkpoint()
+    return _spread(words, "word").checkpoint()
+
+
+def seed_pieces(words: DataFrame, max_len: int, min_freq: int) -> DataFrame:
+    """Candidate pieces: all substrings of at most ``max_len`` characters that occur ``min_freq`` times, and all characters."""
+    checkpoint_dir(words.sparkSession)
+    return _frequent(_dealt(words), max_len, min_freq).select("piece", "freq").distinct()
+
+
+SLICE_CHARS = 100_000
 
-    return blocks.select("block", key).mapInPandas(run, "block long, piece string").distinct()
 
+def _slices(off: np.ndarray):
+    """Ranges of words of about ``SLICE_CHARS`` characters; a longer word stands alone."""
+    lo = 0
+    while lo < len(off) - 1:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE_CHARS, "right")) - 1)
+        yield lo, hi
+        lo = hi
 
-def _log_sum(vals: list) -> float:
-    top = max(vals)
-    return top + math.log(sum(math.exp(v - top) for v in vals))
+
+def _log_sums(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log(sum(exp)) of the runs of values that begin at ``first``."""
+    top = np.maximum.reduceat(value, first)
+    top[top == -np.inf] = 0
+    with np.errstate(divide="ignore"):
+        return top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(first, len(value))))), first))
+
+
+def _passed(states: int, turn: np.ndarray, here: np.ndarray, there: np.ndarray, score: np.ndarray, begin: np.ndarray, total) -> np.ndarray:
+    """Values of all states, turn by turn: at ``begin`` 0, else the total over the edges (there -> here, score)."""
+    value = np.full(states, -np.inf)
+    value[begin] = 0
+    order = np.argsort(turn * states + here)
+    turn, here, there, score = turn[order], here[order], there[order], score[order]
+    cuts = np.flatnonzero(np.append(True, turn[1:] != turn[:-1])).tolist() if len(turn) else []
+    for a, b in zip(cuts, [*cuts[1:], len(turn)]):
+        first = np.flatnonzero(np.append(True, here[a + 1:b] != here[a:b - 1]))
+        value[here[a:b][first]] = total(value[there[a:b]] + score[a:b], first)
+    return value
 
 
 def _expected(max_len: int):
     """E-step of one block: (its words, the scores of the pieces they hold) -> expected counts."""
     def run(words, pieces):
-        import pandas as pd
-        scores = dict(zip(pieces["piece"], pieces["score"]))
-        none = float("-inf")
-        acc = {p: 0.0 for p in scores if len(p) == 1}  # single characters stay, whatever their count
-        for word, n in zip(words["word"], words["n"]):
-            L = len(word)
-            # the lattice's edges, then forward-backward over them (log space)
-            edges = [[(e, word[s:e], scores[word[s:e]]) for e in range(s + 1, min(L, s + max_len) + 1) if word[s:e] in scores]
-                     for s in range(L)]
-            into: list = [[] for _ in range(L + 1)]
-            fwd = [0.0] + [none] * L
-            for s in range(L):
-                if s:
-                    fwd[s] = _log_sum(into[s]) if into[s] else none
-                if fwd[s] > none:
-                    for e, _, sc in edges[s]:
-                        into[e].append(fwd[s] + sc)
-            z = _log_sum(into[L]) if into[L] else none
-            if z == none:
-                continue
-            bwd = [none] * L + [0.0]
-            for s in range(L - 1, -1, -1):
-                vals = [sc + bwd[e] for e, _, sc in edges[s] if bwd[e] > none]
-                if vals:
-                    bwd[s] = _log_sum(vals)
-                if fwd[s] == none:
-                    continue
-                for e, p, sc in edges[s]:
-                    post = math.exp(fwd[s] + sc + bwd[e] - z)
-                    if post > 0:
-                        acc[p] = acc.get(p, 0.0) + n * post
-        return pd.DataFrame({"piece": list(acc.keys()), "expected": list(acc.values())}, dtype=object).astype({"expected": float})
+        import pyarrow as pa
+        score, n = pieces["score"].to_numpy(), words["n"].to_numpy()
+        p = _Pieces(words["word"].to_pylist(), pieces["piece"].to_pylist(), max_len)
+        out = np.zeros(len(score))
+        for lo, hi in _slices(p.off):
+            word, start, end, piece = p.edges(lo, hi)
+            # a word of L characters has L + 1 states
+            begin = p.off[lo:hi] - p.off[lo] + np.arange(hi - lo)
+            stop = begin + np.diff(p.off[lo:hi + 1])
+            word = word - lo
+            a, b = start - p.off[lo] + word, end - p.off[lo] + word
+            states, s = int(stop[-1]) + 1, score[piece]
+            fwd = _passed(states, b - begin[word], b, a, s, begin, _log_sums)
+            bwd = _passed(states, stop[word] - a, a, b, s, stop, _log_sums)
+            z = fwd[stop]
+            with np.errstate(invalid="ignore"):
+                share = np.exp(fwd[a] + s + bwd[b] - z[word])
+            share[z[word] == -np.inf] = 0
+            out += np.bincount(piece, n[lo + word] * share, len(score))
+        keep = out > 0
+        if 1 in p.tables:
+            keep[p.tables[1].values] = True  # single characters stay, whatever their count
+        return pa.table({"piece": pieces["piece"].filter(pa.array(keep)), "expected": out[keep]})
     return run
 
 
 def _losses(max_len: int):
     """Loss of one block's pieces: expected count times what the score is above the best segmentation into others."""
     def run(own, pieces):
-        import pandas as pd
-        scores = dict(zip(pieces["piece"], pieces["score"]))
-        loss = [x * (scores[p] - _without(p, scores, max_len)) for p, x in zip(own["piece"], own["expected"])]
-        return pd.DataFrame({"piece": own["piece"], "loss": pd.Series(loss, dtype=float, index=own.index)})
+        import pyarrow as pa
+        score = pieces["score"].to_numpy()
+        p = _Pieces(own["word"].to_pylist(), pieces["piece"].to_pylist(), max_len)
+        loss = np.zeros(len(own))
+        for lo, hi in _slices(p.off):
+            word, start, end, piece = p.edges(lo, hi)
+            begin = p.off[lo:hi] - p.off[lo] + np.arange(hi - lo)
+            stop = begin + np.diff(p.off[lo:hi + 1])
+            word = word - lo
+            a, b, s = start - p.off[lo] + word, end - p.off[lo] + word, score[piece]
+            whole = (a == begin[word]) & (b == stop[word])
+            best = _passed(int(stop[-1]) + 1, *(x[~whole] for x in (b - begin[word], b, a, s)), begin, np.maximum.reduceat)[stop]
+            mine = np.full(hi - lo, -np.inf)
+            mine[word[whole]] = s[whole]
+            loss[lo:hi] = own["expected"].to_numpy()[lo:hi] * (mine - best)
+        return pa.table({"piece": own["word"], "loss": loss})
     return run
 
 
+def _ranges(rows: int) -> int:
+    return rows // 100_000 + 1
+
+
 def train_unigram(words: DataFrame, vocab_size: int, specials=("<pad>", "</s>", "<unk>"), max_len: int = 16,
                   min_freq: int = 2, sub_rounds: int = 2, shrink: float = 0.75) -> DataFrame:
     """Unigram LM vocabulary: EM rounds, each followed by pruning on the loss of likelihood.
 
     Words and pieces stay tables.  The distinct words are dealt into blocks of
-    about 20,000 characters; a block meets the scores of the pieces that its
-    words hold by a join on their substrings, which are listed once.  E-step
-    (forward-backward per word, weighted by its count) and losses run per
-    block; expected counts are summed by a ``groupBy``.  A piece's loss is its
-    expected count times what its score is above the best segmentation into
-    other pieces; after ``sub_rounds`` EM rounds the share ``shrink`` of
-    largest loss stays (exact positions), down to the vocabulary size.  Single
-    characters always stay.  The driver gets counts and sums only.  Returns
-    (token, id, score), specials first.
+    about 300,000 characters; which candidates a block's words hold comes out of
+    counting them (``_frequent``), and each round a block meets their scores by
+    a join.  E-step (forward-backward of all words of a slice at once, weighted
+    by their counts) and losses run per block in array passes; expected counts
+    are summed by a ``groupBy``.  A piece's loss is its expected count times
+    what its score is above the best segmentation into other pieces; after
+    ``sub_rounds`` EM rounds the share ``shrink`` of largest loss stays (exact
+    positions), down to the vocabulary size.  Single characters always stay.
+    The driver gets counts and sums only.  Returns (token, id, score), specials
+    first.
     """
     spark = words.sparkSession
     checkpoint_dir(spark)
-    words = words.select("word", "n").checkpoint()
-    blocks = _spread(words, "word").checkpoint()
-    seed = seed_pieces(words, max_len, min_freq).checkpoint()
+    blocks = _dealt(words)
+    held = _frequent(blocks, max_len, min_freq)
+    seed = held.select("piece", "freq").distinct().checkpoint()
     total = seed.agg(F.sum("freq").alias("t")).first()["t"] or 1
     scores = seed.select("piece", F.log(F.col("freq") / F.lit(total)).alias("score"))
-    held = _held(blocks, "word", max_len)
     target = vocab_size - len(specials)
     while True:
-        held = held.join(scores.select("piece"), "piece", "left_semi").select("block", "piece").checkpoint()
-        for _ in range(sub_rounds):
-            counts = (blocks.groupBy("block").cogroup(held.join(scores, "piece").groupBy("block"))
-                      .applyInPandas(_expected(max_len), "piece string, expected double")
+        held = held.select("block", "piece").join(scores, "piece").checkpoint()
+        for k in range(sub_rounds):
+            scored = held.select("block", "piece").join(scores, "piece") if k else held
+            counts = (blocks.groupBy("block").cogroup(scored.groupBy("block"))
+                      .applyInArrow(_expected(max_len), "piece string, expected double")
                       .groupBy("piece").agg(F.sum("expected").alias("expected")).checkpoint())
             z = counts.agg(F.sum("expected").alias("z")).first()["z"] or 1.0
             table = (counts.where((F.col("expected") > 0) | (F.length("piece") == 1))
@@ -308,15 +438,16 @@ def train_unigram(words: DataFrame, vocab_size: int, specials=("<pad>", "</s>",
         if n <= target or not n_multi:
             break
         room = max(max(target, int(n * shrink)) - (n - n_multi), 0)
-        own = _spread(multi, "piece").checkpoint()
-        losses = (own.groupBy("block").cogroup(_held(own, "piece", max_len).join(scores, "piece").groupBy("block"))
-                  .applyInPandas(_losses(max_len), "piece string, loss double"))
-        stay = global_index(losses, [F.desc("loss"), "piece"], total_col=None).where(F.col("idx") < room).select("piece")
+        own = _spread(multi.select(F.col("piece").alias("word"), "expected"), "word").checkpoint()
+        parts = own.groupBy("block").applyInArrow(_substrings(range(1, max_len + 1)), _HELD).select("block", "piece")
+        losses = (own.groupBy("block").cogroup(parts.join(scores, "piece").groupBy("block"))
+                  .applyInArrow(_losses(max_len), "piece string, loss double")).checkpoint()  # dealing by ranges reads them twice
+        stay = global_index(losses, [F.desc("loss"), "piece"], buckets=_ranges(n_multi), total_col=None).where(F.col("idx") < room).select("piece")
         stay = stay.unionByName(table.where(F.length("piece") == 1).select("piece"))
         scores = scores.join(stay, "piece", "left_semi").checkpoint()
         if n - n_multi + min(room, n_multi) <= max(target, n - n_multi):
             break
     first = spark.createDataFrame([(s, i, 0.0) for i, s in enumerate(specials)], "token string, id long, score double")
-    final = global_index(scores, [F.desc("score"), "piece"], total_col=None)
+    final = global_index(scores, [F.desc("score"), "piece"], buckets=_ranges(scores.count()), total_col=None)
     return first.unionByName(final.select(F.col("piece").alias("token"), (F.col("idx") + len(specials)).cast("long").alias("id"),
                                           "score"))

@@ -141,3 +141,37 @@ def test_encode_unigram_keeps_rare_characters_and_long_pieces(spark, tmp_path):
     vocab = {r.token for r in st.unigram_vocab(st.pieces_df(spark, str(tmp_path))).collect()}
     assert {chr(0x4E00 + i) for i in range(60)} <= vocab and max(map(len, vocab)) > 5
     assert {(r.doc_id, r.text) for r in st._encode_unigram(spark, str(tmp_path)).collect()} == set(rows)
+
+
+def test_unigram_candidates_over_many_blocks_equal_plain_counts_and_leave_out_rare_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    counts = Counter("".join(rng.choice("abcé\0" + chr(0x1F600)) for _ in range(rng.randint(1, 20))) for _ in range(400))
+    counts["abcabcabcabcabcabcabc"] = 30
+    df = spark.createDataFrame([*counts.items(), (None, 7), ("", 3)], "word string, n long")
+    monkeypatch.setattr(vt._spread, "__defaults__", (300,))
+    want = Counter()
+    for w, n in counts.items():
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + 16) + 1):
+                want[w[i:j]] += n
+    listed, counted = [], vt._substrings
+    monkeypatch.setattr(vt, "_substrings", lambda lengths, base=0: (listed.append((list(lengths), base)), counted(lengths, base))[1])
+    got = {r.piece: r.freq for r in vt.seed_pieces(df, 16, 9).collect()}
+    assert got == {p: n for p, n in want.items() if len(p) == 1 or n >= 9}
+    assert listed == [([1, 2, 3, 4], 0), *[([m + 1, m + 2], m) for m in range(4, 16, 2)]]
+    import pyarrow as pa
+    words = pa.table({"block": [0, 0], "word": ["abcdef", "bcdefg"], "n": [2, 5]})
+    rows = counted([5, 6], 4)(words, pa.table({"piece": ["abcd", "bcde", "cdef"]})).to_pylist()
+    assert {(r["piece"], r["n"]) for r in rows} == {("abcde", 2), ("bcdef", 7), ("abcdef", 2)}
+
+
+def test_unigram_over_many_blocks_equals_plain_training(spark, monkeypatch):
+    rng = random.Random(7)
+    counts = Counter("".join(rng.choice("abcd") for _ in range(rng.randint(1, 8))) for _ in range(200))
+    monkeypatch.setattr(vt._spread, "__defaults__", (150,))
+    monkeypatch.setattr(vt, "SLICE_CHARS", 40)
+    monkeypatch.setattr(vt, "_ranges", lambda rows: 3)
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = {r.token: r.score for r in vt.train_unigram(df, 33, min_freq=2, sub_rounds=1, shrink=0.5).collect() if r.id >= 3}
+    want = _plain_unigram(counts, 30, 2, 0.5)
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p], rel_tol=1e-9) for p in want)
