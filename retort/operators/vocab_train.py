@@ -13,36 +13,17 @@ import heapq
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retort.operators.tokenizer import _code_points, _Table
+from retort.operators.tokenizer import CHAR_OF, _code_points, _Table
 from retort.plans.rowindex import global_index
 from retort.session import checkpoint_dir
 
-OPEN, CLOSE = "\u0001", "\u0002"  # around every symbol of a word (never produced by the byte mapping)
-
 # GPT-2 style byte-level pre-tokenizer pattern.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_char(b: Column) -> Column:
-    """Byte -> printable stand-in character (byte-level alphabet, by rule):
-    33..126, 161..172 and 174..255 stand for themselves; the other 68 bytes
-    are numbered in order from 256."""
-    code = (F.when(b <= 32, b + 256).when((b >= 127) & (b <= 160), b - 127 + 289)
-            .when(b == 173, F.lit(323)).otherwise(b))
-    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-
-
-def byte_symbols(word: Column) -> Column:
-    """A word as its byte-level symbols (one per UTF-8 byte)."""
-    hx = F.hex(F.encode(word, "UTF-8"))
-    idx = F.sequence(F.lit(0), (F.length(hx) / 2 - 1).cast("int"))
-    return F.transform(idx, lambda i: _byte_char(F.conv(F.substring(hx, i * 2 + 1, 2), 16, 10)
-                                                                     .cast("int")))
-
-
 def byte_level_words(df: DataFrame, text_col: str) -> DataFrame:
     """(word, n): pre-tokenised words of the corpus with their counts."""
     w = (df.select(F.explode_outer(F.regexp_extract_all(F.col(text_col), F.lit(BYTE_LEVEL_SPLIT), 0)).alias("word"))
@@ -50,48 +31,143 @@ def byte_level_words(df: DataFrame, text_col: str) -> DataFrame:
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _merged(column, merges: list):
-    """Words of wrapped symbols after the merges, in order (left to right, none overlap)."""
-    import pyarrow.compute as pc
-    for a, b in merges:
-        column = pc.replace_substring(column, OPEN + a + CLOSE + OPEN + b + CLOSE, OPEN + a + b + CLOSE)
-    return column
+BLOCK_SYMBOLS = 1 << 20  # symbols of the words that are kept together
 
 
-def _pair_changes(done: list, fresh: list):
-    """Per batch of words: what ``fresh`` merges, made after the ``done`` ones, change in the counts of pairs.
+def _numbers(raw, wide: bool) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32 if wide else np.uint16)
 
-    Only words that hold a merged pair are counted again; without ``fresh`` all pairs are counted.
+
+def _packed(wide: bool):
+    """Words with their counts -> blocks: the numbers of their symbols, each word ended by 0, and a count a word.
+
+    A byte's symbol is its value plus one.  Words of one symbol have no pair and are left out.
     """
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
-        change: dict = {}
 
-        def count(column, n, sign):
-            for w, k in zip(column.to_pylist(), n.to_pylist()):
-                symbols = w[1:-1].split(CLOSE + OPEN)
-                for pair in zip(symbols, symbols[1:]):
-                    change[pair] = change.get(pair, 0) + sign * k
+        def block(words, counts):
+            raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+            size = np.array([len(w) for w in words])
+            s = raw.astype(np.uint32 if wide else np.uint16) + 1
+            s[np.cumsum(size + 1) - 1] = 0
+            return _block_row(s, np.array(counts, np.int64))
 
+        words, counts, room = [], [], BLOCK_SYMBOLS
         for batch in batches:
-            column, n = _merged(batch.column(0), done), batch.column(1)
+            for w, n in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
+                if w and len(w) > 1:
+                    words.append(w)
+                    counts.append(n)
+                    room -= len(w) + 1
+                if room <= 0:
+                    yield block(words, counts)
+                    words, counts, room = [], [], BLOCK_SYMBOLS
+        if words:
+            yield block(words, counts)
+    return run
+
+
+def _block_row(s: np.ndarray, n: np.ndarray):
+    import pyarrow as pa
+    return pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["s", "n"])
+
+
+def _blocks_of(batches, wide: bool):
+    for batch in batches:
+        for s, n in zip(batch.column(0), batch.column(1)):
+            yield _numbers(s.as_buffer(), wide), np.frombuffer(n.as_buffer(), np.int64)
+
+
+def _pairs_at(s: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Places of the pair (a, b); of a run of overlapping ones every second, from the left."""
+    at = np.flatnonzero((s[:-1] == a) & (s[1:] == b))
+    if a == b and len(at):
+        fresh = np.append(True, np.diff(at) > 1)
+        run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - run) % 2 == 0]
+    return at
+
+
+def _merged(s: np.ndarray, merges: list) -> np.ndarray:
+    """Symbols after the merges (left, right, new), in order (left to right, none overlap)."""
+    for a, b, new in merges:
+        at = _pairs_at(s, a, b)
+        if len(at):
+            s = s.copy()
+            s[at] = new
+            s = np.delete(s, at + 1)
+    return s
+
+
+def _holding(s: np.ndarray, n: np.ndarray, merges: list):
+    """The words, with their counts, that hold one of the merges' pairs; the others stay as they are."""
+    hit = np.zeros(len(n), bool)
+    word = None
+    for a, b, _ in merges:
+        at = np.flatnonzero((s[:-1] == a) & (s[1:] == b))
+        if len(at):
+            word = np.cumsum(s == 0, dtype=np.int32) - (s == 0) if word is None else word
+            hit[word[at]] = True
+    return (s[hit[word]], n[hit]) if word is not None else (s[:0], n[:0])
+
+
+def _pair_counts(s: np.ndarray, n: np.ndarray, sign: int):
+    """(left << 32 | right, signed count) of all pairs of neighbours in the words."""
+    at = np.flatnonzero((s[:-1] > 0) & (s[1:] > 0))
+    word = np.cumsum(s == 0, dtype=np.int32)[at]
+    return s[at].astype(np.int64) << 32 | s[at + 1], sign * n[word]
+
+
+def _pair_changes(done: list, fresh: list, wide: bool):
+    """What ``fresh`` merges, made after the ``done`` ones, change in the counts of pairs of a partition's blocks.
+
+    Only words that hold a merged pair are counted again; without ``fresh`` all pairs are counted.
+    """
+    def run(batches):
+        import pyarrow as pa
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for s, n in _blocks_of(batches, wide):
+            s = _merged(s, done)
+            parts = [(keys, sums)]
             if fresh:
-                hit = None
-                for a, b in fresh:
-                    x = pc.match_substring(column, OPEN + a + CLOSE + OPEN + b + CLOSE)
-                    hit = x if hit is None else pc.or_(hit, x)
-                column, n = column.filter(hit), n.filter(hit)
-                count(column, n, -1)
-                column = _merged(column, fresh)
-            count(column, n, 1)
-        rows = [(a, b, k) for (a, b), k in change.items() if k]
-        left, right, k = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(k, pa.int64())],
+                s, n = _holding(s, n, fresh)
+                parts.append(_pair_counts(s, n, -1))
+                s = _merged(s, fresh)
+            parts.append(_pair_counts(s, n, 1))
+            key, k = (np.concatenate(x) for x in zip(*parts))
+            keys, code = np.unique(key, return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, code, k)
+        left, right, k = (x[sums != 0] for x in (keys >> 32, keys & 0xFFFFFFFF, sums))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(k, pa.int64())],
                                          names=["left", "right", "k"])
     return run
 
 
+def _apply(merges: list, wide: bool):
+    """Blocks after the merges, without the words that became one symbol."""
+    def run(batches):
+        for s, n in _blocks_of(batches, wide):
+            s = _merged(s, merges)
+            end = np.flatnonzero(s == 0)
+            size = np.diff(np.append(-1, end))
+            yield _block_row(s[np.repeat(size > 2, size)], n[size > 2])
+    return run
+
+
+def _alphabet():
+    def run(batches):
+        import pyarrow as pa
+        seen = np.zeros(256, bool)
+        for batch in batches:
+            for w in batch.column(0).cast(pa.binary()):
+                if w.is_valid:
+                    seen[np.frombuffer(w.as_buffer(), np.uint8)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([CHAR_OF[b] for b in np.flatnonzero(seen).tolist()], pa.string())], names=["token"])
+    return run
+
+
 def _next_merges(counts: dict, made: set, room: int, min_count: int) -> list:
     """The longest run of next merges, at most ``room``, that one round can make with the result of single rounds.
 
@@ -127,15 +203,21 @@ def train_bpe(words: DataFrame, num_merges: int, checkpoint_every: int = 10, min
     takes the best pair by (count desc, left, right), and those after it that
     it cannot change, and counts anew only the words that hold them (one
     aggregation of the changes).  The driver holds the pair counts, at most
-    the square of the vocabulary.  Ties are broken by the symbols' text.  The
-    word table is written before the first round and every ``checkpoint_every``
-    rounds.  Merges end early only when no pair occurs ``min_count`` times.
+    the square of the vocabulary.  Ties are broken by the symbols' text.
+    Words are kept in blocks of about a million symbols, as numbers, so that a
+    merge is an array pass; the blocks are written before the first round and
+    every ``checkpoint_every`` rounds.  Merges end early only when no pair
+    occurs ``min_count`` times.
     """
     spark = words.sparkSession
     checkpoint_dir(spark)
-    cur = words.select(F.concat(F.lit(OPEN), F.array_join(byte_symbols(F.col("word")), CLOSE + OPEN), F.lit(CLOSE)).alias("w"),
-                       "n").groupBy("w").agg(F.sum("n").alias("n")).checkpoint()
-    alphabet = cur.select(F.explode(F.split("w", f"[{OPEN}{CLOSE}]")).alias("token")).where("token != ''").distinct()
+    wide = 257 + num_merges > 0xFFFF
+    rows = "s binary, n binary"
+    words = words.select("word", "n").checkpoint()
+    alphabet = words.select("word").mapInArrow(_alphabet(), "token string").distinct()
+    cur = words.mapInArrow(_packed(wide), rows).checkpoint()
+    names = ["", *(CHAR_OF[b] for b in range(256))]
+    number = {x: i for i, x in enumerate(names)}
     counts: dict = {}
     made: set = set()
     merges: list = []
@@ -143,10 +225,10 @@ def train_bpe(words: DataFrame, num_merges: int, checkpoint_every: int = 10, min
     fresh: list = []
     rounds = 0
     while True:
-        changes = (cur.mapInArrow(_pair_changes(done, fresh), "left string, right string, k long")
+        changes = (cur.mapInArrow(_pair_changes(done, fresh, wide), "left long, right long, k long")
                    .groupBy("left", "right").agg(F.sum("k").alias("k")).where("k != 0").collect())
         for x in changes:
-            pair = (x["left"], x["right"])
+            pair = (names[x["left"]], names[x["right"]])
             counts[pair] = counts.get(pair, 0) + x["k"]
             if not counts[pair]:
                 del counts[pair]
@@ -157,22 +239,18 @@ def train_bpe(words: DataFrame, num_merges: int, checkpoint_every: int = 10, min
         merges += [(len(merges) + i, a, b, int(c)) for i, (a, b, c) in enumerate(best)]
         if len(merges) == num_merges:
             break
-        fresh = [(a, b) for a, b, _ in best]
+        for a, b, _ in best:
+            if a + b not in number:  # two pairs may make the same symbol
+                number[a + b] = len(names)
+                names.append(a + b)
+        fresh = [(number[a], number[b], number[a + b]) for a, b, _ in best]
         rounds += 1
         if rounds % checkpoint_every == 0:
-            cur, done = cur.mapInArrow(_apply(done), "w string, n long").checkpoint(), []
+            cur, done = cur.mapInArrow(_apply(done, wide), rows).checkpoint(), []
     out = spark.createDataFrame(merges, "rank int, left string, right string, count long")
     return out, alphabet
 
 
-def _apply(merges: list):
-    def run(batches):
-        import pyarrow as pa
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([_merged(batch.column(0), merges), batch.column(1)], names=["w", "n"])
-    return run
-
-
 # ------------------------------------------------------------------ unigram
 
 class _Pieces:

@@ -175,3 +175,30 @@ def test_unigram_over_many_blocks_equals_plain_training(spark, monkeypatch):
     got = {r.token: r.score for r in vt.train_unigram(df, 33, min_freq=2, sub_rounds=1, shrink=0.5).collect() if r.id >= 3}
     want = _plain_unigram(counts, 30, 2, 0.5)
     assert got.keys() == want.keys() and all(math.isclose(got[p], want[p], rel_tol=1e-9) for p in want)
+
+
+def test_bpe_blocks_hold_whole_words_as_numbers(spark, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(vt, "BLOCK_SYMBOLS", 12)
+    words = ["abab", "x", "aaaaa", "é\0é", "", None, "ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array(words), pa.array([3, 9, 2, 1, 5, 5, 4])], names=["word", "n"])
+    for wide in (False, True):
+        blocks = [*vt._packed(wide)([batch])]
+        assert len(blocks) == 2
+        a, b, e = ord("a") + 1, ord("b") + 1, [x + 1 for x in "é".encode()]
+        pairs = lambda done, fresh: {(r["left"], r["right"]): r["k"] for x in vt._pair_changes(done, fresh, wide)(blocks) for r in x.to_pylist()}
+        assert pairs([], []) == {(a, b): 10, (b, a): 3, (a, a): 8, tuple(e): 2, (e[1], 1): 1, (1, e[0]): 1}
+        assert pairs([], [(a, b, 300)]) == {(a, b): -10, (b, a): -3, (300, 300): 3}
+        assert pairs([(a, b, 300)], [(a, a, 301)]) == {(a, a): -8, (301, 301): 2, (301, a): 2}
+        kept = [vt._numbers(s.as_buffer(), wide).tolist() for x in vt._apply([(a, b, 300)], wide)(blocks) for s in x.column(0)]
+        assert kept == [[300, 300, 0, *[a] * 5, 0, *e, 1, *e, 0], []]  # "ab" is one symbol now
+
+
+def test_bpe_over_many_blocks_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("aabc\0é") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(10)]
+    monkeypatch.setattr(vt, "BLOCK_SYMBOLS", 60)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    merges, alphabet = vt.train_bpe(vt.byte_level_words(df, "text"), 60, checkpoint_every=3)
+    assert [tuple(r) for r in merges.orderBy("rank").collect()] == _brute_force_bpe(texts, 60)
+    assert {r.token for r in alphabet.collect()} == {vt.CHAR_OF[b] for b in "".join(texts).encode()}
