@@ -110,8 +110,21 @@ class Tokenizer:
         names, ids = self._words
         return ids[pc.index_in(words, value_set=names).fill_null(len(names)).to_numpy(zero_copy_only=False)]
 
+    def id_bytes(self, skip_special: bool):
+        """(row of an id, all bytes, first byte and number of bytes by row): what ids stand for; unknown ones, last, for nothing."""
+        if not hasattr(self, "_bytes"):
+            self._bytes = {}
+        if skip_special not in self._bytes:
+            ids = [i for i in self.tokens if not (skip_special and i in self.specials)]
+            # bytes that are not UTF-8 become replacement characters, symbols beyond the byte alphabet question marks
+            raw = [bytes(BYTE_OF.get(c, 63) for c in self.tokens[i]) if self.byte_level else self.tokens[i].replace("▁", " ").encode() for i in ids]
+            count = np.array([*map(len, raw), 0], np.int64)
+            self._bytes[skip_special] = (_Table(ids, np.arange(len(ids))), np.frombuffer(b"".join(raw), np.uint8),
+                                         np.append(0, np.cumsum(count)[:-1]), count)
+        return self._bytes[skip_special]
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_machine", "_words")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_machine", "_words", "_bytes")}
 
 
 def _code_points(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -352,11 +365,6 @@ def encode(tok: Tokenizer, pieces, max_length: int | None = None) -> Column:
     return F.arrow_udf(run, "array<int>")(pieces)
 
 
-def _from_bytes(s: str) -> str:
-    """Byte-level symbols back to text; bytes that are not UTF-8 become replacement characters."""
-    return bytes(BYTE_OF.get(c, 63) for c in s).decode("utf-8", "replace")
-
-
 # The byte-level alphabet by its rule: printable bytes stand for themselves, the others follow from 256 in order.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_OF = {chr(b): b for b in _PLAIN} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
@@ -366,22 +374,39 @@ CHAR_OF = {b: c for c, b in BYTE_OF.items()}
 _CHARS = np.array([ord(CHAR_OF[b]) for b in range(256)], np.int64)
 
 
+def decode_batch(tok: Tokenizer, column: pa.Array, skip_special: bool = True) -> pa.Array:
+    """The bytes of all ids of a batch are gathered in one pass; only rows of a batch that is not UTF-8 are decoded one by one."""
+    flat, off = _flat(column)
+    number, pool, begin, count = tok.id_bytes(skip_special)
+    which = number[flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)]
+    size = count[which]
+    at = np.append(0, np.cumsum(size))[off]
+    raw = _take(pool, begin[which], size)
+    if not tok.byte_level:  # one leading blank goes
+        lead = np.flatnonzero(at[1:] > at[:-1])
+        lead = lead[raw[at[lead]] == 32]
+        raw = np.delete(raw, at[lead])
+        at = at - np.append(0, np.cumsum(np.bincount(lead, minlength=len(off) - 1)))
+    data = raw.tobytes()
+    starts = at[:-1][at[1:] > at[:-1]]
+    try:
+        data.decode()
+        whole = not np.any(raw[starts] & 0xC0 == 0x80)  # no row begins inside of a character
+    except UnicodeDecodeError:
+        whole = False
+    if whole and len(data) < 1 << 31:
+        return pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+    bounds = at.tolist()
+    return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])], pa.string())
+
+
 def decode(tok: Tokenizer, ids, skip_special: bool = True) -> Column:
     """Ids -> text: special ids dropped; metaspace back to blanks and one leading blank removed, or bytes to UTF-8."""
     from pyspark.sql import SparkSession
     shared = SparkSession.active().sparkContext.broadcast(tok)
 
     def run(column: pa.Array) -> pa.Array:
-        t, byte_level = shared.value, shared.value.byte_level
-        flat, off = _flat(column)
-        values = flat.fill_null(-1).to_numpy(zero_copy_only=False).tolist()
-        skip = t.specials if skip_special else frozenset()
-        out = []
-        for a, b in zip(off[:-1], off[1:]):
-            s = "".join(t.tokens.get(i, "") for i in values[a:b] if i not in skip)
-            s = _from_bytes(s) if byte_level else s.replace("▁", " ")
-            out.append(s[1:] if not byte_level and s.startswith(" ") else s)
-        return pa.array(out, pa.string())
+        return decode_batch(shared.value, column, skip_special)
 
     return F.arrow_udf(run, "string")(ids)
 

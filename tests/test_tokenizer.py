@@ -178,3 +178,32 @@ def test_pretokenise_normalises_as_normalise_text_does(spark):
     one = [r.pieces for r in tk.pretokenise(df, "t").orderBy("k").collect()]
     two = [r.pieces for r in tk.pretokenise(tk.normalise_text(df, "t", "n"), "n", normalise=False).orderBy("k").collect()]
     assert one == two and one[4] is None
+
+
+def test_decoding_in_one_pass_equals_decoding_token_by_token():
+    import random
+
+    import pyarrow as pa
+
+    from retort.operators import tokenizer as tz
+    rng = random.Random(2)
+    words = ["▁", "▁a", "b▁", "é", "日本", "", "▁▁x"]
+    plain = tz.Tokenizer("word", {w: i for i, w in enumerate(["<pad>", "</s>", "<unk>", *words])})
+    level = tz.Tokenizer("bpe", {**{t: b + 3 for b, t in tz.CHAR_OF.items()}, "日": 300, "Ġt": 301}, byte_level=True)
+    accents = [[x + 3 for x in "é日".encode()], [*b"ab"], [195 + 3], [169 + 3], None, []]  # one character over two rows
+    for tok, top, extra in ((plain, 12, []), (level, 303, accents), (level, 120, accents[:2])):
+        rows = [[rng.choice([None, *range(-1, top)]) for _ in range(rng.randint(0, 9))] for _ in range(60)] + extra + [None, []]
+        for skip in (True, False):
+            want = []
+            for ids in rows:
+                s = "".join(tok.tokens.get(i, "") for i in ids or [] if not (skip and i in tok.specials))
+                if tok.byte_level:
+                    s = bytes(tz.BYTE_OF.get(c, 63) for c in s).decode("utf-8", "replace")
+                else:
+                    s = s.replace("▁", " ").removeprefix(" ")
+                want.append(s)
+            column = pa.array([[9], *rows], pa.list_(pa.int32()))[1:]
+            got = tz.decode_batch(tok, column, skip)
+            got.validate(full=True)
+            assert got.to_pylist() == want
+    assert tz.decode_batch(plain, pa.array([], pa.list_(pa.int32()))).to_pylist() == []
